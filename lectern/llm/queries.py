@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leaks, neardup, neighbours, packing, pairs, residue, split
+from lectern.llm import leaks, neardup, neighbours, packing, pairs, residue, scans, split
 from lectern.sources.tables import table
 
 CARD_SHINGLE, CARD_THRESHOLD = 3, 0.5
@@ -23,6 +23,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_pieces(spark, d).where("piece_index = 0").select("item_kind", "item_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(table(spark, d, "page_contents"), table(spark, d, "text_chunks"))[0]
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every page and chunk with its text and the repaired text."""
+    return scans.repair(table(spark, d, "page_contents"), table(spark, d, "text_chunks"))
+
+
 def _collection(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.collection((table(spark, d, "embedded_chunks"), "chunk_id", "embedding"), (table(spark, d, "raptor_nodes"), "node_id", "embedding"))
 
@@ -80,7 +89,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p3_neighbours, p3_found, p4_found, p4_groups, p5_found, p6_containers, p7_leaks, p7_found, p8_scores, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_repaired, p3_neighbours, p3_found, p4_found, p4_groups, p5_found, p6_containers, p7_leaks, p7_found, p8_scores, p8_found)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[^\t\n\x0B\f\r \x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'))"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"

@@ -33,7 +33,7 @@ DECIDE, HOPELESS = 0.0, -20.0
 
 # The syntaxes of unfilled placeholders.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]*\}\}|\{%[^\n]*?%\}|\$\{[^{}\n]*\}|\{[^{}\n]{1,40}\}|<%[^\n]*?%>|<<[^<>\n]+>>|<[A-Za-z][^<>\n]{1,40}>|\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]{2,60}\]"
+    r"\{\{[^{}\n]*\}\}|(?:\{%[^\n]*?%\}\s*)+(?<!\s)|\$\{[^{}\n]*\}|\{[^{}\n]{1,40}\}|<%[^\n]*?%>|<<[^<>\n]+>>|<[A-Za-z][^<>\n]{1,40}>|\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]{2,60}\]"
     r"|\$[A-Z][A-Z_]{2,}\b|%[A-Z][A-Z_]{2,}%|@@\w+@@|#[A-Z][A-Z_]{2,}#|__[A-Z][A-Z_]+__|\bX{4,}\b|\?{4,}|\bTBD\b(?: - [a-z ]{3,30})?|\bTODO\b"
 )
 _MAYBE = re.compile(r"[{}<>\[\]$%@#?]|__[A-Z]|XXXX|TBD|TODO")
@@ -87,7 +87,7 @@ def passages(text: str) -> Iterator[tuple[list[str], bool]]:
                     trusted = bool(alone) and not re.fullmatch(r"\[[\d ,.;–-]*\]|\[[ xX]\]", m[0])
                     before, after = _WORD.findall(line[: m.start()][-40:].lower()), _WORD.findall(line[m.end() :][:40].lower())
                     around = ["after ^", "before $"] if alone else ["after " + (before or "^")[-1], "before " + (after or "$")[0]]
-                    yield ["shape " + _shape(inner), "is " + literal, *around], trusted
+                    yield ["shape " + _shape(inner), "is " + literal, "in " + " ".join(_WORD.findall(inner.lower())), *around], trusted
                 line = PLACEHOLDER.sub(" ", line)
         for sentence in _SENTENCE.split(line):
             words = _WORD.findall(sentence.lower())
