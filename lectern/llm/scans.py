@@ -125,7 +125,7 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def printed_lines(pages: DataFrame) -> DataFrame:
-    """(document_id, line, number, header): lines at page edges that are printed around the body, white space squeezed.
+    """(page_id, document_id, line, number, header): lines at page edges that are printed around the body, white space squeezed.
 
     pages: (page_id, document_id, page_number, text). A number is a page number if it
     keeps its distance to page_number on at least two pages, or is dressed as one. The
@@ -139,7 +139,7 @@ def printed_lines(pages: DataFrame) -> DataFrame:
     e = e.withColumn("head", F.when(F.col("number") | F.col("offset").isNull(), F.col("key")).otherwise(F.col("whole")))
     often = e.where("head is not null").groupBy("document_id", "head").agg(F.countDistinct("page_id").alias("n"), F.max("styled").alias("set")).where("n > 1 or set").select("document_id", "head", F.lit(True).alias("header"))
     e = e.join(often, ["document_id", "head"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
-    return e.where("number or header").groupBy("document_id", "line").agg(F.max("number").alias("number"), F.max("header").alias("header"))
+    return e.where("number or header").select("page_id", "document_id", "line", "number", "header")
 
 
 def _tokens(text: Column) -> Column:
@@ -152,10 +152,10 @@ def _clean(token: Column) -> Column:
     return F.regexp_replace(token, r"^[^\p{L}\p{N}@†!]+|[^\p{L}\p{N}@†]+$", "")
 
 
-def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, n) over all page texts; counted raw first, so that words are cleaned once each."""
+def raw_tokens(pages: DataFrame) -> DataFrame:
+    """(t, word, n): each token of the page texts as it stands, cleaned once, and its count."""
     raw = pages.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return raw.select(_clean(F.col("t")).alias("word"), "n").where(F.length("word") > 1).groupBy("word").agg(F.sum("n").alias("n"))
+    return raw.select("t", _clean(F.col("t")).alias("word"), "n").where(F.length("word") > 1)
 
 
 def misread_forms(words: DataFrame) -> DataFrame:
@@ -178,12 +178,20 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def char_errors(records: DataFrame, bad: DataFrame) -> DataFrame:
-    """(record_id, word): the misread words of each record; bad: (bad)."""
-    t = records.select("record_id", F.explode(F.array_distinct(F.transform(_tokens(F.col("text")), _clean))).alias("word")).where(F.length("word") > 2)
-    known = t.join(_few(bad.select(F.col("bad").alias("word")).distinct()), "word", "left_semi")
-    stray = t.where(F.col("word").rlike(STRAY))
-    return known.select("record_id", "word").union(stray.select("record_id", "word")).distinct()
+def char_errors(records: DataFrame, raw: DataFrame, bad: DataFrame) -> DataFrame:
+    """(record_id, word): the misread words of each record; raw: (t, word) of raw_tokens, bad: (bad)."""
+    known = raw.join(bad.select(F.col("bad").alias("word")).distinct(), "word", "left_semi").select("t", "word")
+    stray = raw.where(F.length("word") > 2).where(F.col("word").rlike(STRAY)).select("t", "word")
+    sought = _few(cut(known.union(stray).distinct()))
+    return records.select("record_id", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("t")).join(sought, "t").select("record_id", "word").distinct()
+
+
+def _breaks(text: Column) -> Column:
+    """Ends of lines with a hyphen, each with the line that follows, in lower case."""
+    lines = F.split(text, r"\r?\n")
+    both = F.transform(lines, lambda x, i: F.struct(F.rtrim(x).alias("x"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("y")))
+    ends = F.filter(both, lambda s: F.right(s["x"], F.lit(1)).isin("-", "\xad", "\xac", "\u2010", "\u2013"))
+    return F.transform(ends, lambda s: F.concat(F.lower(F.right(s["x"], F.lit(60))), F.lit("\n"), F.left(F.ltrim(s["y"]), F.lit(60))))
 
 
 def broken_words(records: DataFrame, words: DataFrame) -> DataFrame:
@@ -192,8 +200,9 @@ def broken_words(records: DataFrame, words: DataFrame) -> DataFrame:
     The joined and the hyphenated form are looked up in the vocabulary; if it has
     neither, two known words make a compound and all else is a broken word.
     """
-    found = records.select("record_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(BREAK), 0))).alias("m"))
-    found = found.select("record_id", F.regexp_extract("m", BREAK, 1).alias("a"), F.regexp_extract("m", BREAK, 2).alias("b")).where("a != ''")
+    found = records.where(F.col("text").rlike(f"[{HYPHENS}][ \\t]*\\r?\\n")).select("record_id", F.explode(_breaks(F.col("text"))).alias("m"))
+    found = found.select("record_id", F.regexp_extract("m", BREAK, 1).alias("a"), F.lower(F.regexp_extract("m", BREAK, 2)).alias("b")).where("a != ''")
+    found = cut(found.distinct())
     ab = cut(found.select("a", "b").distinct())
     asked = ab.select("a", "b", F.explode(F.array(*(F.struct(F.lit(k).alias("as"), w.alias("word")) for k, w in (("j", F.concat("a", "b")), ("h", F.concat_ws("-", "a", "b")), ("a", F.element_at(F.split("a", "-"), -1)), ("b", F.col("b")))))).alias("x"))
     hits = asked.select("a", "b", "x.*").join(words, "word", "left")
@@ -215,7 +224,7 @@ def records_of(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(record_id, noise_kind) once each, and the tables it rests on: printed, bad, breaks, errors, records.
+    """(record_id, noise_kind) once each, and the tables it rests on: printed, bad, breaks, errors, records, pages.
 
     pages needs page_id, document_id, page_number, text; chunks chunk_id, document_id,
     text. What is printed around pages is learnt from pages and sought in both. Null and
@@ -224,13 +233,18 @@ def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str
     """
     p = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("document_id").cast("string").alias("document_id"), "page_number", "text").where("page_id is not null and text is not null")
     records = records_of(p, chunks)
-    words = cut(vocabulary(p))
+    raw = cut(raw_tokens(p))
+    words = raw.groupBy("word").agg(F.sum("n").alias("n"))
     bad = cut(misread_forms(words))
-    printed = cut(printed_lines(p))
+    edges = cut(printed_lines(p))
+    printed = edges.groupBy("document_id", "line").agg(F.max("number").alias("number"), F.max("header").alias("header"))
     breaks = cut(broken_words(records, words))
-    errors = cut(char_errors(records, bad))
-    short = lines_of(records.join(printed.select("document_id").distinct(), "document_id", "left_semi")).where(F.length("line") <= LONGEST + 60)
-    hits = short.select("record_id", "document_id", squeeze(F.col("line")).alias("line")).where("line != ''").distinct().join(printed, ["document_id", "line"])
+    errors = cut(char_errors(records, raw, bad))
+    of_doc = printed.groupBy("document_id").agg(F.collect_list(F.struct("line", "number", "header")).alias("printed"))
+    in_chunks = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", "text").where("record_id is not null and text is not null").join(of_doc, "document_id")
+    short = F.transform(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST + 60)), squeeze)
+    hits = in_chunks.withColumn("short", short).select("record_id", F.explode(F.filter("printed", lambda x: F.array_contains(F.col("short"), x["line"]))).alias("x")).select("record_id", "x.number", "x.header")
+    hits = hits.union(edges.select(F.col("page_id").alias("record_id"), "number", "header"))
     kinds = hits.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("number"), "page_number"), F.when(F.col("header"), "running_header")))).alias("noise_kind"))
     found = kinds.union(breaks.where("not compound").select("record_id", F.lit("hyphenation"))).union(errors.select("record_id", F.lit("char_error"))).distinct()
     return found, {"printed": printed, "bad": bad, "breaks": breaks, "errors": errors, "records": records, "pages": p}
