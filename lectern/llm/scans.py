@@ -189,8 +189,8 @@ def char_errors(records: DataFrame, raw: DataFrame, bad: DataFrame) -> DataFrame
 def _breaks(text: Column) -> Column:
     """Ends of lines with a hyphen, each with the line that follows, in lower case."""
     lines = F.split(text, r"\r?\n")
-    both = F.transform(lines, lambda x, i: F.struct(F.rtrim(x).alias("x"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("y")))
-    ends = F.filter(both, lambda s: F.right(s["x"], F.lit(1)).isin("-", "\xad", "\xac", "\u2010", "\u2013"))
+    both = F.arrays_zip(F.transform(lines, lambda x: F.rtrim(x)).alias("x"), F.slice(lines, F.lit(2), F.length(text)).alias("y"))
+    ends = F.filter(both, lambda s: F.right(s["x"], F.lit(1)).isin("-", "\xad", "\xac", "\u2010", "\u2013") & s["y"].isNotNull())
     return F.transform(ends, lambda s: F.concat(F.lower(F.right(s["x"], F.lit(60))), F.lit("\n"), F.left(F.ltrim(s["y"]), F.lit(60))))
 
 
