@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.lineage import cut
+
 # Function words by which a language is known.
 FUNCTION_WORDS = {
     "en": "the a an of and or to in on at by for with from is are was were be been it its that this these those which what why how when while whenever if unless until although though because so as than then not no nor neither both each every some only into within beyond after before under over does do has have can will would there their they he she we you i about near".split(),
@@ -196,8 +198,8 @@ def find_defects(pairs: DataFrame, key: str, question: str, answer: str) -> Data
     response to be judged alone. Texts are read whole; an empty table gives no row.
     """
     rows = pairs.select(F.col(key).cast("string").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a")).distinct()
-    judged = rows.mapInPandas(_judged, "id string, kind string, tail string, last string, pattern string, ending string, alone boolean")
-    counts = rows.where("a is not null").select("a").mapInPandas(_attested, "k string, x string, n bigint").groupBy("k", "x").agg(F.sum("n").alias("n"))
+    judged = cut(rows.mapInPandas(_judged, "id string, kind string, tail string, last string, pattern string, ending string, alone boolean").where("kind != '' or tail != ''"))
+    counts = cut(rows.where("a is not null").select("a").mapInPandas(_attested, "k string, x string, n bigint").groupBy("k", "x").agg(F.sum("n").alias("n")))
     whole = counts.where("k = 'p'").select(F.col("x").alias("pattern"), F.lit(True).alias("whole"))
     used = counts.where("k = 'w'").select(F.col("x").alias("last"), F.col("n").alias("used"))
     final = counts.where("k = 'e'").select(F.col("x").alias("last"), F.col("n").alias("final"))
