@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from lectern.plans import relational, retrieval, text  # noqa: F401  they register their queries
+from lectern.plans.base import QUERIES, SQL
 
-from lectern.sources.tables import table
+FLAGSHIP = "r_funnel"
 
-FLAGSHIP = "scan_documents"
-
-
-def scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Active documents."""
-    return table(spark, d, "documents").where("is_active").select("doc_id", "tenant_id", "title")
-
-
-QUERIES = {"scan_documents": scan_documents}
-SQL = {"scan_documents": "SELECT doc_id, tenant_id, title FROM documents WHERE is_active"}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
