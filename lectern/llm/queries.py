@@ -101,7 +101,7 @@ SQL = {
     "p3_found": """
         WITH raw AS (SELECT chunk_id AS id, embedding AS v FROM embedded_chunks UNION ALL SELECT node_id, embedding FROM raptor_nodes),
         fine AS (SELECT id, min(CAST(v AS DOUBLE[])) AS v FROM raw
-          WHERE len(v) = 64 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0 GROUP BY id),
+          WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY id),
         near AS (SELECT a.id AS id, b.id AS nb, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) AS r FROM fine a JOIN fine b ON a.id <> b.id)
         SELECT DISTINCT least(id, nb) AS id_a, greatest(id, nb) AS id_b FROM near WHERE r <= 5""",
     "p4_found": f"""
