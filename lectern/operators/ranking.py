@@ -59,7 +59,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
     parts = []
     for p in range(portions):
         rows = q.where(F.col("portion") == p).select("query_id", "v").collect()  # one bounded portion
-        m = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+        m = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
         unit = m / np.sqrt((m * m).sum(1))[:, None] if len(rows) else m
         held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), unit))
         parts.append(scan.mapInPandas(best(held), f"query_id {of}, id {kind}, score double"))

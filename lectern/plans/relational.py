@@ -295,7 +295,7 @@ def json_metadata(spark: SparkSession, d: str) -> DataFrame:
     return c.select("card_id", F.when(F.col("ok"), F.col("m.model")).alias("model"), F.coalesce(F.when(F.col("ok"), F.col("m.retries")), F.lit(-1)).alias("retries"))
 
 
-@query(f"SELECT node_id, to_json(child_ids) AS child_ids_json, len(child_ids) AS n FROM {NODES}")
+@query(f"SELECT node_id, CAST(to_json(child_ids) AS VARCHAR) AS child_ids_json, len(child_ids) AS n FROM {NODES}")
 def json_child_ids(spark: SparkSession, d: str) -> DataFrame:
     """Child ids as JSON text."""
     return view(spark, d, "raptor_nodes", "node_id", "child_ids").select("node_id", F.to_json("child_ids").alias("child_ids_json"), F.when(F.col("child_ids").isNotNull(), F.size("child_ids")).cast("bigint").alias("n"))

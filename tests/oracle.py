@@ -17,13 +17,20 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 
 def differs(spark, d: str, f, sql: str) -> str:
     """What differs between a query and its SQL on a folder; empty if nothing does."""
-    got = f(spark, d).toPandas()
+    df = f(spark, d)
+    got = df.toPandas()
     con = duckdb.connect()
     for p in sorted(Path(d).glob("*.parquet")):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
-    want = con.sql(sql).df()
+    rel = con.sql(sql)
+    want = rel.df()
+    names = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
+    kinds = dict(zip(rel.columns, map(str, rel.types)))
+    other = {c: (t, kinds.get(c)) for c, t in df.dtypes if names.get(t, t) != kinds.get(c)}
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} and {sorted(want.columns)}"
+    if other:
+        return f"types {other}"
     a, b = normal(got), normal(want)
     if a == b:
         return ""
