@@ -162,7 +162,7 @@ def _answer(k: int):
                 ids, sim = search(points, edges, pivots, _matrix(part["v"], np.float32, DIM), BEAM)
                 ids, sim = ids[:, : k + 1].ravel(), sim[:, : k + 1].ravel()
                 out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), k + 1)[ids >= 0], "nb": names[ids[ids >= 0]], "cosine": sim[ids >= 0]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "nb": [], "cosine": []})
+        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype=object), "nb": pd.Series(dtype=object), "cosine": pd.Series(dtype="float32")})
 
     return answer
 

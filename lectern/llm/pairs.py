@@ -207,7 +207,8 @@ def find_defects(pairs: DataFrame, key: str, question: str, answer: str) -> Data
     open_end = judged.where("tail != ''").join(whole, "pattern", "left").join(ends, "ending", "left").join(used.join(final, "last", "left"), "last", "left")
     used_n, final_n = F.coalesce("used", F.lit(0)), F.coalesce("final", F.lit(0))
     number = F.col("last").rlike(r"^\d+$")
-    unknown = (used_n == 0) & ~number & ~F.col("tail").rlike(r"(?:\b(?:by|that|de|von|par|por)\s+|\()\p{Lu}[\p{L}]+\W*$")
+    unit = F.col("pattern").rlike(r"(?:^| )0 u$")
+    unknown = (used_n == 0) & ~number & ~unit & ~F.col("tail").rlike(r"(?:\b(?:by|that|de|von|par|por)\s+|\()\p{Lu}[\p{L}]+\W*$")
     seldom = (used_n >= 20) & (final_n < 0.01 * used_n)
     phrase = F.col("alone") & (F.size(F.split("pattern", " ")) <= PHRASE)
     hanging = F.col("tail").rlike(r"[,;:(\-–\"“«]\s*$") & F.col("tail").rlike(r"\p{L}")
