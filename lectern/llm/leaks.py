@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.lineage import spread
 from lectern.functions.text import WORD_PY
 
 WINDOW, BLOCK = 12, 3
@@ -75,7 +76,7 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
     portions = max(1, -(-known.count() // PASSAGES_AT_ONCE))
     known = known.withColumn("portion", F.pmod(F.xxhash64("i"), F.lit(portions)))
     kind = corpus.schema[doc_id].dataType.simpleString()
-    docs = corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null")
+    docs = spread(corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"))
 
     def search_with(patterns):
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.lineage import cut
+from lectern.functions.lineage import cut, spread
 
 #: Records the model is fitted on, at most about; the scores cover every record.
 FIT_RECORDS = 20_000
@@ -145,7 +145,7 @@ def _soft_counts(weights, prior):
 def fit(docs: DataFrame, text: str, records: int = FIT_RECORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """(weight of each feature bucket, prior log odds), by EM over about records rows, chosen by a hash of their text."""
     share = max(1, -(-docs.count() // records))
-    t = docs.select(F.col(text).alias("t")).where("t is not null").where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0)
+    t = spread(docs.select(F.col(text).alias("t")).where("t is not null").where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0))
     rows = cut(t.mapInPandas(_fit_rows, "f binary, trusted boolean, n bigint").groupBy("f", "trusted").agg(F.sum("n").alias("n")))
     weights, prior = None, 0.0
     for _ in range(rounds):
@@ -197,6 +197,6 @@ def find_residue(docs: DataFrame, doc_id: str, text: str, records: int = FIT_REC
                     out.append((d, n, best))
             yield pd.DataFrame(out, columns=["d", "n", "o"])
 
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null")
+    rows = spread(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"))
     found = rows.mapInPandas(score, f"d {kind}, n int, o double").groupBy("d").agg(F.max("n").alias("passages"), F.max("o").alias("log_odds"))
     return found.withColumnRenamed("d", doc_id)
