@@ -21,7 +21,7 @@ from lectern.functions.lineage import cut
 
 K, DIM = 5, 64
 #: Edges of a node, beam while building and while searching, factor of the relaxed distance.
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 48, 32, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 64, 48, 1.2
 #: Fewest shards, most vectors of a shard, and of a block of queries.
 SHARDS, SHARD_SIZE, BLOCK_SIZE = 3, 100_000, 15_000
 
