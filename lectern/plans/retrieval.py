@@ -118,16 +118,26 @@ def agg_max_norm(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", "id", F.round(F.col("score") / F.coalesce(F.nullif(best, F.lit(0.0)), F.lit(1.0)), 4).alias("share"))
 
 
+def artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """(id, chunk_id, text): the cards of the artifact lane in a tenant's scope, with what of each is searched."""
+    c = cards(spark, d, "chunk_id", "card_type", "tenant_id", "title", "content", "answer", "is_active").where("is_active").where(F.col("card_type").isin(*ARTIFACT_TYPES)).where(scope.in_scope(F.col("tenant_id"), None, TENANT))
+    said = scope.embed_text(F.col("card_type"), F.col("title"), F.col("content"), F.col("answer"))
+    return c.select(F.col("card_id").alias("id"), "chunk_id", said.alias("text"))
+
+
+def artifact_hits(spark: SparkSession, d: str, shown: DataFrame, k: int) -> DataFrame:
+    """The k cards of largest sparse product for every labelled query."""
+    return ranking.sparse_knn(ranking.postings(shown, words(F.col("text"))), _query_terms(queries(spark, d)), k)
+
+
 def _funnel(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, id, score, rank, lane): dense pool in scope, diversified, then new parents of artifact hits behind it."""
     dense = cut(ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), POOL))
     text = chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("tokens"))
     kept = ranking.mmr(dense.join(text, "id").select("query_id", "id", "score", "rank", "tokens"), FETCH)
-    shown = cards(spark, d, "chunk_id", "card_type", "tenant_id", "title", "content", "answer", "is_active").where("is_active").where(F.col("card_type").isin(*ARTIFACT_TYPES)).where(scope.in_scope(F.col("tenant_id"), None, TENANT))
-    said = scope.embed_text(F.col("card_type"), F.col("title"), F.col("content"), F.col("answer"))
-    index = ranking.postings(shown.select(F.col("card_id").alias("id"), said.alias("text")), words(F.col("text")))
-    hits = ranking.sparse_knn(index, _query_terms(queries(spark, d)), FETCH)
-    more = ranking.parents(hits, shown.select(F.col("card_id").alias("id"), "chunk_id"), text)
+    shown = artifacts(spark, d)
+    hits = artifact_hits(spark, d, shown, FETCH)
+    more = ranking.parents(hits, shown.select("id", "chunk_id"), text)
     return ranking.append_new(kept, more)
 
 
