@@ -99,3 +99,20 @@ def context_windows(chunks: DataFrame, capacity: int = WINDOW_TOKENS) -> DataFra
 
     start = F.struct(F.lit(0).alias("w"), F.lit(0).cast("bigint").alias("sum"), none.alias("out"))
     return x.select("document_id", F.inline(F.aggregate("a", start, step)["out"])).select("chunk_id", "document_id", "window")
+
+
+def ingest(docs: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, text, token_count, char_start, page_number): documents (document_id, text) as chunks on their pages.
+
+    Sentences are packed, each chunk's first sentence is sought in the text from where the
+    one before began, small chunks are joined and numbered, and the last page (offsets, see
+    page_offsets) not behind a chunk's start is its own; null before the first page.
+    """
+    packed = sentence_chunks(docs)
+    head = F.regexp_extract("text", r"^[\s\S]*?[.!?](?= |$)", 0)
+    heads = packed.select("document_id", F.col("pos").alias("page_number"), F.when(head == "", F.col("text")).otherwise(head).alias("text"))
+    starts = page_offsets(docs.withColumnRenamed("text", "full_text"), heads).withColumnRenamed("page_number", "pos")
+    placed = packed.join(starts, ["document_id", "pos"], "left").withColumnRenamed("start", "char_start").withColumn("char_end", F.col("char_start"))
+    merged = merge_micro(placed).drop("char_end").withColumn("chunk_id", F.concat_ws("-", "document_id", "chunk_index"))
+    page = page_as_of(merged.where("char_start is not null"), offsets).select("chunk_id", "page_number")
+    return merged.join(page, "chunk_id", "left").drop("chunk_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import lanes, relational, retrieval, text  # noqa: F401  they register their queries
+from lectern.plans import building, lanes, relational, retrieval, text  # noqa: F401  they register their queries
 from lectern.plans.base import QUERIES, SQL
 
 FLAGSHIP = "r_funnel"
