@@ -178,3 +178,31 @@ def test_tree(spark):
     assert rows(tree.parents_of(n), "node_id", "parent") == [("a", "r"), ("b", "r"), ("r", None)]
     k = spark.range(0, 30).select(tree.cluster_count(F.col("id"))).collect()
     assert k[1][0] == 1 and k[9][0] == 3 and k[29][0] == 6
+
+
+def test_built_tree(spark):
+    rng = np.random.default_rng(4)
+    leaves = [(f"c{i:03}", "hot" if i < 60 else "small", rng.normal(size=64).tolist()) for i in range(63)] + [("lone", "single", [1.0] * 64)]
+    df = spark.createDataFrame(leaves, "id string, document_id string, v array<double>")
+    e = tree.build_tree(df).toPandas()
+    first = e[e.level == 1]
+    assert sorted(first["id"]) == sorted(i for i, d, _ in leaves if d != "single")  # every leaf once; a document of one node has no tree
+    assert 1 < first[first.document_id == "hot"]["parent"].nunique() < 30
+    for level in (2, 3):
+        below, here = e[e.level == level - 1], e[e.level == level]
+        assert set(here["id"]) <= set(below["parent"]) and here["id"].is_unique
+    assert tree.build_tree(df.limit(0)).count() == 0
+
+
+def test_ingest_finds_places_and_pages(spark):
+    one = " ".join(f"Sentence {i} says that value {i}.{i} is held by the spring." for i in range(120))
+    two = "A short page."
+    docs = spark.createDataFrame([("d", one + "\n\n" + two), ("blank", " \n"), ("null", None)], "document_id string, text string")
+    pages = spark.createDataFrame([("d", 1, one), ("d", 2, two)], "document_id string, page_number int, text string")
+    offsets = chunking.page_offsets(docs.withColumnRenamed("text", "full_text"), pages)
+    got = chunking.ingest(docs, offsets).orderBy("chunk_index").collect()
+    assert {r["document_id"] for r in got} == {"d"} and [r["chunk_index"] for r in got] == list(range(len(got))) and len(got) > 1
+    starts = [r["char_start"] for r in got]
+    assert starts == sorted(starts) and starts[0] == 0 and all(one.startswith(r["text"][:20], r["char_start"]) for r in got)
+    assert all(r["page_number"] == 1 for r in got)
+    assert chunking.ingest(docs.limit(0), offsets).count() == 0
