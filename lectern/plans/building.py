@@ -13,7 +13,7 @@ from lectern.operators import chunking, scope, store
 from lectern.operators.cards import ARTIFACT_TYPES, cards_from_replies
 from lectern.operators.tree import build_tree
 from lectern.plans import retrieval
-from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, DOCS, NODES, PAGES, cards, chunk_vectors, chunks, queries, query, vector_table, vectors_sql, view
+from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, DOCS, NODES, PAGES, TENANT, cards, chunk_vectors, chunks, queries, query, vector_table, vectors_sql, view
 from lectern.plans.relational import _BLANK, _list, _strip
 from lectern.plans.retrieval import _MENTIONS
 from lectern.plans.text import _starts
@@ -176,6 +176,45 @@ def p_da_index(spark: SparkSession, d: str) -> DataFrame:
     return k.join(c, "chunk_id").groupBy("card_type").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 0).alias("n_text"))
 
 
+_STATUS = f"""st AS (SELECT document_id, tenant_id, CASE WHEN n_pages >= page_count AND page_count > 0 THEN 'ready' WHEN n_pages > 0 THEN 'processing' ELSE 'pending' END AS status
+    FROM (SELECT document_id, min(tenant_id) AS tenant_id, max(coalesce(page_count, 0)) AS page_count FROM parsed_documents GROUP BY 1) LEFT JOIN (SELECT document_id, count(DISTINCT page_number) AS n_pages FROM page_contents WHERE text <> '' GROUP BY 1) USING (document_id))"""
+
+
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "parsed_documents").groupBy("document_id").agg(F.min("tenant_id").alias("tenant_id"), F.max(F.coalesce("page_count", F.lit(0))).alias("page_count"))
+    n = table(spark, d, "page_contents").where("text != ''").groupBy("document_id").agg(F.countDistinct("page_number").alias("n_pages"))
+    status = F.when((F.col("n_pages") >= F.col("page_count")) & (F.col("page_count") > 0), "ready").when(F.col("n_pages") > 0, "processing").otherwise("pending")
+    return docs.join(n, "document_id", "left").select("document_id", "tenant_id", status.alias("status"))
+
+
+@query(f"WITH {_STATUS} SELECT * FROM st")
+def dml_status(spark: SparkSession, d: str) -> DataFrame:
+    """The documents with their state set anew: ready once all their pages have text, processing with some, else pending."""
+    return _status(spark, d)
+
+
+@query(f"WITH {_STATUS} SELECT document_id, status FROM st WHERE tenant_id IN ('{TENANT}', 'global') AND status IN ('ready', 'processing')")
+def flt_visual_ready(spark: SparkSession, d: str) -> DataFrame:
+    """The documents in a tenant's scope whose pages can be searched, wholly or in part."""
+    return _status(spark, d).where(scope.in_scope(F.col("tenant_id"), None, TENANT)).where("status in ('ready', 'processing')").select("document_id", "status")
+
+
+@query("SELECT DISTINCT document_id, document_id IN (SELECT document_id FROM raptor_nodes WHERE is_active AND document_id IS NOT NULL) AS has_tree, document_id IN (SELECT document_id FROM cards WHERE is_active AND document_id IS NOT NULL) AS has_cards FROM parsed_documents")
+def agg_exists(spark: SparkSession, d: str) -> DataFrame:
+    """Whether anything was derived from a document."""
+    has = lambda name, flag: table(spark, d, name).where("is_active").select("document_id").distinct().withColumn(flag, F.lit(True))
+    return view(spark, d, "parsed_documents", "document_id").join(has("raptor_nodes", "has_tree"), "document_id", "left").join(has("cards", "has_cards"), "document_id", "left").na.fill(False)
+
+
+@query(f"SELECT chunk_id AS id, 0 AS level, coalesce(page_number, -1) AS page_number, 'pending' AS status FROM {CHUNKS} UNION ALL SELECT node_id, level, -1, 'pending' FROM {NODES}")
+def ddl_evolve(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an older and a newer form in one table: columns that a form lacks take their defaults."""
+    old = chunks(spark, d, "page_number", "document_id", "tenant_id", "chunk_index", "text", "char_start", "char_end", "token_count", "version", "is_active").select(F.col("chunk_id").alias("id"), "page_number")
+    new = view(spark, d, "raptor_nodes", "node_id", "document_id", "tenant_id", "level", "cluster_id", "summary", "child_ids", "parent_id", "version", "is_active").select(F.col("node_id").alias("id"), "level")
+    both = old.unionByName(new, allowMissingColumns=True)
+    return both.select("id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("page_number", F.lit(-1)).alias("page_number"), F.lit("pending").alias("status"))
+
+
 @query()
 def p_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The whole ingestion: documents cut into chunks of sentences, small ones joined, numbered and put on their page."""
