@@ -5,7 +5,8 @@ that carry a trusted mark (a placeholder alone in its line, the opening of a wel
 message or filler) are the positives, all others are unlabelled. The model then scores
 every passage of every record, and a record is residue if one passage is.
 
-A passage is a sentence of a line, or one placeholder-like span with what is glued to it.
+A passage is a sentence of a line (one of a single word belongs to the next: "Oops! ..."),
+or one placeholder-like span with what is glued to it.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ FIT_RECORDS = 20_000
 BUCKETS = 1 << 18
 #: Rounds of expectation-maximization, pseudo-count of the background in the positives, bounds of one feature's weight.
 ROUNDS, PSEUDO, LOW, HIGH = 3, 300.0, -4.0, 7.0
-#: Log odds from which a passage counts as residue; words alone must reach this much before their pairs are looked up.
-DECIDE, HOPELESS = 0.0, -20.0
+#: Log odds from which a passage counts as residue (a posterior of 0.95); words alone must reach this much before their pairs are looked up.
+DECIDE, HOPELESS = 3.0, -20.0
 
 # The syntaxes of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -89,10 +90,15 @@ def passages(text: str) -> Iterator[tuple[list[str], bool]]:
                     around = ["after ^", "before $"] if alone else ["after " + (before or "^")[-1], "before " + (after or "$")[0]]
                     yield ["shape " + _shape(inner), "is " + literal, "in " + " ".join(_WORD.findall(inner.lower())), *around], trusted
                 line = PLACEHOLDER.sub(" ", line)
+        opening = ""
         for sentence in _SENTENCE.split(line):
-            words = _WORD.findall(sentence.lower())
-            if words:
-                yield ["0" if w.isdigit() else w for w in words], bool(TRUSTED.match(sentence))
+            whole = opening + sentence
+            words = _WORD.findall(whole.lower())
+            opening = whole + " " if len(words) == 1 else ""
+            if words and not opening:
+                yield ["0" if w.isdigit() else w for w in words], bool(TRUSTED.match(whole))
+        if opening:
+            yield ["0" if w.isdigit() else w for w in _WORD.findall(opening.lower())], bool(TRUSTED.match(opening))
 
 
 def _pairs(features: list[str]) -> list[str]:

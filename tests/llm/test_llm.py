@@ -253,3 +253,9 @@ def test_residue_is_told_from_talk_about_it(spark):
     got = {r["doc_id"] for r in residue.find_residue(df, "doc_id", "text").collect()}
     assert got == {i for i, _ in rows if i >= 1000}
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_one_word_sentences_belong_to_the_next():
+    found = list(residue.passages("Oops! We lost that chapter. No. Then it ends.\nFine"))
+    assert [f for f, _ in found] == [["oops", "we", "lost", "that", "chapter"], ["no", "then", "it", "ends"], ["fine"]]
+    assert [t for _, t in found] == [True, False, False]
