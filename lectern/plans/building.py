@@ -139,7 +139,7 @@ def str_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT vec_id, round(sqrt(list_dot_product(v, v)) + 1e-9, 4) AS norm, round(list_dot_product(v, list_reverse(v)), 4) AS dot, round(list_cosine_similarity(v, list_reverse(v)), 4) AS cosine,
+@query("""SELECT vec_id, round(sqrt(list_dot_product(v, v)) + 1e-9, 4) AS norm, round(list_dot_product(v, list_reverse(v)), 4) + CAST(0 AS DOUBLE) AS dot, round(list_cosine_similarity(v, list_reverse(v)), 4) + CAST(0 AS DOUBLE) AS cosine,
     round(ln(1 + greatest(v[1], 0)), 6) AS activated, round(log2(vec_id + 2), 6) AS discount, vec_id // 7 AS part FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
 def num_columns(spark: SparkSession, d: str) -> DataFrame:
     """Norm, products, activation, discount and whole division over all vectors."""

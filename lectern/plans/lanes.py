@@ -181,7 +181,7 @@ def top_concepts(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranked(s, F.desc("score"), "concept").where("rank <= 8")
 
 
-@query("""SELECT vec_id, ['factual', 'overview', 'multihop', 'visual'][o + 1] AS intent, round(s, 4) AS score FROM (SELECT e.vec_id, p.label AS o, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))) AS s
+@query("""SELECT vec_id, ['factual', 'overview', 'multihop', 'visual'][o + 1] AS intent, round(s, 4) + CAST(0 AS DOUBLE) AS score FROM (SELECT e.vec_id, p.label AS o, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))) AS s
     FROM embeddings e, (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings WHERE label < 4) WHERE n <= 8) p GROUP BY 1, 2)""")
 def jn_proto(spark: SparkSession, d: str) -> DataFrame:
     """Every vector's best score against the eight prototypes of each of four intents."""
