@@ -1,7 +1,7 @@
 """Problem 2: noise in text from scanned pages.
 
 Method: words are grouped by the skeleton of their confusable glyphs, and rare forms give
-way to the frequent form that the neighbouring words support; lines at the edges of pages
+way to the frequent form that the neighbouring words support, occurrence by occurrence; lines at the edges of pages
 are compared within a document with their digits masked, which finds running headers,
 and page numbers by their even step; SQL windows reflow the lines into paragraphs.
 """
@@ -9,9 +9,13 @@ and page numbers by their even step; SQL windows reflow the lines into paragraph
 from __future__ import annotations
 
 import re
+import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ HYPHENS = "\\-\\x{AD}\\x{AC}\\x{2010}\\x{2013}"
 BREAK = rf"([\p{{L}}\p{{M}}0-9@†!'’]+(?:-[\p{{L}}]+)*)[{HYPHENS}][ \t]*\r?\n[ \t]*(\p{{Ll}}[\p{{L}}\p{{M}}0-9@†!]*)"
 #: How much more frequent the right form is than a misread one; where a symbol stands in the word it need only be as frequent.
 RATIO = 20
+#: Words on either side that are asked where the direct neighbours are silent, and the share of them that must be seen as near the right form.
+REACH, NEAR = 3, 0.3
 #: Rows up to which the table of misread forms is sent to every task; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: A line longer than this is body text.
@@ -142,20 +148,54 @@ def printed_lines(pages: DataFrame) -> DataFrame:
     return e.where("number or header").select("page_id", "document_id", "line", "number", "header")
 
 
-def _tokens(text: Column) -> Column:
+class _Blank(dict):
+    """For str.translate: what stands in no token becomes a blank."""
+
+    def __missing__(self, c: int) -> int:
+        x = chr(c)
+        self[c] = c if x in "@†!|'’-" or unicodedata.category(x)[0] in "LMN" else 32
+        return self[c]
+
+
+_BLANKS = _Blank()
+_JOIN = re.compile("[-\xad\xac\u2010\u2013][ \t]*\r?\n[ \t]*")
+_OUTER = re.compile(r"^[^\w@†!]+|[^\w@†]+$")
+
+
+def words_of(text: str) -> list[str]:
     """Lower-case word-like runs, with the symbols that misread letters become; words broken over lines are joined."""
-    joined = F.regexp_replace(text, f"[{HYPHENS}][ \\t]*\\r?\\n[ \\t]*", "")
-    return F.split(F.lower(joined), r"[^\p{L}\p{M}\p{N}@†!|'’\-]+")
+    found = _JOIN.sub("", text).lower().translate(_BLANKS).split()
+    return [t if t.isalnum() else _OUTER.sub("", t) for t in found]
+
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(words=[zlib.compress("\n".join(words_of(t)).encode(), 1) for t in b["text"]]).drop(columns="text")
 
-def _clean(token: Column) -> Column:
-    return F.regexp_replace(token, r"^[^\p{L}\p{N}@†!]+|[^\p{L}\p{N}@†]+$", "")
+
+def _unpacked(words: bytes) -> list[str]:
+    return zlib.decompress(words).decode().split("\n")
+
+
+def token_table(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(record_id, document_id, page, words): the words of both tables, packed, so that texts are taken apart once."""
+    p = pages.select(F.col("page_id").alias("record_id"), "document_id", F.lit(True).alias("page"), "text")
+    c = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", F.lit(False), "text")
+    return p.union(c).where("record_id is not null and text is not null").mapInPandas(_packed, "record_id string, document_id string, page boolean, words binary")
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for page, words in zip(b["page"], b["words"]):
+            seen[page].update(_unpacked(words))
+        yield pd.DataFrame([(w, n * page, n * (not page)) for page, c in seen.items() for w, n in c.items()], columns=["word", "pages", "chunks"])
 
 
-def raw_tokens(pages: DataFrame) -> DataFrame:
-    """(t, word, n): each token of the page texts as it stands, cleaned once, and its count."""
-    raw = pages.select(F.explode(_tokens(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return raw.select("t", _clean(F.col("t")).alias("word"), "n").where(F.length("word") > 1)
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(word, n) of token_table. Chunks repeat what pages hold, so n is the count in the table that has more."""
+    counts = tokens.mapInPandas(_counted, "word string, pages bigint, chunks bigint").where(F.length("word") > 1)
+    return counts.groupBy("word").agg(F.greatest(F.sum("pages"), F.sum("chunks")).alias("n"))
 
 
 def misread_forms(words: DataFrame) -> DataFrame:
@@ -178,12 +218,121 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def char_errors(records: DataFrame, raw: DataFrame, bad: DataFrame) -> DataFrame:
-    """(record_id, word): the misread words of each record; raw: (t, word) of raw_tokens, bad: (bad)."""
-    known = raw.join(bad.select(F.col("bad").alias("word")).distinct(), "word", "left_semi").select("t", "word")
-    stray = raw.where(F.length("word") > 2).where(F.col("word").rlike(STRAY)).select("t", "word")
-    sought = _few(cut(known.union(stray).distinct()))
-    return records.select("record_id", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("t")).join(sought, "t").select("record_id", "word").distinct()
+def _sent(df: DataFrame) -> Broadcast | None:
+    """The rows of df, as tuples, for every task if their number is bounded."""
+    return df.sparkSession.sparkContext.broadcast({tuple(r) for r in df.collect()}) if df.count() <= BROADCAST_ROWS else None
+
+
+def _masked(words: list[str]) -> list[str]:
+    return ["#" if w.isdigit() else w for w in words]
+
+
+def _around(words: list[str], i: int) -> set[str]:
+    return {*words[max(0, i - REACH) : i], *words[i + 1 : i + 1 + REACH]} - {""}
+
+
+def occurrences(tokens: DataFrame, sought: DataFrame) -> DataFrame:
+    """(record_id, document_id, word, left, right, around): where the words of sought (word) stand, digits of the neighbours masked."""
+    sent = _sent(sought)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = None if sent is None else {w for (w,) in sent.value}
+        for b in batches:
+            out = []
+            for record, doc, packed in zip(b["record_id"], b["document_id"], b["words"]):
+                words = _unpacked(packed)
+                if wanted is not None and wanted.isdisjoint(words):
+                    continue
+                masked = _masked(words)
+                for i, w in enumerate(words):
+                    if wanted is None or w in wanted:
+                        out.append((record, doc, w, masked[i - 1] if i else "", masked[i + 1] if i + 1 < len(words) else "", sorted(_around(masked, i))))
+            yield pd.DataFrame(out, columns=["record_id", "document_id", "word", "left", "right", "around"])
+
+    found = tokens.mapInPandas(find, "record_id string, document_id string, word string, left string, right string, around array<string>")
+    return (found if sent else found.join(sought, "word", "left_semi").select("record_id", "document_id", "word", "left", "right", "around")).distinct()
+
+
+def pair_counts(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """(a, b, m): how often the word pairs of asked (a, b) stand side by side, digits masked."""
+    sent = _sent(asked)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for packed in b["words"]:
+                words = _masked(_unpacked(packed))
+                both = zip(words, words[1:])
+                seen.update(both if sent is None else filter(sent.value.__contains__, both))
+            yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["a", "b", "m"])
+
+    found = tokens.mapInPandas(count, "a string, b string, m bigint").groupBy("a", "b").agg(F.sum("m").alias("m"))
+    return found if sent else found.join(asked, ["a", "b"], "left_semi")
+
+
+def seen_near(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked (good, x) for which x stands within REACH words of good in a record."""
+    sent = _sent(asked)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: dict[str, set[str]] = {}
+        for g, x in () if sent is None else sent.value:
+            wanted.setdefault(g, set()).add(x)
+        for b in batches:
+            out = set()
+            for packed in b["words"]:
+                words = _unpacked(packed)
+                if sent is not None and wanted.keys().isdisjoint(words):
+                    continue
+                masked = _masked(words)
+                for i, w in enumerate(words):
+                    if sent is None or w in wanted:
+                        near = _around(masked, i)
+                        out.update((w, x) for x in (near if sent is None else near & wanted[w]))
+            yield pd.DataFrame(list(out), columns=["good", "x"])
+
+    found = tokens.mapInPandas(find, "good string, x string").distinct()
+    return found if sent else found.join(asked, ["good", "x"], "left_semi")
+
+
+def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
+    """(record_id, word, left, right, good): the occurrences of misread words, with the form to put there.
+
+    Each occurrence of a form in bad (bad, good, n) is judged by its neighbours. A side
+    speaks for the form itself if the form has that neighbour in further documents too,
+    and in more than twice as many as misreading one in RATIO of the right form would give
+    (for a symbol in the word, in more than the right form has it); one such side, and the
+    occurrence stays.
+    Else a side where the right form has that neighbour makes it misread. If both are
+    silent, NEAR of the words around must be seen as near the right form; a symbol in the
+    word needs no such support. Symbols in words that are like no known one (STRAY) are
+    misread anyway.
+    """
+    stray = words.where(F.length("word") > 2).where(F.col("word").rlike(STRAY)).select("word")
+    occ = cut(occurrences(tokens, cut(stray.union(bad.select("bad")).distinct())))
+    doc = F.coalesce("document_id", "record_id")
+    own = [occ.groupBy("word", side).agg((F.countDistinct(doc) - 1).alias(f"own_{side}")) for side in ("left", "right")]
+    c = occ.join(_few(bad.withColumnRenamed("bad", "word")), "word").join(own[0], ["word", "left"]).join(own[1], ["word", "right"])
+    c = cut(c.select("record_id", "word", "left", "right", "around", "good", "n", *(F.when(F.col(s) == "", 0).otherwise(F.col(f"own_{s}")).alias(f"own_{s}") for s in ("left", "right"))))
+    asked = c.select(F.col("left").alias("a"), F.col("good").alias("b")).union(c.select("good", "right")).where("a != '' and b != ''").distinct()
+    support = cut(pair_counts(tokens, cut(asked)))
+    c = c.join(support.select(F.col("a").alias("left"), F.col("b").alias("good"), F.col("m").alias("good_left")), ["left", "good"], "left")
+    c = c.join(support.select(F.col("a").alias("good"), F.col("b").alias("right"), F.col("m").alias("good_right")), ["good", "right"], "left").fillna(0, ["good_left", "good_right"])
+    odd = F.col("word").rlike(r"[0-9@†!|]")
+    rate = F.when(odd, 1.0).otherwise(2 / RATIO)
+    kept = (F.col("own_left") > rate * F.col("good_left")) | (F.col("own_right") > rate * F.col("good_right"))
+    c = cut(c.withColumn("kept", kept).withColumn("support", F.col("good_left") + F.col("good_right")))
+    silent = c.where(~F.col("kept") & (F.col("support") == 0) & ~odd).select("record_id", "word", "left", "right", "good", "n", "around", F.explode("around").alias("x"))
+    near = seen_near(tokens, cut(silent.select("good", "x").distinct())).withColumn("near", F.lit(1))
+    wide = silent.join(near, ["good", "x"], "left").groupBy("record_id", "word", "left", "right", "around", "good", "n").agg(F.sum(F.coalesce("near", F.lit(0))).alias("near"))
+    misread = c.where(~F.col("kept") & ((F.col("support") > 0) | odd)).select("record_id", "word", "left", "right", "good", "n", "support")
+    misread = misread.union(wide.where(F.col("near") >= NEAR * F.size("around")).select("record_id", "word", "left", "right", "good", "n", F.lit(0)))
+    # The form itself counts nothing where a symbol stands in a word: the likeliest form is put there, else what the symbol looks like.
+    plain = F.translate(F.col("word"), "0156@†!9", "olsbatig")
+    likely = c.join(_few(stray), "word", "left_semi").select("record_id", "word", "left", "right", "good", "n", "support")
+    alone = occ.join(_few(stray), "word", "left_semi").select("record_id", "word", "left", "right", plain.alias("good"), F.lit(-1), F.lit(-1))
+    by = F.struct("support", "n", "good")
+    return misread.union(likely).union(alone).groupBy("record_id", "word", "left", "right").agg(F.max_by("good", by).alias("good"))
 
 
 def _breaks(text: Column) -> Column:
@@ -224,7 +373,7 @@ def records_of(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(record_id, noise_kind) once each, and the tables it rests on: printed, bad, breaks, errors, records, pages.
+    """(record_id, noise_kind) once each, and the tables it rests on: printed, breaks, errors, records, tokens.
 
     pages needs page_id, document_id, page_number, text; chunks chunk_id, document_id,
     text. What is printed around pages is learnt from pages and sought in both. Null and
@@ -233,13 +382,13 @@ def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str
     """
     p = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("document_id").cast("string").alias("document_id"), "page_number", "text").where("page_id is not null and text is not null")
     records = records_of(p, chunks)
-    raw = cut(raw_tokens(p))
-    words = raw.groupBy("word").agg(F.sum("n").alias("n"))
+    tokens = cut(token_table(p, chunks))
+    words = cut(vocabulary(tokens))
     bad = cut(misread_forms(words))
     edges = cut(printed_lines(p))
     printed = edges.groupBy("document_id", "line").agg(F.max("number").alias("number"), F.max("header").alias("header"))
     breaks = cut(broken_words(records, words))
-    errors = cut(char_errors(records, raw, bad))
+    errors = cut(char_errors(tokens, words, bad))
     of_doc = printed.groupBy("document_id").agg(F.collect_list(F.struct("line", "number", "header")).alias("printed"))
     in_chunks = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", "text").where("record_id is not null and text is not null").join(of_doc, "document_id")
     short = F.transform(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST + 60)), squeeze)
@@ -247,27 +396,18 @@ def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str
     hits = hits.union(edges.select(F.col("page_id").alias("record_id"), "number", "header"))
     kinds = hits.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("number"), "page_number"), F.when(F.col("header"), "running_header")))).alias("noise_kind"))
     found = kinds.union(breaks.where("not compound").select("record_id", F.lit("hyphenation"))).union(errors.select("record_id", F.lit("char_error"))).distinct()
-    return found, {"printed": printed, "bad": bad, "breaks": breaks, "errors": errors, "records": records, "pages": p}
+    return found, {"printed": printed, "breaks": breaks, "errors": errors, "records": records, "tokens": tokens}
 
 
 def _chosen(tables: dict[str, DataFrame]) -> DataFrame:
-    """(record_id, fixes): each record's misread words with the form to put there; among several, the one its left neighbour supports."""
-    e = tables["errors"].withColumnRenamed("word", "bad").join(tables["bad"], "bad", "left")
-    many = tables["bad"].groupBy("bad").agg(F.count("*").alias("c")).where("c > 1")
-    open_forms = tables["bad"].join(many, "bad", "left_semi")
-    support = None
-    if not open_forms.isEmpty():
-        goods = _few(open_forms.select(F.col("good").alias("w")).distinct())
-        near = tables["pages"].select(F.transform(_tokens(F.col("text")), _clean).alias("t")).select(F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("left"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("w"))).alias("x")).select("x.*")
-        support = near.join(goods, "w").groupBy("left", F.col("w").alias("good")).agg(F.count("*").alias("support"))
-        words_of = tables["records"].join(e.select("record_id").distinct(), "record_id", "left_semi").select("record_id", F.transform(_tokens(F.col("text")), _clean).alias("t"))
-        left = words_of.select("record_id", F.explode(F.arrays_zip(F.expr("slice(t, 1, greatest(size(t) - 1, 0))").alias("left"), F.expr("slice(t, 2, greatest(size(t) - 1, 0))").alias("bad"))).alias("x")).select("record_id", "x.*").join(_few(many.select("bad")), "bad").distinct()
-        e = e.join(left, ["record_id", "bad"], "left").join(support, ["left", "good"], "left")
-    else:
-        e = e.withColumn("support", F.lit(None).cast("bigint"))
-    best = e.groupBy("record_id", "bad").agg(F.max_by("good", F.struct(F.coalesce("support", F.lit(0)), F.coalesce("n", F.lit(0)))).alias("good"))
-    stray = F.translate(F.col("bad"), "0156@†!9", "olsbatig")
-    return best.groupBy("record_id").agg(F.collect_list(F.struct("bad", F.coalesce("good", stray).alias("good"))).alias("fixes"))
+    """(record_id, fixes): each record's misread words with the form to put there; with the neighbours where not every occurrence in the record gets that form."""
+    errors = tables["errors"]
+    sought = cut(errors.select("word").distinct())
+    each = occurrences(tables["tokens"], sought).join(errors, ["record_id", "word", "left", "right"], "left")
+    forms = each.groupBy("record_id", "word").agg(F.countDistinct(F.coalesce("good", F.col("word"))).alias("forms"))
+    fix = errors.join(forms, ["record_id", "word"]).withColumn("apart", F.col("forms") > 1)
+    fix = fix.select("record_id", F.struct(F.col("word").alias("bad"), "good", *(F.when(F.col("apart"), F.col(x)).alias(x) for x in ("left", "right"))).alias("fix")).distinct()
+    return fix.groupBy("record_id").agg(F.sort_array(F.collect_list("fix")).alias("fixes"))
 
 
 def _title(x: Column) -> Column:
@@ -277,13 +417,22 @@ def _title(x: Column) -> Column:
 def _mended(text: Column, fixes: Column) -> Column:
     """text with each bad form replaced, in lower case, with a capital, and in capitals."""
 
-    def put(acc: Column, bad: Column, good: Column) -> Column:
-        return F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}@†])\Q"), bad, F.lit(r"\E(?![\p{L}\p{N}@†])")), good)
+    gap = r"[^\p{L}\p{N}@†]{1,20}"
+
+    def beside(word: Column, form: str) -> Column:
+        said = F.when(word == "", F.lit("")).when(word == "#", F.lit(r"\d+")).otherwise(F.concat(F.lit(r"(?iu:\Q"), word, F.lit(r"\E)")))
+        if form == "left":  # a bounded number of digits, as it is looked for backwards
+            said = F.when(word == "#", F.lit(r"\d{1,9}")).otherwise(said)
+            return F.when(word.isNull(), F.lit("")).when(word == "", F.lit(r"(?<=^[^\p{L}\p{N}@†]{0,20})")).otherwise(F.concat(F.lit("(?<="), said, F.lit(gap + ")")))
+        return F.when(word.isNull(), F.lit("")).when(word == "", F.lit(r"(?=[^\p{L}\p{N}@†]*$)")).otherwise(F.concat(F.lit("(?=" + gap), said, F.lit(")")))
+
+    def put(acc: Column, f: Column, bad: Column, good: Column) -> Column:
+        return F.regexp_replace(acc, F.concat(beside(f["left"], "left"), F.lit(r"(?<![\p{L}\p{N}@†])\Q"), bad, F.lit(r"\E(?![\p{L}\p{N}@†])"), beside(f["right"], "right")), good)
 
     def one(acc: Column, f: Column) -> Column:
-        return put(put(put(acc, f["bad"], f["good"]), _title(f["bad"]), _title(f["good"])), F.upper(f["bad"]), F.upper(f["good"]))
+        return put(put(put(acc, f, f["bad"], f["good"]), f, _title(f["bad"]), _title(f["good"])), f, F.upper(f["bad"]), F.upper(f["good"]))
 
-    return F.aggregate(F.coalesce(fixes, F.array().cast("array<struct<bad:string,good:string>>")), text, one)
+    return F.aggregate(F.coalesce(fixes, F.array().cast("array<struct<bad:string,good:string,left:string,right:string>>")), text, one)
 
 
 def repair(pages: DataFrame, chunks: DataFrame) -> DataFrame:

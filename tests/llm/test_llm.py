@@ -86,6 +86,20 @@ def test_noise_is_found_and_repaired(spark):
     assert scans.find_noise(pages.limit(0), chunks.limit(0))[0].count() == 0
 
 
+def test_neighbours_decide_what_is_misread(spark):
+    german, spanish = "wir sehen in der Mitte das Ende der Reihe und der Bahn. " * 40, "los ejercicios al final del capítulo. "
+    rows = [(f"g{i}", f"g{i}", 1, german) for i in range(5)] + [(f"e{i}", f"e{i}", 1, spanish) for i in range(4)]
+    rows += [("bad", "bad", 1, "wir sehen in del Mitte das Ende"), ("both", "both", 1, "wir sehen in del Mitte das Ende. " + spanish), ("far", "far", 1, "sehen in Xoran del Xalin Mitte das")]
+    rows += [("once", "once", 1, "las salidas sobre dcr nubes nuevas")]
+    pages = spark.createDataFrame(rows, "page_id string, document_id string, page_number int, text string")
+    chunks = spark.createDataFrame([("c0", "e0", spanish), ("c1", "bad", "wir sehen in del Mitte das Ende")], "chunk_id string, document_id string, text string")
+    found = {r["record_id"] for r in scans.find_noise(pages, chunks)[0].where("noise_kind = 'char_error'").collect()}
+    assert found == {"bad", "both", "far", "c1"}
+    fixed = {r["record_id"]: r["repaired"] for r in scans.repair(pages, chunks).collect()}
+    assert fixed["c0"] == spanish and fixed["e1"] == spanish and fixed["bad"] == fixed["c1"] == "wir sehen in der Mitte das Ende"
+    assert fixed["both"] == "wir sehen in der Mitte das Ende. los ejercicios al final del capítulo."
+
+
 def test_edge_lines():
     assert scans.edge_line("Page 92 of 100") == (92, True, "") and scans.edge_line("cxxviii")[:2] == (128, False)
     assert scans.edge_line("158    NOTES ON IT") == (158, False, "NOTES ON IT") and scans.edge_line("Lesson 7: Gas    179")[0] == 179
