@@ -1,8 +1,8 @@
 """Problem 5: broken prompt and response pairs.
 
 Method: prompt and response are aligned by shingle containment and longest common
-subsequence, which finds copies; the response is aligned with refusal templates in the
-same way, which finds refusals. Languages are told apart by their function words. A
+subsequence, which finds copies; every stretch of the response is aligned with refusal
+templates in the same way, which finds refusals. Languages are told apart by their function words. A
 response is cut short where it stops without a full stop and its last sentence is built
 unlike any whole sentence of the corpus: patterns and word endings are counted by Spark
 over all responses.
@@ -53,6 +53,8 @@ REFUSALS = [
 ]
 #: Shares of tokens in order: of a template in a response, of a response and of the question's last sentence in a copy.
 REFUSAL_ALIKE, COPY_ALIKE, COPY_COVERS = 0.8, 0.85, 0.5
+#: At most so many words stand for ... in a template.
+OPEN = 20
 #: A tail of at most this many words is a short phrase; so many last parts of a pattern tell how a sentence ends.
 PHRASE, ENDING = 4, 7
 
@@ -62,7 +64,8 @@ _PIECE = re.compile(r"\d[\d.,]*|[^\W\d_]+(?:['’\-/^][^\W_]+)*|[,;:(]|\S")
 _CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*\s*(?:(?:\[[^\]]*\]|\([^()]*\)|→\s*\S+|[*_\"'”’»)\]])\s*)*$")
 _TRAIL = re.compile(r"\s*(?:\[[\d ,]+\]|→\s*\S+)\s*$")
 _KNOWN = {w for ws in FUNCTION_WORDS.values() for w in ws}
-_REFUSAL_WORDS = [[w for part in r.split("...") for w in _WORD.findall(part)] for r in REFUSALS]
+#: Of each template its words, their counts, and the length of the stretch it is sought in, with room for what ... stands for.
+_REFUSAL_WORDS = [(w, Counter(w), 2 * len(w) + OPEN * r.count("...")) for r in REFUSALS for w in [_WORD.findall(r.replace("...", " "))]]
 _NAMES = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names.split()}
 _OF = {lang: set(ws) for lang, ws in FUNCTION_WORDS.items()}
 
@@ -92,15 +95,13 @@ def is_empty(answer: str | None) -> bool:
 
 
 def is_refusal(words: list[str]) -> bool:
-    head = words[:40]
-    have = Counter(head)
-    for r in _REFUSAL_WORDS:
-        if sum(min(n, have[w]) for w, n in Counter(r).items()) < REFUSAL_ALIKE * len(r):
+    """Whether a template is aligned with a stretch of the response, wherever it stands."""
+    have = Counter(words)
+    for r, need, span in _REFUSAL_WORDS:
+        if sum(min(n, have[w]) for w, n in need.items()) < REFUSAL_ALIKE * len(r):
             continue
-        if common_subsequence(r, head) >= REFUSAL_ALIKE * len(r):
-            first = next(i for i, w in enumerate(head) if w in r)
-            if first <= 8:
-                return True
+        if any(w in need and common_subsequence(r, words[i : i + span]) >= REFUSAL_ALIKE * len(r) for i, w in enumerate(words)):
+            return True
     return False
 
 

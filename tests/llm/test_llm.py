@@ -197,6 +197,14 @@ def test_kinds_of_defect(spark):
     assert pairs.find_defects(df.limit(0), "record_id", "question", "answer").count() == 0
 
 
+def test_refusals_stand_anywhere():
+    before = "the warm layer holds the wave of the field near the small probe and the slow core follows " * 4
+    for refusal in ("but i can't answer that", "leider darf ich dazu keine auskunft geben", "i don't have details about the inner part of the probe so this has to stay open"):
+        assert pairs.is_refusal((before + refusal).split()) and pairs.is_refusal((refusal + " " + before).split())
+    assert not pairs.is_refusal(before.split())
+    assert not pairs.is_refusal("we are here and the layer is slow but some are unable and have to wait before they process the long and old questions of this or that kind".split())
+
+
 def test_common_subsequence():
     assert pairs.common_subsequence("a b c d".split(), "a x c d".split()) == 3 and pairs.common_subsequence([], ["a"]) == 0
 
