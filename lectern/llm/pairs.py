@@ -106,7 +106,9 @@ def is_refusal(words: list[str]) -> bool:
 
 
 def is_copy(answer: list[str], question: list[str], last: list[str]) -> bool:
-    if len(answer) < 5 or len(answer) < COPY_COVERS * len(last):
+    if len(answer) < 5:  # so few words may be shared by chance; a copy has the whole last sentence
+        return answer == last != []
+    if len(answer) < COPY_COVERS * len(last):
         return False
     shingles = set(zip(question, question[1:]))
     own = list(zip(answer, answer[1:]))
@@ -150,7 +152,7 @@ def judge(question: str | None, answer: str | None) -> str:
         return "refusal"
     q_words = _WORD.findall(q.lower().replace("’", "'"))
     ends = [p for p in _SENTENCE.split(q) if p]
-    if is_copy(words, q_words, _WORD.findall(ends[-1].lower()) if ends else []):
+    if is_copy(words, q_words, _WORD.findall(ends[-1].lower().replace("’", "'")) if ends else []):
         return "copy"
     of_q, of_a = language(q_words), language(words)
     if of_q and of_a and of_q != of_a and of_a not in {_NAMES.get(w) for w in q_words}:

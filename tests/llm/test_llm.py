@@ -205,6 +205,11 @@ def test_refusals_stand_anywhere():
     assert not pairs.is_refusal("we are here and the layer is slow but some are unable and have to wait before they process the long and old questions of this or that kind".split())
 
 
+def test_short_questions_given_back_are_copies():
+    assert pairs.judge("What is osmosis?", "what is osmosis") == "copy" and pairs.judge("Look at the layer. What’s a probe?", "What's a probe?") == "copy"
+    assert pairs.judge("What is osmosis?", "Osmosis") == pairs.judge("Is it a wave or field?", "a wave") == pairs.judge("", "The layer") == ""
+
+
 def test_common_subsequence():
     assert pairs.common_subsequence("a b c d".split(), "a x c d".split()) == 3 and pairs.common_subsequence([], ["a"]) == 0
 
