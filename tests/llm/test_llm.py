@@ -100,6 +100,12 @@ def test_neighbours_decide_what_is_misread(spark):
     assert fixed["both"] == "wir sehen in der Mitte das Ende. los ejercicios al final del capítulo."
 
 
+def test_misread_words_of_chunks_alone_are_found(spark):
+    pages = spark.createDataFrame([(f"p{i}", "d", i, " ".join(BODY * 5)) for i in range(5)], "page_id string, document_id string, page_number int, text string")
+    chunks = spark.createDataFrame([("c1", "d", "the rneasured sample supports"), ("c2", "d", "the careful pres5ure and"), ("c3", "d", "the measured sample")], "chunk_id string, document_id string, text string")
+    assert {tuple(r) for r in scans.find_noise(pages, chunks)[0].collect()} == {("c1", "char_error"), ("c2", "char_error")}
+
+
 def test_edge_lines():
     assert scans.edge_line("Page 92 of 100") == (92, True, "") and scans.edge_line("cxxviii")[:2] == (128, False)
     assert scans.edge_line("158    NOTES ON IT") == (158, False, "NOTES ON IT") and scans.edge_line("Lesson 7: Gas    179")[0] == 179
