@@ -54,6 +54,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.all_pairs(*_cards(spark, d)).select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every card with at least 12 words, its class of equal texts, and to how many other classes that is similar."""
+    c = neardup.classes(*_cards(spark, d))
+    return c.select(F.col("id").alias("card_id"), F.col("class").alias("class_id"), "links")
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The similar pairs of classes with their similarity: with p4_classes, all similar pairs of cards."""
+    return neardup.class_links(*_cards(spark, d)).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every card with at least 12 words, its group, and whether it is the one to keep."""
     g = neardup.groups(*_cards(spark, d))
@@ -89,11 +100,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_repaired, p3_neighbours, p3_found, p4_found, p4_groups, p5_found, p6_containers, p7_leaks, p7_found, p8_scores, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_pieces, p1_found, p2_found, p2_repaired, p3_neighbours, p3_found, p4_found, p4_classes, p4_links, p4_groups, p5_found, p6_containers, p7_leaks, p7_found, p8_scores, p8_found)}
 
 _TOKENS = r"len(regexp_extract_all({}, '[^\t\n\x0B\f\r \x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'))"
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
+_SETS = f"""words AS (SELECT DISTINCT card_id, {_WORDS.format("concat_ws(' ', coalesce(title, ''), coalesce(content, ''))")} AS w FROM cards),
+        grams AS (SELECT DISTINCT card_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT card_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 12)),
+        of AS (SELECT card_id, min(card_id) OVER (PARTITION BY s) AS class_id FROM (SELECT card_id, string_agg(g, '|' ORDER BY g) AS s FROM grams GROUP BY 1)),
+        own AS (SELECT * FROM grams WHERE card_id IN (SELECT class_id FROM of)), sizes AS (SELECT card_id, count(*) AS n FROM own GROUP BY 1),
+        shared AS (SELECT a.card_id AS x, b.card_id AS y, count(*) AS m FROM own a JOIN own b ON a.g = b.g AND a.card_id < b.card_id GROUP BY ALL),
+        links AS (SELECT x, y, m / (s.n + t.n - m) AS jaccard FROM shared JOIN sizes s ON x = s.card_id JOIN sizes t ON y = t.card_id WHERE m >= 0.5 * (s.n + t.n - m)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), degree AS (SELECT x AS class_id, count(*) AS n FROM both_ways GROUP BY 1)"""
+
 SQL = {
     "p1_found": f"""
         SELECT DISTINCT 'document' AS item_kind, document_id AS item_id FROM parsed_documents WHERE {_TOKENS.format("full_text")} > 512
@@ -110,6 +129,12 @@ SQL = {
         sizes AS (SELECT card_id, count(*) AS n FROM grams GROUP BY card_id),
         shared AS (SELECT a.card_id AS x, b.card_id AS y, count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.card_id < b.card_id GROUP BY ALL)
         SELECT x AS card_id_a, y AS card_id_b FROM shared JOIN sizes s ON x = s.card_id JOIN sizes t ON y = t.card_id WHERE m >= 0.5 * (s.n + t.n - m)""",
+    "p4_classes": f"WITH {_SETS} SELECT card_id, class_id, coalesce(n, 0) AS links FROM of LEFT JOIN degree USING (class_id)",
+    "p4_links": f"WITH {_SETS} SELECT x AS class_a, y AS class_b, round(jaccard, 6) AS jaccard FROM links",
+    "p4_groups": f"""
+        WITH RECURSIVE {_SETS}, reach AS (SELECT DISTINCT class_id AS x, class_id AS y FROM of UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+        roots AS (SELECT x AS class_id, min(y) AS group_id FROM reach GROUP BY 1)
+        SELECT card_id, group_id, coalesce(n, 0) AS links, card_id = group_id AS keep FROM of JOIN roots USING (class_id) LEFT JOIN degree USING (class_id)""",
     "p7_found": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
         e AS (SELECT DISTINCT item_id, {_WORDS.format("passage")} AS w FROM eval_queries WHERE passage IS NOT NULL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,14 +155,13 @@ def _texts(seed=0):
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 1])
-def test_pairs_against_brute_force(spark, hot):
+@pytest.mark.parametrize("block", [400, 1, 2])
+def test_pairs_against_brute_force(spark, block):
     texts = _texts()
     df = spark.createDataFrame([*texts.items(), ("r0000", texts["r0000"]), (None, "a b"), ("null", None)], "id string, t string")
     links, members = neardup.near_duplicates(df, "id", F.col("t"), 0.5, 3)
-    if hot == 1:
-        sets = neardup.shingled(df, "id", F.col("t"), 3).join(members.where("id = cls").select("id"), "id", "left_semi")
-        links = neardup.similar_classes(sets, 0.5, hot=1)  # every bucket crowded: all by rare shingles
+    if block < 400:
+        links = neardup.similar_classes(neardup.shingled(df, "id", F.col("t"), 3), 0.5, block=block)  # buckets of more classes than this meet block by block
     got = {(r["a"], r["b"]) for r in neardup.all_pairs(links, members).collect()}
     sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in texts.items() if len(w := t.lower().replace("!", "").replace(",", "").split()) >= 12}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
@@ -170,14 +170,46 @@ def test_pairs_against_brute_force(spark, hot):
     assert all(g[a] == g[b] for a, b in want) and g.keys() == sets.keys()
 
 
-def test_many_copies_come_as_a_star(spark):
+def test_a_crowded_bucket_loses_no_pair(spark):
+    rng = np.random.default_rng(6)
+    base = list(rng.choice(WORDS, 40))
+    texts = {f"k{i:02d}": " ".join([*base, f"x{i}", f"y{i}", f"z{i}"]) for i in range(70)}  # all alike, so all bands are crowded
+    df = spark.createDataFrame([*texts.items()], "id string, t string")
+    sets = neardup.shingled(df, "id", F.col("t"), 3)
+    for block in (400, 16):
+        got = neardup.similar_classes(sets, 0.5, block=block)
+        assert got.count() == got.select("a", "b").distinct().count() == 70 * 69 // 2
+
+
+def test_buckets_are_paired_across_batches():
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 40, 900)) * (1 << 40) - (1 << 44)
+    rows = pd.DataFrame({"key": key, "cls": rng.integers(0, 300, 900)}).sort_values(["key", "cls"], ignore_index=True)
+    want = {(k, a, b) for k, g in rows.groupby("key") for a in g.cls for b in g.cls if a < b}
+    for block in (1000, 9, 1):
+        for size in (1, 7, 900):
+            out = pd.concat(neardup._paired(block)(rows.iloc[i : i + size] for i in range(0, 900, size)))
+            pairs, rest = out[out.nth < 0], out[out.nth >= 0]
+            got = {(k, a, b) for k, g in rest.groupby("key") for a in g.a for b in g.a if a < b}
+            assert {(a, b) for _, a, b in want} == set(zip(pairs.a, pairs.b)) | {(a, b) for _, a, b in got}
+            assert all(sorted(g.nth) == list(range(len(g))) and g.a.is_unique and len(g) > block for _, g in rest.groupby("key"))
+
+
+def test_many_copies_grow_with_their_number(spark):
     t = " ".join(WORDS[:20])
-    df = spark.createDataFrame([(f"k{i:03d}", t) for i in range(130)] + [("z", t + " more")], "id string, t string")
+    rows = [(f"k{i:03d}", t) for i in range(130)] + [("z0", t + " more"), ("z1", t + " more")]
+    df = spark.createDataFrame(rows, "id string, t string")
     links, members = neardup.near_duplicates(df, "id", F.col("t"), 0.5, 3)
-    got = {(r["a"], r["b"]) for r in neardup.all_pairs(links, members).collect()}
-    assert got == {("k000", f"k{i:03d}") for i in range(1, 130)} | {("k000", "z")}
+    pairs = lambda n: {(r["a"], r["b"]) for r in neardup.all_pairs(links, members, n).collect()}
+    ids = [i for i, _ in rows]
+    assert pairs(None) == pairs(129) == {(a, b) for a in ids for b in ids if a < b}
+    first = set(ids[:5]) | {"z0", "z1"}
+    assert pairs(5) == {(a, b) for a in ids for b in ids if a < b and first & {a, b}}
+    of = {r["id"]: (r["class"], r["links"]) for r in neardup.classes(links, members).collect()}
+    assert of == {i: ("k000" if i[0] == "k" else "z0", 1) for i in ids}
+    assert [(r["a"], r["b"]) for r in neardup.class_links(links, members).collect()] == [("k000", "z0")]
     empty, none = neardup.near_duplicates(df.limit(0), "id", F.col("t"))
-    assert empty.count() == 0 and none.count() == 0
+    assert empty.count() == 0 and none.count() == 0 and neardup.groups(empty, none).count() == 0 and neardup.all_pairs(empty, none).count() == 0
 
 
 def test_posterior_bounds_rise():
