@@ -2,23 +2,31 @@
 
 Method: prompt and response are aligned by shingle containment and longest common
 subsequence, which finds copies; every stretch of the response is aligned with refusal
-templates in the same way, which finds refusals. Languages are told apart by their function words. A
-response is cut short where it stops without a full stop and its last sentence is built
-unlike any whole sentence of the corpus: patterns and word endings are counted by Spark
-over all responses.
+templates in the same way, which finds refusals. The templates are a few general wordings
+and what the corpus itself shows: clauses that speak of oneself or deny something and
+come again and again as answers to questions they share no content with. Languages are
+told apart by profiles of letter trigrams, learnt from texts whose function words are
+clear. A response is cut short where it stops without a full stop and its last sentence
+is built unlike any whole sentence of the corpus: patterns and word endings are counted
+by Spark over all responses.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.lineage import cut
+from lectern.functions.skew import salted_join
 
 # Function words by which a language is known.
 FUNCTION_WORDS = {
@@ -37,24 +45,23 @@ LANGUAGE_NAMES = {
 # Responses that say nothing.
 NOTHING = set("none null nil nan n/a na tbd unknown empty blank - not_applicable no_answer keine keine_antwort nichts aucun aucune aucune_réponse sans_réponse rien ninguno ninguna nada sin_respuesta no_aplica entfällt undefined".split())
 LABEL = re.compile(r"\s*(?:answers?|a|antwort|réponse|reponse|respuesta|response|r|assistant|ans)\s*[:.\-)]*\s*", re.I)
-# How refusals are worded; ... stands for anything.
+# General wordings of refusals; others are learnt.
 REFUSALS = [
-    "that lies outside what i may discuss", "i would rather not comment on that", "my instructions do not permit a reply here", "we are unable to process questions of this kind",
-    "no reply is possible on the basis of the given context", "the passage gives too little information for an answer", "the supplied text says nothing from which a reply could be drawn",
-    "this is something i have to decline", "there is no way for me to tell from this excerpt", "i can't answer that", "i cannot answer that question", "i am not able to help with this request",
-    "i can't help with that", "i'm unable to answer this question", "i won't be providing a solution to this exercise", "i do not know and the section on the ... is not available to me",
-    "i don't have details about the ... so this has to stay open", "i don't have enough information to answer", "i do not have access to that information", "i must decline to answer",
-    "reicht der vorliegende text für eine antwort nicht aus", "darf ich dazu keine auskunft geben", "lässt sich dem abschnitt keine antwort entnehmen", "kann ich diese frage nicht beantworten",
-    "kann ich dabei nicht helfen", "möchte ich mich dazu nicht äußern", "ich kann diese frage nicht beantworten",
-    "le passage ne permet pas de répondre", "je ne peux pas répondre à cette demande", "il m'est impossible de traiter ce point", "aucune réponse ne peut être tirée du texte fourni", "je préfère ne pas me prononcer",
-    "je ne suis pas en mesure de répondre à cette question", "je ne peux pas vous aider",
-    "no puedo responder a esa petición", "prefiero no opinar sobre ello", "del texto dado no se obtiene respuesta alguna", "el fragmento no permite dar una respuesta", "no me es posible ayudar con este ejercicio",
-    "no puedo ayudar con eso", "no estoy en condiciones de responder",
+    "i cannot answer", "i can't answer", "unable to answer", "not able to answer", "cannot help with", "can't help with", "not able to help", "i do not know the answer", "i don't know the answer",
+    "i do not have access", "i don't have access", "i do not have details about", "i don't have details about", "not enough information", "not available to me", "i must decline", "i cannot provide",
+    "kann ich nicht beantworten", "kann diese frage nicht beantworten", "kann ich nicht helfen", "keine auskunft geben", "je ne peux pas répondre", "je ne peux pas vous aider", "il m'est impossible",
+    "no puedo responder", "no puedo ayudar", "no me es posible",
 ]
+# Words by which one speaks of oneself or denies something; a learnt template has one of them.
+MARKERS = set("i we me my our not no nothing cannot can't unable too little don't won't ich wir mir mich nicht kein keine nichts je nous me m ne pas aucun aucune rien yo nos no nada ninguno ninguna".split())
+# How a question asks for a translation.
+TRANSLATE = re.compile(r"translat|übersetz|tradui|traduc|traduz")
 #: Shares of tokens in order: of a template in a response, of a response and of the question's last sentence in a copy.
 REFUSAL_ALIKE, COPY_ALIKE, COPY_COVERS = 0.8, 0.85, 0.5
-#: At most so many words stand for ... in a template.
-OPEN = 20
+#: A template is learnt from clauses of at least so many words, in answers of at most so many, if it answers so many unrelated pairs (and at least this share of all), at this share of its occurrences.
+CLAUSE, ANSWER, REPEATS, REPEAT_SHARE, UNRELATED = 5, 40, 3, 1e-5, 0.9
+#: Buckets of the hashed letter trigrams, words that are judged at least, and by how much per trigram one language must lead, or the question's fall short of its own texts.
+BUCKETS, JUDGED, LEAD, SHORT = 1 << 15, 5, 0.25, 2.5
 #: A tail of at most this many words is a short phrase; so many last parts of a pattern tell how a sentence ends.
 PHRASE, ENDING = 4, 7
 
@@ -62,22 +69,65 @@ _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
 _PIECE = re.compile(r"\d[\d.,]*|[^\W\d_]+(?:['’\-/^][^\W_]+)*|[,;:(]|\S")
 _CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*\s*(?:(?:\[[^\]]*\]|\([^()]*\)|→\s*\S+|[*_\"'”’»)\]])\s*)*$")
+_OPEN = re.compile(r"\s*(?:\.{3,}|…)[\"'”’»)\]]*$")
+_CLAUSE = re.compile(r"[.!?…;:,()\n]+(?=\s|$)|\s[-–—]+\s")
+_HANGING = re.compile(r"^(?=.*[^\W\d_]).*[,;:(\-–\"“«]\s*$", re.S)
+_NAMED = re.compile(r"(?:\b(?:by|that|de|von|par|por)\s+|\()[^\W\d_a-zß-öø-ÿ][^\W\d_]+\W*$")
+_TRAIL = re.compile(r"\s*(?:\[[\d ,]+\]|→\s*\S+)\s*$")
+_KNOWN = {w for ws in FUNCTION_WORDS.values() for w in ws}
+_NAMES = {
+    "en": "english englisch anglais inglés",
+    "de": "german deutsch deutsche deutscher deutschen allemand alemán",
+    "fr": "french französisch französische französischen français francés",
+    "es": "spanish spanisch spanische spanischen espagnol español",
+}
+# Responses that say nothing.
+NOTHING = set("none null nil nan n/a na tbd unknown empty blank - not_applicable no_answer keine keine_antwort nichts aucun aucune aucune_réponse sans_réponse rien ninguno ninguna nada sin_respuesta no_aplica entfällt undefined".split())
+LABEL = re.compile(r"\s*(?:answers?|a|antwort|réponse|reponse|respuesta|response|r|assistant|ans)\s*[:.\-)]*\s*", re.I)
+# General wordings of refusals; others are learnt.
+REFUSALS = [
+    "i cannot answer", "i can't answer", "unable to answer", "not able to answer", "cannot help with", "can't help with", "not able to help", "i do not know the answer", "i don't know the answer",
+    "i do not have access", "i don't have access", "i do not have details about", "i don't have details about", "not enough information", "not available to me", "i must decline", "i cannot provide",
+    "kann ich nicht beantworten", "kann diese frage nicht beantworten", "kann ich nicht helfen", "keine auskunft geben", "je ne peux pas répondre", "je ne peux pas vous aider", "il m'est impossible",
+    "no puedo responder", "no puedo ayudar", "no me es posible",
+]
+# Words by which one speaks of oneself or denies something; a learnt template has one of them.
+MARKERS = set("i we me my our not no nothing cannot can't unable too little don't won't ich wir mir mich nicht kein keine nichts je nous me m ne pas aucun aucune rien yo nos no nada ninguno ninguna".split())
+# How a question asks for a translation.
+TRANSLATE = re.compile(r"translat|übersetz|tradui|traduc|traduz")
+#: Shares of tokens in order: of a template in a response, of a response and of the question's last sentence in a copy.
+REFUSAL_ALIKE, COPY_ALIKE, COPY_COVERS = 0.8, 0.85, 0.5
+#: A template is learnt from clauses of at least so many words, in answers of at most so many, if it answers so many unrelated pairs (and at least this share of all), at this share of its occurrences.
+CLAUSE, ANSWER, REPEATS, REPEAT_SHARE, UNRELATED = 5, 40, 3, 1e-5, 0.9
+#: Buckets of the hashed letter trigrams, words that are judged at least, and by how much per trigram one language must lead, or the question's fall short of its own texts.
+BUCKETS, JUDGED, LEAD, SHORT = 1 << 15, 5, 0.25, 2.5
+#: A tail of at most this many words is a short phrase; so many last parts of a pattern tell how a sentence ends.
+PHRASE, ENDING = 4, 7
+
+_WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
+_PIECE = re.compile(r"\d[\d.,]*|[^\W\d_]+(?:['’\-/^][^\W_]+)*|[,;:(]|\S")
+_CLOSED = re.compile(r"[.!?…][\"'”’»)\]]*\s*(?:(?:\[[^\]]*\]|\([^()]*\)|→\s*\S+|[*_\"'”’»)\]])\s*)*$")
+_OPEN = re.compile(r"\s*(?:\.{3,}|…)[\"'”’»)\]]*$")
+_CLAUSE = re.compile(r"[.!?…;:,()\n]+(?=\s|$)|\s[-–—]+\s")
+_HANGING = re.compile(r"^(?=.*[^\W\d_]).*[,;:(\-–\"“«]\s*$", re.S)
+_NAMED = re.compile(r"(?:\b(?:by|that|de|von|par|por)\s+|\()[^\W\d_a-zß-öø-ÿ][^\W\d_]+\W*$")
 _TRAIL = re.compile(r"\s*(?:\[[\d ,]+\]|→\s*\S+)\s*$")
 _KNOWN = {w for ws in FUNCTION_WORDS.values() for w in ws}
-#: Of each template its words, their counts, and the length of the stretch it is sought in, with room for what ... stands for.
-_REFUSAL_WORDS = [(w, Counter(w), 2 * len(w) + OPEN * r.count("...")) for r in REFUSALS for w in [_WORD.findall(r.replace("...", " "))]]
 _NAMES = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names.split()}
 _OF = {lang: set(ws) for lang, ws in FUNCTION_WORDS.items()}
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence; a row of the table is one whole number, so long texts take little time."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def language(words: list[str]) -> str | None:
@@ -86,6 +136,83 @@ def language(words: list[str]) -> str | None:
     return hits[0][1] if hits[0][0] >= 3 and hits[0][0] >= 1.5 * hits[1][0] else None
 
 
+def script(words: list[str]) -> str:
+    """The script of most letters of a text, by the first word of their Unicode names."""
+    seen = Counter(c for w in words for c in w if c.isalpha())
+    kinds: Counter = Counter()
+    for c, n in seen.items():
+        kinds["LATIN" if c.isascii() else unicodedata.name(c, "?").split()[0]] += n
+    return max(kinds, key=kinds.get) if kinds else ""
+
+
+def _trigrams(word: str) -> list[int]:
+    """Buckets of the letter trigrams of a word; none if it holds a digit."""
+    if any(c.isdigit() for c in word):
+        return []
+    w = f" {word} "
+    return [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
+
+
+class Profiles:
+    """Trigram profiles of languages; a fixed number of numbers, however many texts they come from."""
+
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.names = sorted(counts)
+        self.log = np.array([np.log((counts[x] + 0.5) / (counts[x].sum() + 0.5 * BUCKETS)) for x in self.names]).reshape(len(self.names), BUCKETS)
+        self.own = (np.exp(self.log) * self.log).sum(1)  # what a text of the language has per trigram on average
+        self.kept: dict[str, tuple[int, np.ndarray]] = {}
+
+    def fit(self, words: list[str]) -> np.ndarray | None:
+        """Of each language, by how much a text falls short of its texts, per trigram; None for few words."""
+        if len(words) < JUDGED or not self.names:
+            return None
+        n, total = 0, np.zeros(len(self.names))
+        for w in words:
+            if w not in self.kept:
+                if len(self.kept) > 200_000:
+                    self.kept.clear()
+                t = _trigrams(w)
+                self.kept[w] = len(t), self.log[:, t].sum(1)
+            m, x = self.kept[w]
+            n, total = n + m, total + x
+        return total / n - self.own if n else None
+
+    def differ(self, question: list[str], answer: list[str]) -> str | None:
+        """The language of an answer (? for an unknown one) if it is another than the question's."""
+        of_q, of_a = script(question), script(answer)
+        if of_q and of_a and of_q != of_a:
+            return "?"
+        q, a = self.fit(question), self.fit(answer)
+        if q is None or a is None:
+            return None
+        asked, said = int(q.argmax()), int(a.argmax())
+        if asked != said and a[said] - a[asked] >= LEAD and (len(q) < 2 or q[asked] - q[said] >= LEAD):
+            return self.names[said]
+        return "?" if q[asked] > -SHORT / 2 and a[asked] < -SHORT else None
+
+
+class Templates:
+    """Refusal templates, found by the longest words of each, of which a text that aligns with it has one."""
+
+    def __init__(self, templates: list[list[str]]):
+        self.by_word: dict[str, list[tuple[int, list[str], Counter]]] = defaultdict(list)
+        for i, t in enumerate(templates):
+            for w in sorted(set(t), key=lambda w: (-len(w), w))[: len(t) - math.ceil(REFUSAL_ALIKE * len(t)) + 1]:
+                self.by_word[w].append((i, t, Counter(t)))
+
+    def match(self, words: list[str]) -> bool:
+        """Whether a template is aligned with a stretch of the response, wherever it stands."""
+        have, seen = Counter(words), set()
+        for key in have.keys() & self.by_word.keys():
+            for i, t, need in self.by_word[key]:
+                if i in seen or sum(min(n, have[w]) for w, n in need.items()) < REFUSAL_ALIKE * len(t):
+                    continue
+                seen.add(i)
+                if any(w in need and common_subsequence(t, words[j : j + 2 * len(t)]) >= REFUSAL_ALIKE * len(t) for j, w in enumerate(words)):
+                    return True
+        return False
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
@@ -94,15 +221,15 @@ def is_empty(answer: str | None) -> bool:
     return not words or LABEL.fullmatch(answer) is not None or "_".join(words) in NOTHING or rest.strip().lower().strip(".!()[]<>*\"'") in NOTHING
 
 
-def is_refusal(words: list[str]) -> bool:
-    """Whether a template is aligned with a stretch of the response, wherever it stands."""
-    have = Counter(words)
-    for r, need, span in _REFUSAL_WORDS:
-        if sum(min(n, have[w]) for w, n in need.items()) < REFUSAL_ALIKE * len(r):
-            continue
-        if any(w in need and common_subsequence(r, words[i : i + span]) >= REFUSAL_ALIKE * len(r) for i, w in enumerate(words)):
-            return True
-    return False
+def longest_clause(answer: str, question: list[str]) -> tuple[str, bool] | None:
+    """The longest clause of a short answer, if it has enough words and a marker, and whether no content word of the answer is in the question."""
+    clauses = [_WORD.findall(c) for c in _CLAUSE.split(answer.lower().replace("’", "'"))]
+    if sum(map(len, clauses)) > ANSWER:
+        return None
+    best = max(clauses, key=len)
+    if len(best) < CLAUSE or MARKERS.isdisjoint(best) or any(w.isdigit() for w in best):
+        return None
+    return " ".join(best), not any(w in question and w not in _KNOWN and w not in MARKERS for c in clauses for w in c)
 
 
 def is_copy(answer: list[str], question: list[str], last: list[str]) -> bool:
@@ -114,7 +241,7 @@ def is_copy(answer: list[str], question: list[str], last: list[str]) -> bool:
     own = list(zip(answer, answer[1:]))
     if sum(s in shingles for s in own) < 0.5 * len(own):
         return False
-    return common_subsequence(answer, question) >= COPY_ALIKE * len(answer)
+    return common_subsequence(answer, question * -(-len(answer) // len(question))) >= COPY_ALIKE * len(answer)  # it may be given back twice
 
 
 def pattern(sentence: str) -> list[str]:
@@ -136,50 +263,92 @@ def pattern(sentence: str) -> list[str]:
 
 
 def sentences(text: str) -> tuple[list[str], str]:
-    """The closed sentences of a text and what follows the last of them."""
-    parts = [p for p in _SENTENCE.split(text.strip()) if p]
+    """The closed sentences of a text and what follows the last of them; one that trails off with dots is not closed."""
+    text = text.strip()
+    parts = [p for p in _SENTENCE.split(text) if p]
     if not parts:
         return [], ""
-    return (parts, "") if _CLOSED.search(text.strip()) else (parts[:-1], _TRAIL.sub("", parts[-1]))
+    if _OPEN.search(text):
+        return [p for p in parts[:-1] if not _OPEN.search(p)], _OPEN.sub("", parts[-1])
+    closed, tail = (parts, "") if _CLOSED.search(text) else (parts[:-1], _TRAIL.sub("", parts[-1]))
+    return [p for p in closed if not _OPEN.search(p)], tail
 
 
-def judge(question: str | None, answer: str | None) -> str:
+def judge(question: str | None, answer: str | None, templates: Templates, profiles: Profiles) -> str:
     """empty, refusal, copy or other_language; '' where only the end of the answer is left to judge."""
     if is_empty(answer):
         return "empty"
     q, words = (question or "").strip(), _WORD.findall(answer.lower().replace("’", "'"))
-    if is_refusal(words):
+    if templates.match(words):
         return "refusal"
     q_words = _WORD.findall(q.lower().replace("’", "'"))
     ends = [p for p in _SENTENCE.split(q) if p]
     if is_copy(words, q_words, _WORD.findall(ends[-1].lower().replace("’", "'")) if ends else []):
         return "copy"
     of_q, of_a = language(q_words), language(words)
-    if of_q and of_a and of_q != of_a and of_a not in {_NAMES.get(w) for w in q_words}:
+    other = of_a if of_q and of_a and of_q != of_a else profiles.differ(q_words, words) if not (of_q and of_a) else None
+    if other and other not in {_NAMES.get(w) for w in q_words} and not (other == "?" and TRANSLATE.search(q.lower())):
         return "other_language"
     return ""
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judged(templates, profiles):
+    """templates and profiles: broadcasts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, said = Templates(templates.value), Profiles(profiles.value)
+        for b in batches:
+            out = []
+            for i, q, a in zip(b["id"], b["q"], b["a"]):
+                kind, tail, last, pat, end, alone = judge(q, a, known, said), "", "", "", "", False
+                if not kind:
+                    closed, tail = sentences(a)
+                    alone = not closed
+                    found = _WORD.findall(tail.lower())
+                    parts = pattern(tail)
+                    last, pat, end = (found[-1] if found else ""), " ".join(parts), " ".join(["…", *parts[-ENDING:]]) if len(parts) > ENDING else ""
+                out.append((i, kind, last, pat, end, alone, bool(_HANGING.search(tail)), bool(_NAMED.search(tail))) if kind or tail else None)
+            yield pd.DataFrame([x for x in out if x], columns=["id", "kind", "last", "pattern", "ending", "alone", "hanging", "named"])
+
+    return run
+
+
+def _profile_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, bucket, n): trigrams of the texts whose function words are clear."""
     for b in batches:
+        seen: dict[str, Counter] = defaultdict(Counter)
+        for column in ("q", "a"):
+            for t in b[column]:
+                if t:
+                    words = _WORD.findall(t.lower().replace("’", "'"))
+                    if (lang := language(words)) is not None:
+                        seen[lang].update(words)
         out = []
-        for i, q, a in zip(b["id"], b["q"], b["a"]):
-            kind, tail, last, pat, end, alone = judge(q, a), "", "", "", "", False
-            if not kind:
-                closed, tail = sentences(a)
-                alone = not closed
-                found = _WORD.findall(tail.lower())
-                parts = pattern(tail)
-                last, pat, end = (found[-1] if found else ""), " ".join(parts), " ".join(["…", *parts[-ENDING:]]) if len(parts) > ENDING else ""
-            out.append((i, kind, tail, last, pat, end, alone))
-        yield pd.DataFrame(out, columns=["id", "kind", "tail", "last", "pattern", "ending", "alone"])
+        for lang, words in seen.items():
+            n = np.zeros(BUCKETS, np.int64)
+            for w, m in words.items():
+                for t in _trigrams(w):
+                    n[t] += m
+            at = np.flatnonzero(n)
+            out.append(pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]}))
+        if out:
+            yield pd.concat(out)
 
 
 def _attested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a batch: patterns of whole sentences and of their ends ('p'), words ('w') and words at a sentence's end ('e')."""
+    """Counts of a batch: patterns of whole sentences and of their ends ('p'), words ('w'), words at a sentence's end ('e'), clauses that may be refusals ('c') and those of them that share nothing with the question ('u'), with the least and the largest hash of their questions."""
     for b in batches:
         seen: Counter = Counter()
-        for a in b["a"]:
+        asked: dict[str, tuple[int, int]] = {}
+        for q, a in zip(b["q"], b["a"]):
+            words = set(_WORD.findall((q or "").lower().replace("’", "'")))
+            if (clause := longest_clause(a, words)) is not None:
+                seen["c", clause[0]] += 1
+                if clause[1]:
+                    seen["u", clause[0]] += 1
+                    h = zlib.crc32((q or "").encode())
+                    low, high = asked.get(clause[0], (h, h))
+                    asked[clause[0]] = min(low, h), max(high, h)
             closed, tail = sentences(a)
             for s in closed:
                 parts = pattern(s)
@@ -191,32 +360,52 @@ def _attested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if words:
                     seen["e", words[-1]] += 1
             seen.update(("w", w) for w in _WORD.findall(tail.lower())[:-1])
-        yield pd.DataFrame([(k, x, n) for (k, x), n in seen.items()], columns=["k", "x", "n"])
+        yield pd.DataFrame([(k, x, n, *(asked[x] if k == "u" else (None, None))) for (k, x), n in seen.items()], columns=["k", "x", "n", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
+
+
+def refusal_templates(counts: DataFrame, n: int) -> DataFrame:
+    """(x): clauses learnt as refusals from the counts over n pairs; their number is at most 1 / REPEAT_SHARE."""
+    u = counts.where("k = 'u'").where((F.col("n") >= max(REPEATS, math.ceil(REPEAT_SHARE * n))) & (F.col("low") < F.col("high"))).select("x", F.col("n").alias("u"))
+    return u.join(counts.where("k = 'c'").select("x", F.col("n").alias("c")), "x").where(F.col("u") >= UNRELATED * F.col("c")).select("x")
 
 
-def find_defects(pairs: DataFrame, key: str, question: str, answer: str) -> DataFrame:
+def find_defects(pairs: DataFrame, key: str, question: str, answer: str, seeds: list[str] | None = None) -> DataFrame:
     """(key, defect) of the defective pairs; one defect each, the first that holds of empty, refusal, copy, other_language, truncated.
 
     Repeated rows count once; a null key is kept as one. A null question leaves the
-    response to be judged alone. Texts are read whole; an empty table gives no row.
+    response to be judged alone. Texts are read whole; an empty table gives no row. seeds:
+    refusal wordings known beforehand (REFUSALS). The learnt templates, at most 1 /
+    REPEAT_SHARE, and the profiles, of fixed size, are sent to every task.
     """
-    rows = pairs.select(F.col(key).cast("string").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a")).distinct()
-    judged = cut(rows.mapInPandas(_judged, "id string, kind string, tail string, last string, pattern string, ending string, alone boolean").where("kind != '' or tail != ''"))
-    counts = cut(rows.where("a is not null").select("a").mapInPandas(_attested, "k string, x string, n bigint").groupBy("k", "x").agg(F.sum("n").alias("n")))
+    context = pairs.sparkSession.sparkContext
+    rows = cut(pairs.select(F.col(key).cast("string").alias("id"), F.col(question).alias("q"), F.col(answer).alias("a")).distinct())
+    counted = rows.where("a is not null").mapInPandas(_attested, "k string, x string, n bigint, low bigint, high bigint")
+    counts = cut(counted.groupBy("k", "x").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    learnt = [r["x"].split() for r in refusal_templates(counts, rows.count()).collect()]
+    templates = context.broadcast([_WORD.findall(r) for r in (REFUSALS if seeds is None else seeds)] + learnt)
+    grams: dict[str, np.ndarray] = {}
+    for r in rows.mapInPandas(_profile_rows, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS for each language at most
+        grams.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
+    judged = cut(rows.mapInPandas(_judged(templates, context.broadcast(grams)), "id string, kind string, last string, pattern string, ending string, alone boolean, hanging boolean, named boolean"))
+    form = ["last", "pattern", "ending", "alone", "hanging", "named"]
+    open_end = judged.where("kind = ''")
+    forms = open_end.select(*form).distinct()  # each form is looked up once, so a frequent one is no hot key
     whole = counts.where("k = 'p'").select(F.col("x").alias("pattern"), F.lit(True).alias("whole"))
+    ends = whole.withColumnsRenamed({"pattern": "ending", "whole": "ends"})
     used = counts.where("k = 'w'").select(F.col("x").alias("last"), F.col("n").alias("used"))
     final = counts.where("k = 'e'").select(F.col("x").alias("last"), F.col("n").alias("final"))
-    ends = whole.withColumnsRenamed({"pattern": "ending", "whole": "ends"})
-    open_end = judged.where("tail != ''").join(whole, "pattern", "left").join(ends, "ending", "left").join(used.join(final, "last", "left"), "last", "left")
+    ended = forms.where("ending != ''").select("ending").distinct().join(ends, "ending")
+    words = forms.select("last").distinct().join(used, "last", "left").join(final, "last", "left")
+    looked = salted_join(salted_join(salted_join(forms, whole, ["pattern"], "last", "left"), ended, ["ending"], "pattern", "left"), words, ["last"], "pattern", "left")
     used_n, final_n = F.coalesce("used", F.lit(0)), F.coalesce("final", F.lit(0))
     number = F.col("last").rlike(r"^\d+$")
     unit = F.col("pattern").rlike(r"(?:^| )0 u$")
-    unknown = (used_n == 0) & ~number & ~unit & ~F.col("tail").rlike(r"(?:\b(?:by|that|de|von|par|por)\s+|\()\p{Lu}[\p{L}]+\W*$")
+    unknown = (used_n == 0) & ~number & ~unit & ~F.col("named")
     seldom = (used_n >= 20) & (final_n < 0.01 * used_n)
     phrase = F.col("alone") & (F.size(F.split("pattern", " ")) <= PHRASE)
-    hanging = F.col("tail").rlike(r"[,;:(\-–\"“«]\s*$") & F.col("tail").rlike(r"\p{L}")
     listed = F.col("pattern").rlike(r"^\*(?: \*)*(?: , \*(?: \*)*)+$")
-    cut_off = hanging | unknown | seldom | (F.coalesce("whole", "ends").isNull() & ~phrase & ~listed)
-    short = phrase & ~unknown & ~seldom & ~hanging
-    truncated = open_end.where(cut_off & ~short).select("id", F.lit("truncated").alias("defect"))
+    cut_off = F.col("hanging") | unknown | seldom | (F.coalesce("whole", "ends").isNull() & ~phrase & ~listed)
+    short = phrase & ~unknown & ~seldom & ~F.col("hanging")
+    broken = looked.where(cut_off & ~short).select(*form)
+    truncated = salted_join(open_end, broken, form, "id").select("id", F.lit("truncated").alias("defect"))
     return judged.where("kind != ''").select("id", F.col("kind").alias("defect")).union(truncated).groupBy("id").agg(F.min("defect").alias("defect")).withColumnRenamed("id", key)

@@ -224,10 +224,10 @@ def test_kinds_of_defect(spark):
     q = "Why does the warm layer limit the small probe at low speed?"
     good = ["The layer limits the probe because the field holds the wave.", "It holds the wave of the field near the layer.", "The layer limits the wave and the probe follows the field.", "The layer limits the wave and the probe follows the field"] * 12
     rows = [(f"g{i}", q, a) for i, a in enumerate(good)]
-    rows += [("e1", q, None), ("e2", q, "  "), ("e3", q, "N/A"), ("e4", q, "Answer:"), ("e5", q, "..."), ("r1", q, "I'm sorry, but I can't answer that."), ("r2", q, "Leider darf ich dazu keine Auskunft geben."),
-             ("c1", q, "why does the warm layer limit the small probe at low speed"), ("c2", q, "Question: " + q), ("o1", q, "Die Schicht begrenzt die Sonde, weil das Feld die Welle hält und nicht der Kern."),
+    rows += [("e1", q, None), ("e2", q, "  "), ("e3", q, "N/A"), ("e4", q, "Answer:"), ("e5", q, "..."), ("r1", q, "I'm sorry, but I can't answer that."), ("r2", q, "Leider kann ich dazu keine Auskunft geben."),
+             ("c1", q, "why does the warm layer limit the small probe at low speed"), ("c2", q, "Question: " + q), ("c3", q, q + " " + q), ("o1", q, "Die Schicht begrenzt die Sonde, weil das Feld die Welle hält und nicht der Kern."),
              ("n1", q + " Answer in German.", "Die Schicht begrenzt die Sonde, weil das Feld die Welle hält und nicht der Kern."), ("n2", q, "The layer"), ("n3", q, "5.4 kg"), ("n4", q, "wave, probe, layer"), ("n5", None, "The field holds the wave."),
-             ("t1", q, "The layer limits the probe because the"), ("t2", q, "It holds the wave of the field near the lay"), ("t3", q, "The layer limits,"), ("t3", q, "The layer limits,")]
+             ("t1", q, "The layer limits the probe because the"), ("t2", q, "It holds the wave of the field near the lay"), ("t3", q, "The layer limits,"), ("t3", q, "The layer limits,"), ("t4", q, "It holds the wave of the ..."), ("t5", q, "The layer limits the probe because…")]
     df = spark.createDataFrame(rows, "record_id string, question string, answer string")
     got = {r["record_id"]: r["defect"] for r in pairs.find_defects(df, "record_id", "question", "answer").collect()}
     kinds = {"e": "empty", "r": "refusal", "c": "copy", "o": "other_language", "t": "truncated"}
@@ -236,20 +236,54 @@ def test_kinds_of_defect(spark):
 
 
 def test_refusals_stand_anywhere():
+    known = pairs.Templates([pairs._WORD.findall(r) for r in pairs.REFUSALS] + ["this is nothing that we may decide here".split()])
     before = "the warm layer holds the wave of the field near the small probe and the slow core follows " * 4
-    for refusal in ("but i can't answer that", "leider darf ich dazu keine auskunft geben", "i don't have details about the inner part of the probe so this has to stay open"):
-        assert pairs.is_refusal((before + refusal).split()) and pairs.is_refusal((refusal + " " + before).split())
-    assert not pairs.is_refusal(before.split())
-    assert not pairs.is_refusal("we are here and the layer is slow but some are unable and have to wait before they process the long and old questions of this or that kind".split())
+    for refusal in ("but i can't answer that", "leider darf ich dazu keine auskunft geben", "so this is nothing we may decide right here"):
+        assert known.match((before + refusal).split()) and known.match((refusal + " " + before).split())
+    assert not known.match(before.split())
+    assert not known.match("we are here and the layer is slow but some are unable and have to wait before they process the long and old questions of this or that kind".split())
+
+
+def test_refusals_are_learnt(spark):
+    subjects = ["layer", "probe", "field", "wave", "core", "lens", "valve", "coil"]
+    q = {s: f"Why does the {s} hold the {t}?" for s, t in zip(subjects, subjects[1:] + subjects[:1])}
+    rows = [(f"g{s}{i}", q[s], f"Because in a warm room the {s} is not as slow as number {i} of the others.") for s in subjects for i in range(9)]
+    rows += [(f"r{s}", q[s], o + "that is not among the matters we look into." + e) for s, o, e in zip(subjects, ["", "Sorry, ", "Well; ", "", "Alas, "] * 2, ["", " Ask again."] * 4)]
+    rows += [("copies1", q["lens"], "We did not find out anything about it."), ("copies2", q["lens"], "We did not find out anything about it, alas."), ("copies3", q["lens"], "Oh, we did not find out anything about it.")]  # always the same question
+    df = spark.createDataFrame(rows, "record_id string, question string, answer string")
+    got = {r["record_id"] for r in pairs.find_defects(df, "record_id", "question", "answer").where("defect = 'refusal'").collect()}
+    assert got == {f"r{s}" for s in subjects}
+
+
+def test_languages_outside_any_list(spark):
+    rng = np.random.default_rng(8)
+    english = "the of and layer which field holds near wave with that because probe inner from slow this core warm small moves over into each other when surface light".split()
+    text = lambda n: " ".join(rng.choice(english, n)).capitalize() + "."
+    rows = [(f"g{i}", text(12), text(14)) for i in range(300)]
+    rows += [("polish", text(12), "Warstwa ogranicza sondę, ponieważ pole utrzymuje falę w pobliżu jądra przez cały czas."), ("chinese", text(12), "该层限制探针,因为场保持波在核心附近。"), ("greek", text(12), "Το στρώμα περιορίζει τον αισθητήρα επειδή το πεδίο κρατά το κύμα."),
+             ("asked", "Translate this: the layer which holds the field near that wave", "Warstwa ogranicza sondę, ponieważ pole utrzymuje falę w pobliżu jądra przez cały czas."), ("names", text(12), "The Korvadrim layer of the Selumquist field holds the Wilenorrum wave near the core.")]
+    df = spark.createDataFrame(rows, "record_id string, question string, answer string")
+    got = {r["record_id"] for r in pairs.find_defects(df, "record_id", "question", "answer").where("defect = 'other_language'").collect()}
+    assert got == {"polish", "chinese", "greek"}
 
 
 def test_short_questions_given_back_are_copies():
-    assert pairs.judge("What is osmosis?", "what is osmosis") == "copy" and pairs.judge("Look at the layer. What’s a probe?", "What's a probe?") == "copy"
-    assert pairs.judge("What is osmosis?", "Osmosis") == pairs.judge("Is it a wave or field?", "a wave") == pairs.judge("", "The layer") == ""
+    none = pairs.Templates([]), pairs.Profiles({})
+    judge = lambda q, a: pairs.judge(q, a, *none)
+    assert judge("What is osmosis?", "what is osmosis") == "copy" and judge("Look at the layer. What’s a probe?", "What's a probe?") == "copy"
+    assert judge("What is osmosis?", "Osmosis") == judge("Is it a wave or field?", "a wave") == judge("", "The layer") == ""
 
 
 def test_common_subsequence():
-    assert pairs.common_subsequence("a b c d".split(), "a x c d".split()) == 3 and pairs.common_subsequence([], ["a"]) == 0
+    assert pairs.common_subsequence("a b c d".split(), "a x c d".split()) == 3 and pairs.common_subsequence([], ["a"]) == 0 and pairs.common_subsequence(["a"], []) == 0
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = list(rng.choice(list("abcd"), rng.integers(1, 90))), list(rng.choice(list("abcd"), rng.integers(1, 90)))
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
+        assert pairs.common_subsequence(a, b) == t[-1, -1]
 
 
 # 6: packing
