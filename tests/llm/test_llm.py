@@ -116,7 +116,8 @@ def test_edge_lines():
 # 3: neighbours
 
 
-def test_recall_against_brute_force(spark):
+@pytest.mark.parametrize("sizes", [(8000, 20_000, 50_000), (300, 20_000, 50_000), (300, 100, 50)])
+def test_recall_against_brute_force(spark, sizes):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(60, 64))
     x = centres[rng.integers(0, 60, 1500)] + 0.3 * rng.normal(size=(1500, 64))
@@ -124,14 +125,16 @@ def test_recall_against_brute_force(spark):
     rows = [(f"v{i:04d}", [float(e) for e in v]) for i, v in enumerate(x.astype(np.float32))]
     rows += [("nan", [float("nan")] * 64), ("zero", [0.0] * 64), ("short", [1.0]), ("none", None), rows[0]]
     df = spark.createDataFrame(rows, "id string, v array<float>")
-    got = neighbours.most_similar(neighbours.usable(df, "id", "v"), 5).toPandas()
+    got = neighbours.most_similar(neighbours.usable(df, "id", "v"), 5, *sizes).toPandas()  # one shard, several, and such as are split, with visitors in blocks
     assert len(got) == 5 * 1500 and not (got["id"] == got["nb"]).any()
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
     kth = -np.sort(-s, axis=1)[:, 4]
     hit = [s[int(a[1:]), int(b[1:])] >= kth[int(a[1:])] - 1e-5 for a, b in zip(got["id"], got["nb"])]
-    assert np.mean(hit) >= 0.9
+    assert np.mean(hit) >= 0.97
+    if sizes[0] == 300:
+        return
     assert set(got[got["id"] == "v0105"]["nb"]) == {f"v{i:04d}" for i in range(100, 105)}  # ties by id
     few = neighbours.most_similar(neighbours.usable(df.where("id < 'v0002'"), "id", "v"), 5)
     assert sorted((r["id"], r["nb"]) for r in few.collect()) == [("v0000", "v0001"), ("v0001", "v0000")]
