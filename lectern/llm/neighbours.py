@@ -26,7 +26,7 @@ from lectern.functions.skew import salted_join
 
 K, DIM = 5, 64
 #: Edges of a node, random ones it begins with, beam while building and while searching, factor of the relaxed distance.
-DEGREE, LOOSE, BUILD_BEAM, BEAM, ALPHA = 24, 4, 48, 32, 1.1
+DEGREE, LOOSE, BUILD_BEAM, BEAM, ALPHA = 24, 4, 32, 32, 1.1
 #: Vectors a centroid is meant for, most centroids, vectors of the sample they are fitted on for each, and rounds of that.
 SHARD_SIZE, MOST_SHARDS, PER_CENTROID, ROUNDS = 8_000, 4096, 64, 8
 #: A vector visits the shards whose centroids are by at most so much less similar than the nearest one, and at most so many.
@@ -332,7 +332,7 @@ def most_similar(vectors: DataFrame, k: int = K, shard_size: int = SHARD_SIZE, l
     spread = classes.join(first.select(F.col("cls").alias("nb"), F.col("id").alias("other")), "nb").select("cls", "other", "cosine")
     order = Window.partitionBy("cls").orderBy(F.desc("cosine"), "other")
     spread = spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    each = salted_join(members.select("id", "cls"), spread, ["cls"], "id").where("id != other")
+    each = salted_join(members.select("id", "cls"), cut(spread), ["cls"], "id").where("id != other")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("r"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("other").alias("nb"), F.col("cosine").cast("double").alias("cosine"), "rank")
 

@@ -396,7 +396,7 @@ def find_defects(pairs: DataFrame, key: str, question: str, answer: str, seeds:
     final = counts.where("k = 'e'").select(F.col("x").alias("last"), F.col("n").alias("final"))
     ended = forms.where("ending != ''").select("ending").distinct().join(ends, "ending")
     words = forms.select("last").distinct().join(used, "last", "left").join(final, "last", "left")
-    looked = salted_join(salted_join(salted_join(forms, whole, ["pattern"], "last", "left"), ended, ["ending"], "pattern", "left"), words, ["last"], "pattern", "left")
+    looked = forms.join(whole, "pattern", "left").join(ended, "ending", "left").join(words, "last", "left")
     used_n, final_n = F.coalesce("used", F.lit(0)), F.coalesce("final", F.lit(0))
     number = F.col("last").rlike(r"^\d+$")
     unit = F.col("pattern").rlike(r"(?:^| )0 u$")
@@ -407,5 +407,5 @@ def find_defects(pairs: DataFrame, key: str, question: str, answer: str, seeds:
     cut_off = F.col("hanging") | unknown | seldom | (F.coalesce("whole", "ends").isNull() & ~phrase & ~listed)
     short = phrase & ~unknown & ~seldom & ~F.col("hanging")
     broken = looked.where(cut_off & ~short).select(*form)
-    truncated = salted_join(open_end, broken, form, "id").select("id", F.lit("truncated").alias("defect"))
+    truncated = salted_join(open_end, cut(broken), form, "id").select("id", F.lit("truncated").alias("defect"))
     return judged.where("kind != ''").select("id", F.col("kind").alias("defect")).union(truncated).groupBy("id").agg(F.min("defect").alias("defect")).withColumnRenamed("id", key)
