@@ -12,15 +12,15 @@ CARD_SHINGLE, CARD_THRESHOLD = 3, 0.5
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of every parsed document and chunk of more than 512 tokens."""
+    """Pieces of every parsed document and chunk of more than 512 tokens, or with a token of more than 10,000 characters."""
     docs = table(spark, d, "parsed_documents").select(F.lit("document").alias("item_kind"), F.col("document_id").alias("item_id"), F.col("full_text").alias("text"))
     chunks = table(spark, d, "text_chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "text")
-    return split.split_oversized(docs.union(chunks), ["item_kind", "item_id"], "text")
+    return split.split_oversized(docs.union(chunks), ["item_kind", "item_id"], "text", max_chars=split.MAX_CHARS)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """The items that were cut: those whose first piece comes out."""
-    return p1_pieces(spark, d).where("piece_index = 0").select("item_kind", "item_id")
+    """The items of more than 512 tokens: those whose first piece comes out, but for long tokens alone."""
+    return p1_pieces(spark, d).where(f"piece_index = 0 and item_tokens > {split.MAX_TOKENS}").select("item_kind", "item_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ FIT_RECORDS = 20_000
 BUCKETS = 1 << 18
 #: Rounds of expectation-maximization, pseudo-count of the background in the positives, bounds of one feature's weight.
 ROUNDS, PSEUDO, LOW, HIGH = 3, 300.0, -4.0, 7.0
-#: Log odds from which a passage counts as residue (a posterior of 0.95); words alone must reach this much before their pairs are looked up.
-DECIDE, HOPELESS = 3.0, -20.0
+#: Log odds from which a passage counts as residue (a posterior of 0.95).
+DECIDE = 3.0
 
 # The syntaxes of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -42,12 +43,6 @@ _TAG = re.compile(r"</?(?:html|body|head|h[1-6]|p|div|span|br|title|main|b|i)\s*
 _ALONE = re.compile(r"\s*(?:[-#*>•]+\s*|[^\W\d_][\w ]{0,20}:\s*)?\x00\s*[.,]?\s*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-# How page furniture reads; such lines are neither content nor residue.
-FURNITURE = re.compile(
-    r"\s*(?:menu|search|sign in|log in|register|skip to content|share this page|home|courses|library|contact|library portal|about|help|back to top"
-    r"|terms of use|privacy|©.*|print|next|previous|name:|date:|[-_|/·•\s])+\s*",
-    re.I,
-)
 # How trusted messages, notices and fillers begin.
 TRUSTED = re.compile(
     r"""\s*["'(]*(?:
@@ -64,6 +59,17 @@ TRUSTED = re.compile(
     )""",
     re.I | re.X,
 )
+# The best known of them alone; tests and README measure what a fit from these finds.
+GENERAL = re.compile(
+    r"""\s*["'(]*(?:
+    lorem\s+ipsum\b | (\w+)(?:\s+\1){4,} | this\s+is\s+(?:a\s+)?(?:placeholder|dummy|sample)\b | (?:\w+\s+)?coming\s+soon\b | this\s+\w+\s+is\s+under\s+construction
+    | (?:http\s+)?(?:error\s+|erreur\s+|fehler\s+)?(?:40[0-9]|41[0-9]|429|50[0-9])\s*(?:[:-]|not\s+found|forbidden|bad|internal|service|gateway|unauthorized|gone) | internal\s+(?:server\s+)?error\b
+    | the\s+page\s+you\s+(?:were|are)\s+looking | access\s+denied | acc[eè]s\s+refus | zugriff\s+verweigert | acceso\s+denegado | too\s+many\s+requests | your\s+session\s+has | traceback\s+\(most | service\s+unavailable
+    | (?:please\s+)?(?:enable|activate|turn\s+on|allow)\s+javascript | javascript\s+is\s+(?:disabled|required|off) | you\s+need\s+to\s+enable\s+javascript | (?:veuillez\s+)?activer?\s+javascript | bitte\s+aktivieren\s+sie\s+javascript
+    | (?:por\s+favor,?\s+)?(?:activ[ae]|habilite)\s+javascript | seite\s+nicht\s+gefunden | p[aá]gina\s+no\s+encontrada | page\s+(?:non\s+trouv|introuv)
+    )""",
+    re.I | re.X,
+)
 _GLUED_LEFT, _GLUED_RIGHT = re.compile(r"\S*$"), re.compile(r"\S*")
 
 
@@ -71,23 +77,25 @@ def _shape(span: str) -> str:
     return re.sub(r"[a-zà-ÿ]+", "w", re.sub(r"[A-ZÀ-Þ]+", "W", re.sub(r"\d+", "0", span)))
 
 
-def passages(text: str) -> Iterator[tuple[list[str], bool]]:
-    """(features, trusted) of each passage of a text."""
+def passages(text: str, seeds: re.Pattern = TRUSTED) -> Iterator[tuple[list[str], bool]]:
+    """(features, trusted) of each passage of a text; seeds: how trusted passages begin."""
     text = _TAG.sub("\n", text) if "<" in text else text
     for line in text.split("\n"):
-        if not line or line.isspace() or FURNITURE.fullmatch(line):
+        if not line or line.isspace():
             continue
         if _MAYBE.search(line):
             spans = list(PLACEHOLDER.finditer(line))
             if spans:
                 alone = len(spans) == 1 and _ALONE.fullmatch(line[: spans[0].start()] + "\x00" + line[spans[0].end() :])
+                found = list(_WORD.finditer(line.lower()))
+                words, begins, ends = [w[0] for w in found], [w.start() for w in found], [w.end() for w in found]
                 for m in spans:
                     glue = _GLUED_LEFT.search(line, 0, m.start())[0].lstrip("\"'(«“-#*>•_"), _GLUED_RIGHT.match(line, m.end())[0].rstrip(".,;:!?)\"'»”_")
-                    inner = m[0] if not any(glue) else glue[0][-12:] + m[0] + glue[1][:12]
+                    inner = glue[0] + m[0] + glue[1]
                     literal = re.sub(r"\d+", "0", inner)
                     trusted = bool(alone) and not re.fullmatch(r"\[[\d ,.;–-]*\]|\[[ xX]\]", m[0])
-                    before, after = _WORD.findall(line[: m.start()][-40:].lower()), _WORD.findall(line[m.end() :][:40].lower())
-                    around = ["after ^", "before $"] if alone else ["after " + (before or "^")[-1], "before " + (after or "$")[0]]
+                    i, j = bisect_right(ends, m.start()), bisect_left(begins, m.end())
+                    around = ["after ^", "before $"] if alone else ["after " + (words[i - 1] if i else "^"), "before " + (words[j] if j < len(words) else "$")]
                     yield ["shape " + _shape(inner), "is " + literal, "in " + " ".join(_WORD.findall(inner.lower())), *around], trusted
                 line = PLACEHOLDER.sub(" ", line)
         opening = ""
@@ -96,9 +104,9 @@ def passages(text: str) -> Iterator[tuple[list[str], bool]]:
             words = _WORD.findall(whole.lower())
             opening = whole + " " if len(words) == 1 else ""
             if words and not opening:
-                yield ["0" if w.isdigit() else w for w in words], bool(TRUSTED.match(whole))
+                yield ["0" if w.isdigit() else w for w in words], bool(seeds.match(whole))
         if opening:
-            yield ["0" if w.isdigit() else w for w in _WORD.findall(opening.lower())], bool(TRUSTED.match(opening))
+            yield ["0" if w.isdigit() else w for w in _WORD.findall(opening.lower())], bool(seeds.match(opening))
 
 
 def _pairs(features: list[str]) -> list[str]:
@@ -110,18 +118,21 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
-def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        seen: Counter = Counter()
-        cache: dict[str, int] = {}
-        for text in batch["t"]:
-            for features, trusted in passages(text):
-                features = features + _pairs(features)
-                for f in features:
-                    if f not in cache:
-                        cache[f] = _bucket(f)
-                seen[(np.array([cache[f] for f in features], np.int32).tobytes(), trusted)] += 1
-        yield pd.DataFrame([(f, t, n) for (f, t), n in seen.items()], columns=["f", "trusted", "n"])
+def _fit_rows(seeds: re.Pattern):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            cache: dict[str, int] = {}
+            for text in batch["t"]:
+                for features, trusted in passages(text, seeds):
+                    features = features + _pairs(features)
+                    for f in features:
+                        if f not in cache:
+                            cache[f] = _bucket(f)
+                    seen[(np.array([cache[f] for f in features], np.int32).tobytes(), trusted)] += 1
+            yield pd.DataFrame([(f, t, n) for (f, t), n in seen.items()], columns=["f", "trusted", "n"])
+
+    return run
 
 
 def _soft_counts(weights, prior):
@@ -148,11 +159,11 @@ def _soft_counts(weights, prior):
     return count
 
 
-def fit(docs: DataFrame, text: str, records: int = FIT_RECORDS, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, text: str, records: int = FIT_RECORDS, rounds: int = ROUNDS, seeds: re.Pattern = TRUSTED) -> tuple[np.ndarray, float]:
     """(weight of each feature bucket, prior log odds), by EM over about records rows, chosen by a hash of their text."""
     share = max(1, -(-docs.count() // records))
     t = spread(docs.select(F.col(text).alias("t")).where("t is not null").where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0))
-    rows = cut(t.mapInPandas(_fit_rows, "f binary, trusted boolean, n bigint").groupBy("f", "trusted").agg(F.sum("n").alias("n")))
+    rows = cut(t.mapInPandas(_fit_rows(seeds), "f binary, trusted boolean, n bigint").groupBy("f", "trusted").agg(F.sum("n").alias("n")))
     weights, prior = None, 0.0
     for _ in range(rounds):
         sums = rows.mapInPandas(_soft_counts(weights, prior), "bucket int, back double, pos double").groupBy("bucket").agg(F.sum("back").alias("back"), F.sum("pos").alias("pos"))
@@ -168,14 +179,14 @@ def fit(docs: DataFrame, text: str, records: int = FIT_RECORDS, rounds: int = RO
     return weights.value, prior
 
 
-def find_residue(docs: DataFrame, doc_id: str, text: str, records: int = FIT_RECORDS) -> DataFrame:
+def find_residue(docs: DataFrame, doc_id: str, text: str, records: int = FIT_RECORDS, seeds: re.Pattern = TRUSTED) -> DataFrame:
     """(doc_id, passages, log_odds) of the records in which a passage is residue: how many are, and the highest log odds.
 
     Null, empty and blank texts are none. Each row of a repeated record comes out once.
     Texts are scored whole. An empty table gives no row.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    weights, prior = fit(docs, text, records)
+    weights, prior = fit(docs, text, records, seeds=seeds)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,11 +204,11 @@ def find_residue(docs: DataFrame, doc_id: str, text: str, records: int = FIT_REC
             out = []
             for d, t in zip(batch["d"], batch["t"]):
                 n, best = 0, None
-                for features, _ in passages(t):
+                for features, trusted in passages(t, seeds):
                     odds = prior + sum(map(known, features))
-                    if odds > HOPELESS:
+                    if odds + HIGH * (len(features) - 1) > DECIDE:  # else no pairs could lift it so far
                         odds += sum(map(known, _pairs(features)))
-                    if odds > DECIDE:
+                    if trusted or odds > DECIDE:  # as in the fit, a trusted passage is one
                         n, best = n + 1, odds if best is None else max(best, odds)
                 if n:
                     out.append((d, n, best))

@@ -45,6 +45,10 @@ def test_pieces_cover_the_text_and_overlap(spark):
             at += len(t) - 64
         assert at + 64 == len(all_tokens)
     assert split.split_oversized(df.limit(0), ["id"], "body").count() == 0
+    run = spark.createDataFrame([("run", "y" * 100_000), ("few", "one two")], "id string, body string")
+    cut = split.split_oversized(run, ["id"], "body", max_chars=split.MAX_CHARS).orderBy("piece_index").collect()
+    assert {(r["id"], r["item_tokens"]) for r in cut} == {("run", 1)} and max(len(r["text"]) for r in cut) == 10_000 and cut[-1]["char_end"] == 100_000
+    assert all(x["char_end"] - y["char_start"] == 1250 for x, y in zip(cut, cut[1:]))
 
 
 def test_cuts_at_the_coarsest_boundary():
@@ -54,7 +58,8 @@ def test_cuts_at_the_coarsest_boundary():
     sentence = words(450) + ". " + words(100)
     assert split.cut_points(sentence)[0][2] == 450
     assert split.cut_points(words(600))[0][2] == 512
-    assert [b - a for a, b, _ in split.cut_points("x" * 25, 2, 0, 10)] == [20, 5]
+    assert split.cut_points("a x " + "x" * 25 + " b", 2, 0, 10) == [(0, 3, 2), (4, 14, 1), (14, 24, 1), (24, 29, 1), (30, 31, 1)]
+    assert [(a, b) for a, b, _ in split.cut_points("x" * 25, 4, 1, 8)] == [(0, 8), (6, 14), (12, 20), (18, 25)]
 
 
 # 2: scans
@@ -357,6 +362,14 @@ def test_residue_is_told_from_talk_about_it(spark):
     assert residue.find_residue(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_trusted_messages_outside_the_sample_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(WORDS, 14)) + ".") for i in range(300)] + [(400 + i, m) for i, m in enumerate(("Access denied. Ask the office.", "Traceback (most recent call last)", "Lorem ipsum dolor sit amet " + " ".join(rng.choice(WORDS, 200))))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"] for r in residue.find_residue(df, "doc_id", "text", records=1).collect()}
+    assert got == {400, 401, 402}
+
+
 def test_one_word_sentences_belong_to_the_next():
     found = list(residue.passages("Oops! We lost that chapter. No. Then it ends.\nFine"))
     assert [f for f, _ in found] == [["oops", "we", "lost", "that", "chapter"], ["no", "then", "it", "ends"], ["fine"]]
