@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,13 +11,16 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a folder of this process is taken.
+    The folder is the session's spark.checkpoint.dir, or what was set on its context; all
+    executors must share it. Only a session on one machine (master local) may leave it
+    unset and gets a folder of its own; on a cluster that is an error. With
+    spark.cleaner.referenceTracking.cleanCheckpoints=true the files go when df does.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

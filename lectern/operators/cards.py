@@ -20,7 +20,7 @@ def unfenced(reply: Column) -> Column:
 
 
 def capitalised(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, F.length(x))))
 
 
 def cards_from_replies(replies: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def cards_from_replies(replies: DataFrame) -> DataFrame:
     """
     r = replies.withColumn("reply", unfenced(F.col("reply"))).where("reply is not null")
     none = F.lit(None).cast("string")
-    qa = r.where("card_type = 'question'").select("chunk_id", "card_type", F.posexplode(F.from_json("reply", "array<struct<question:string,answer:string>>")).alias("ord", "x")).where("trim(x.question) != '' and trim(x.answer) != ''")
+    qa = r.where("card_type = 'question'").select("chunk_id", "card_type", F.posexplode(F.from_json("reply", "array<struct<question:string,answer:string>>")).alias("ord", "x")).where((strip(F.col("x.question")) != "") & (strip(F.col("x.answer")) != ""))
     qa = qa.select("chunk_id", "card_type", "ord", F.substring("x.question", 1, 120).alias("title"), F.col("x.question").alias("content"), F.col("x.answer").alias("answer"))
     facts = r.where("card_type = 'factoid'").select("chunk_id", "card_type", F.posexplode(F.from_json("reply", "array<string>")).alias("ord", "content")).where(says_something(F.col("content")))
     facts = facts.select("chunk_id", "card_type", "ord", F.lit("Factoid").alias("title"), "content", none.alias("answer"))

@@ -15,27 +15,27 @@ def sentence_chunks(docs: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OV
 
     A chunk holds at least one sentence, however long; the next chunk begins with the last
     sentences of the one before as long as they have at most overlap tokens. Each document
-    is folded on its own, sentence by sentence. Blank and null texts give no rows.
+    is folded on its own, sentence by sentence, each looking back at overlap tokens only. Blank and null texts give no rows.
     """
     sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), strip), lambda s: F.length(s) > 0)
     sized = docs.where("text is not null").select("document_id", F.transform(sentences, lambda s: F.struct(s.alias("s"), token_count(s).alias("n"))).alias("a"))
     x = sized.select("document_id", F.posexplode("a").alias("i", "x")).select("document_id", "i", "x.s", "x.n")
-    total = F.sum("n").over(Window.partitionBy("document_id").orderBy("i"))
-    ordered = x.withColumn("upto", total).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto", "n", "s"))).alias("a"))
+    x = x.withColumn("upto", F.sum("n").over(Window.partitionBy("document_id").orderBy("i"))).withColumn("start", F.col("upto") - F.col("n"))
+    # of the sentences before, those from which at most overlap tokens lie before this one, and with it at most size
+    near = F.collect_list("start").over(Window.partitionBy("document_id").orderBy("start").rangeBetween(-overlap, -1))
+    x = x.withColumn("back", F.size(F.filter(near, lambda t: F.col("upto") - t <= size)))
+    ordered = x.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto", "n", "back", "s"))).alias("a"))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("last"), none.alias("cuts"))
+    begin = F.struct(F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("base"), none.alias("cuts"))
 
     def step(state, e):
-        tokens = e["upto"] - state["base"]
-        full = (tokens > size) & (e["i"] > state["first"])
-        # the overlap: the earliest sentence from which at most overlap tokens lie before e
-        back = F.size(F.filter("a", lambda s: (s["i"] < e["i"]) & ((e["upto"] - e["n"]) - (s["upto"] - s["n"]) <= overlap) & (s["i"] > state["first"]) & (e["upto"] - (s["upto"] - s["n"]) <= size)))
-        first = e["i"] - back
+        full = (e["upto"] - state["base"] > size) & (e["i"] > state["first"])
+        first = e["i"] - F.least(e["back"], e["i"] - state["first"] - 1)
         base = F.when(first > 0, F.get("a", first - 1)["upto"]).otherwise(F.lit(0).cast("bigint"))
         cuts = F.concat(state["cuts"], F.array(F.struct(state["first"].alias("a"), (e["i"] - 1).alias("b"))))
-        return F.when(full, F.struct(first.alias("first"), base.alias("base"), e["upto"].alias("last"), cuts.alias("cuts"))).otherwise(F.struct(state["first"].alias("first"), state["base"].alias("base"), e["upto"].alias("last"), state["cuts"].alias("cuts")))
+        return F.when(full, F.struct(first.alias("first"), base.alias("base"), cuts.alias("cuts"))).otherwise(state)
 
-    folded = ordered.select("document_id", "a", F.aggregate("a", start, step).alias("st"))
+    folded = ordered.select("document_id", "a", F.aggregate("a", begin, step).alias("st"))
     spans = F.concat("st.cuts", F.array(F.struct(F.col("st.first").alias("a"), (F.size("a") - 1).alias("b"))))
     out = folded.select("document_id", "a", F.posexplode(spans).alias("pos", "c"))
     part = F.slice("a", F.col("c.a") + 1, F.col("c.b") - F.col("c.a") + 1)
@@ -76,6 +76,21 @@ def page_offsets(docs: DataFrame, pages: DataFrame, prefix: int = 100) -> DataFr
     return folded.select("document_id", F.inline("o"))
 
 
+def even_pages(docs: DataFrame) -> DataFrame:
+    """(document_id, page_number, text): documents (document_id, text, page_count) without page marks, their lines split evenly.
+
+    Each page gets lines // page_count lines; what is left over at the end is dropped, as
+    are empty pages. A text of fewer lines than pages, or without page_count, is one page.
+    """
+    lines = F.split("text", "\n")
+    whole = (F.coalesce("page_count", F.lit(0)) < 1) | (F.size(lines) < F.col("page_count"))
+    of = F.when(whole, F.lit(1)).otherwise(F.col("page_count"))
+    size = F.floor(F.size(lines) / of).cast("int")
+    x = docs.where("text is not null").withColumn("l", lines).withColumn("size", size).withColumn("page_number", F.explode(F.sequence(F.lit(1), of)))
+    text = F.array_join(F.slice("l", (F.col("page_number") - 1) * F.col("size") + 1, F.when(whole, F.size("l")).otherwise(F.col("size"))), "\n")
+    return x.select("document_id", "page_number", text.alias("text")).where(F.length(strip(F.col("text"))) > 0)
+
+
 def page_as_of(chunks: DataFrame, offsets: DataFrame) -> DataFrame:
     """chunks (chunk_id, document_id, char_start) with the page whose start is the last one not behind char_start.
 

@@ -6,6 +6,9 @@ rank is data, and every order ends with the id, so that ties have one outcome.
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 #: Queries sent to the executors at once; more come in portions of this size, each with its own scan.
 QUERIES_AT_ONCE = 4096
 RRF_K, MMR_LAMBDA = 60, 0.7
+#: Digits to which cosines are rounded before they are ordered, so that equal directions tie.
+DIGITS = 9
 
 
 def ranked(df: DataFrame, *order, by: str = "query_id", name: str = "rank") -> DataFrame:
@@ -28,9 +33,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
     """(query_id, id, score, rank): the k vectors (id, v) of highest cosine for every query (query_id, v), exactly.
 
     Blocks of vectors meet the matrix of one portion of queries inside the tasks, which
-    keep k per block; a window merges them. All vectors need one length and a norm above
-    0 (see vectors.usable). No vectors or no queries give no rows. spread: partitions to
-    scan in, where the input lies in fewer.
+    hold the k best of all blocks so far and give them out once at their end; a window
+    merges the tasks. All vectors need one length and a norm above 0 (see vectors.usable).
+    No vectors or no queries give no rows. spread: partitions to scan in, where the input
+    lies in fewer.
     """
     q = queries.select("query_id", "v").orderBy("query_id")
     n = q.count()
@@ -43,16 +49,28 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
     def best(held):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, unit = held.value
+            row, score, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+            floor = np.full(len(names), -np.inf)  # of each query the k-th best so far
             for b in batches:
                 if not len(b) or not len(names):
                     continue
                 x = np.stack([np.asarray(v, np.float64) for v in b["v"]])
                 s = unit @ (x / np.sqrt((x * x).sum(1))[:, None]).T
-                keep = min(k, s.shape[1])
-                at = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * k else np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                cutoff = np.take_along_axis(s, at, 1).min(1)
-                rows, cols = np.nonzero(s >= cutoff[:, None])  # ties at the cut stay
-                yield pd.DataFrame({"query_id": names[rows], "id": b["id"].to_numpy()[cols], "score": s[rows, cols]})
+                if s.shape[1] > k:
+                    cutoff = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                else:
+                    cutoff = floor
+                rows, cols = np.nonzero(s >= cutoff[:, None] - 10.0**-DIGITS)  # ties at the cut stay
+                row, score, ids = np.concatenate([row, rows]), np.concatenate([score, np.round(s[rows, cols], DIGITS)]), np.concatenate([ids, b["id"].to_numpy(object)[cols]])
+                by = np.lexsort((-score, row))
+                row, score, ids = row[by], score[by], ids[by]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                at = nth == k - 1
+                floor[row[at]] = score[at]
+                keep = score >= floor[row]
+                row, score, ids = row[keep], score[keep], ids[keep]
+            if len(row):
+                yield pd.DataFrame({"query_id": names[row], "id": ids, "score": score}).astype({"id": b["id"].dtype})
 
         return run
 
@@ -66,6 +84,32 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
     return ranked(reduce(DataFrame.union, parts), F.desc("score"), "id").where(F.col("rank") <= k)
 
 
+def score_counts(vectors: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
+    """(score, n): how many pairs of query (query_id, v) and vector (id, v) have each cosine, rounded; counted inside the tasks, portion by portion of the queries."""
+    q = queries.select("query_id", "v")
+    portions = max(1, -(-q.count() // QUERIES_AT_ONCE))
+    q = q.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
+
+    def count(held):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: Counter = Counter()
+            for b in batches:
+                if len(b) and len(held.value):
+                    x = np.stack([np.asarray(v, np.float64) for v in b["v"]])
+                    s = np.round(np.round(held.value @ (x / np.sqrt((x * x).sum(1))[:, None]).T, DIGITS), digits) + 0.0
+                    seen.update(dict(zip(*(a.tolist() for a in np.unique(s, return_counts=True)))))
+            yield pd.DataFrame(list(seen.items()), columns=["score", "n"])
+
+        return run
+
+    parts = []
+    for p in range(portions):
+        m = np.array([r["v"] for r in q.where(F.col("portion") == p).select("v").collect()], np.float64)  # one bounded portion
+        held = vectors.sparkSession.sparkContext.broadcast(m / np.sqrt((m * m).sum(1))[:, None] if len(m) else m)
+        parts.append(vectors.select("v").mapInPandas(count(held), "score double, n bigint"))
+    return reduce(DataFrame.union, parts).groupBy("score").agg(F.sum("n").alias("n"))
+
+
 def postings(docs: DataFrame, terms) -> DataFrame:
     """(id, term, w): weight log(1 + tf) * idf of each term of (id, ...); terms is an array expression. Null arrays give no rows."""
     t = docs.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
@@ -74,19 +118,86 @@ def postings(docs: DataFrame, terms) -> DataFrame:
     return t.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", (F.log1p("tf") * F.log(1 + F.col("n") / F.col("df"))).alias("w"))  # n is one row
 
 
-def sparse_knn(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): the k ids of largest sparse dot product; queries: (query_id, term, w)."""
-    hits = queries.select("query_id", "term", F.col("w").alias("wq")).join(index, "term")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
-    return ranked(scored, F.desc("score"), "id").where(F.col("rank") <= k)
+def sparse_search(docs: DataFrame, terms, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the k docs of largest sparse product (log(1 + tf) * idf, see postings) with each query (query_id, term, w).
+
+    The number of documents of each term is counted over all docs, but only for terms that
+    a portion of queries asks for; those are looked up in the tasks, so no posting list is
+    gathered anywhere, and a task gives out the k best of each query alone.
+    """
+    asked = queries.select("query_id", "term", "w")
+    n_queries = asked.select("query_id").distinct().count()
+    portions = max(1, -(-n_queries // QUERIES_AT_ONCE))
+    asked = asked.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
+    words = docs.select("id", terms.alias("t")).where("t is not null")
+    total = docs.agg(F.countDistinct("id").alias("n")).first()["n"]
+    kind, of = docs.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    context = docs.sparkSession.sparkContext
+
+    def count(held):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: Counter = Counter()
+            for b in batches:
+                for t in b["t"]:
+                    seen.update(held.value.keys() & set(t))
+            yield pd.DataFrame(list(seen.items()), columns=["term", "df"])
+
+        return run
+
+    def best(held, idf):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top: dict = {}
+            for b in batches:
+                for i, t in zip(b["id"], b["t"]):
+                    tf, score = Counter(t), {}
+                    for term in held.value.keys() & tf.keys():
+                        w = math.log1p(tf[term]) * idf.value[term]
+                        for q, wq in held.value[term]:
+                            score[q] = score.get(q, 0.0) + w * wq
+                    for q, s in score.items():
+                        heap = top.setdefault(q, [])
+                        entry = (round(s, 6), _Last(i))
+                        if len(heap) < k:
+                            heapq.heappush(heap, entry)
+                        elif entry > heap[0]:
+                            heapq.heapreplace(heap, entry)
+            yield pd.DataFrame([(q, i.id, s) for q, heap in top.items() for s, i in heap], columns=["query_id", "id", "score"])
+
+        return run
+
+    parts = []
+    for p in range(portions):
+        by_term: dict = {}
+        for q, term, w in asked.where(F.col("portion") == p).select("query_id", "term", "w").collect():  # one bounded portion
+            by_term.setdefault(term, []).append((q, w))
+        held = context.broadcast(by_term)
+        df = {r["term"]: r["df"] for r in words.mapInPandas(count(held), "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # the portion's terms
+        idf = context.broadcast({t: math.log(1 + total / n) for t, n in df.items()})
+        parts.append(words.mapInPandas(best(held, idf), f"query_id {of}, id {kind}, score double"))
+    return ranked(reduce(DataFrame.union, parts), F.desc("score"), "id").where(F.col("rank") <= k)
+
+
+class _Last:
+    """An id that counts the more the smaller it is, for ties in a heap."""
+
+    __slots__ = ("id",)
+
+    def __init__(self, id):
+        self.id = id
+
+    def __lt__(self, other) -> bool:
+        return self.id > other.id
+
+    def __eq__(self, other) -> bool:
+        return self.id == other.id
 
 
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query_id, id, rrf_score, score, rank): reciprocal rank fusion of (query_id, list_no, id, score, rank); rows without id are left out.
+    """(query_id, id, rrf_score, score, lists, rank): reciprocal rank fusion of (query_id, list_no, id, score, rank); rows without id are left out.
 
-    score is the best one the id has in any list.
+    score is the best one the id has in any list, lists the number of lists it is in.
     """
-    fused = lists.where("id is not null").groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("rrf_score"), F.max("score").alias("score"), F.min(F.struct("list_no", "rank")).alias("first"))
+    fused = lists.where("id is not null").groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 6).alias("rrf_score"), F.max("score").alias("score"), F.count("*").alias("lists"), F.min(F.struct("list_no", "rank")).alias("first"))
     return ranked(fused, F.desc("rrf_score"), "first", "id").drop("first")
 
 
@@ -139,6 +250,11 @@ def overlap(a, b):
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
+def first_of(hits: DataFrame, k: int) -> DataFrame:
+    """The stand-in for reranking: the first k hits as they are."""
+    return hits.where(F.col("rank") <= k)
+
+
 def rerank(hits: DataFrame, score, k: int) -> DataFrame:
     """The k hits of highest score (any column expression over hits), ties in the old order."""
     return ranked(hits.withColumn("rerank_score", score), F.desc("rerank_score"), "rank", "id", name="new").where(F.col("new") <= k).drop("rank").withColumnRenamed("new", "rank")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors
@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 
 #: The tenant of queries that search for one.
 TENANT = "tenant_4214"
+#: Labelled queries, at every size of the tables.
+QUERY_SET = 240
 
 
 def query(sql: str | None = None):
@@ -55,15 +57,22 @@ def chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, n, query, query_type, relevant_pages, calibrated, passage): the labelled queries."""
+    """(query_id, n, query, query_type, relevant_pages, calibrated, passage): the labelled queries, their pages folded into the five that documents have."""
     q = view(spark, d, "eval_queries", "item_id", "query", "query_type", "relevant_pages", "calibrated", "passage").where("item_id not like '\\\\_%'")
-    return q.select(F.col("item_id").alias("query_id"), F.substring("item_id", 4, 9).cast("bigint").alias("n"), "query", "query_type", "relevant_pages", "calibrated", "passage")
+    return q.select(F.col("item_id").alias("query_id"), F.substring("item_id", 4, 9).cast("bigint").alias("n"), "query", "query_type", F.transform("relevant_pages", lambda x: x % 5 + 1).alias("relevant_pages"), "calibrated", "passage")
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, v): the vector that stands in for each labelled query's embedding."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return queries(spark, d).join(e, F.col("n") == F.col("vec_id")).select("query_id", "v")
+    """(query_id, v): the vector that stands in for each labelled query's embedding: that of a chunk chosen by a hash of its id."""
+    chosen = chunk_vectors(spark, d).orderBy(F.md5("id"), "id").limit(QUERY_SET)
+    chosen = chosen.select("v", (F.row_number().over(Window.orderBy(F.md5("id"), "id")) - 1).alias("at"), F.count("*").over(Window.partitionBy()).alias("of"))  # a fixed number of rows
+    return queries(spark, d).crossJoin(F.broadcast(chosen)).where(F.col("n") % F.col("of") == F.col("at")).select("query_id", "v")
+
+
+def texts_of(spark: SparkSession, d: str, ids: DataFrame) -> DataFrame:
+    """(id, text) of the chunks in ids (id); only their texts are moved."""
+    c = table(spark, d, "text_chunks").select(F.col("chunk_id").alias("id"), "text")
+    return c.join(ids.select("id").distinct(), "id", "left_semi").distinct()
 
 
 def every_hundredth(spark: SparkSession, d: str) -> DataFrame:
@@ -86,4 +95,6 @@ def vectors_sql(name: str, key: str) -> str:
 
 CHUNK_VECTORS = vectors_sql("embedded_chunks", "chunk_id")
 HUNDREDTH = "(SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0)"
-QUERY_VECTORS = "(SELECT DISTINCT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM eval_queries JOIN embeddings ON vec_id = CAST(substr(item_id, 4) AS BIGINT) WHERE item_id NOT LIKE '\\_%' ESCAPE '\\')"
+QUERY_VECTORS = f"""(SELECT i.item_id AS query_id, x.v FROM (SELECT DISTINCT item_id, CAST(substr(item_id, 4) AS BIGINT) AS n FROM eval_queries WHERE item_id NOT LIKE '\\_%' ESCAPE '\\') i
+    JOIN (SELECT v, row_number() OVER (ORDER BY md5(id), id) - 1 AS at, least({QUERY_SET}, count(*) OVER ()) AS total FROM {CHUNK_VECTORS}) x ON i.n % x.total = x.at)"""
+SCOPED_VECTORS = f"(SELECT * FROM {CHUNK_VECTORS} WHERE id IN (SELECT chunk_id FROM text_chunks WHERE tenant_id IN ('{TENANT}', 'global')))"

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors
+from lectern.functions.lineage import cut
 from lectern.functions.text import words
 from lectern.operators import concepts, ranking, scope
 from lectern.operators.cards import ARTIFACT_TYPES
 from lectern.plans import retrieval
-from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, PAGES, QUERY_VECTORS, SQL, TENANT, cards, chunk_vectors, chunks, queries, query, query_vectors, view
-from lectern.plans.retrieval import _COS, _HITS, _MENTIONS, _SPARSE, FETCH, LINKED, SHOWN, SUMMARIES, _knn_sql, _rounded
+from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, PAGES, QUERY_VECTORS, SCOPED_VECTORS, SQL, TENANT, cards, chunk_vectors, chunks, queries, query, query_vectors, view
+from lectern.plans.retrieval import _CONCEPTS, _COS, _HITS, _MENTIONS, _SPARSE, FETCH, LINKED, SHOWN, SUMMARIES, _knn_sql, _rounded
 from lectern.sources.tables import table
 
 #: From which share of a claim's words on a passage supports it, in the stand-in for a model's verdict.
@@ -47,23 +48,22 @@ def jn_da_parent(spark: SparkSession, d: str) -> DataFrame:
     return _parents(spark, d)
 
 
-@query(f"""WITH {_ARTIFACTS}, dense AS (SELECT query_id, x.id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS r FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q),
+@query(f"""WITH {_ARTIFACTS}, dense AS (SELECT query_id, x.id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS r FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q),
     firsts AS (SELECT query_id, id, min(rank) AS hit FROM known GROUP BY 1, 2)
     SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hit, id) AS INT) AS behind FROM firsts WHERE (query_id, id) NOT IN (SELECT query_id, id FROM dense WHERE r <= {FETCH})""")
 def jn_da_expand(spark: SparkSession, d: str) -> DataFrame:
     """The chunks that the artifact lane adds behind the 20 dense hits, each by its first hit."""
     first = _parents(spark, d).groupBy("query_id", "id").agg(F.min("rank").alias("hit"))
-    dense = ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d), FETCH)
+    dense = ranking.knn(retrieval._scoped_vectors(spark, d), query_vectors(spark, d), FETCH)
     return ranking.ranked(first.join(dense, ["query_id", "id"], "left_anti"), "hit", "id", name="behind").drop("hit")
 
 
-@query(f"""WITH {_SPARSE}, dense AS (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q)
+@query(f"""WITH {_SPARSE}, dense AS (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q)
     SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, round(max(score), 6) AS score, count(*) AS lists FROM (SELECT query_id, id, rank, score FROM dense WHERE rank <= {FETCH} UNION ALL SELECT query_id, id, rank, score FROM sparse WHERE rank <= {FETCH}) GROUP BY 1, 2""")
 def agg_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank fusion of the dense and the sparse 20, with the best score and the number of lists of each chunk."""
-    both = retrieval._dense_and_sparse(spark, d, FETCH)
-    n = both.groupBy("query_id", "id").agg(F.count("*").alias("lists"))
-    return ranking.rrf(both).join(n, ["query_id", "id"]).select("query_id", "id", "rrf_score", F.round("score", 6).alias("score"), "lists")
+    fused = ranking.rrf(retrieval._dense_and_sparse(spark, d, FETCH))
+    return fused.select("query_id", "id", "rrf_score", F.round("score", 6).alias("score"), "lists")
 
 
 @query(f"SELECT * FROM ({_knn_sql(CHUNK_VECTORS, QUERY_VECTORS, FETCH)}) WHERE score >= 0.45")
@@ -79,16 +79,21 @@ def r_calibrate(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d).join(open_ones, "query_id", "left_semi"), 10))
 
 
-@query(f"""WITH hits AS (SELECT query_id, x.id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q),
+@query(f"""WITH hits AS (SELECT query_id, x.id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q),
     q AS (SELECT DISTINCT item_id AS query_id, list_distinct(regexp_extract_all(lower(query), {_W})) AS qw FROM eval_queries), c AS (SELECT chunk_id AS id, list_distinct(regexp_extract_all(lower(text), {_W})) AS cw FROM {CHUNKS}),
     s AS (SELECT query_id, id, rank, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, cw)) / len(qw) ELSE 0 END, 6) AS rerank_score FROM hits JOIN q USING (query_id) JOIN c USING (id) WHERE rank <= {FETCH})
     SELECT query_id, id, rerank_score, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, id) AS n FROM s) WHERE n <= {SHOWN}""")
 def r_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The dense 20 of every labelled query cut to 6 by token overlap, the stand-in for a cross encoder."""
-    hits = ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d), FETCH)
+    """The dense 20 in scope of every labelled query cut to 6 by token overlap, the stand-in for a cross encoder."""
+    hits = cut(ranking.knn(retrieval._scoped_vectors(spark, d), query_vectors(spark, d), FETCH))
     q = queries(spark, d).select("query_id", F.array_distinct(words(F.col("query"))).alias("qw"))
-    c = chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("cw"))
-    return ranking.rerank(hits.join(q, "query_id").join(c, "id"), F.round(ranking.overlap(F.col("qw"), F.col("cw")), 6), SHOWN).select("query_id", "id", "rerank_score", "rank")
+    return ranking.rerank(hits.join(q, "query_id").join(retrieval._tokens(spark, d, hits), "id"), F.round(ranking.overlap(F.col("qw"), F.col("tokens")), 6), SHOWN).select("query_id", "id", "rerank_score", "rank")
+
+
+@query(f"SELECT query_id, id, score, rank FROM ({_knn_sql(SCOPED_VECTORS, QUERY_VECTORS, FETCH)}) WHERE rank <= {SHOWN}")
+def top_stub_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in without a model: the first 6 of the dense 20 as they are."""
+    return ranking.first_of(_rounded(ranking.knn(retrieval._scoped_vectors(spark, d), query_vectors(spark, d), FETCH)), SHOWN)
 
 
 def _relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -112,10 +117,10 @@ def win_dcg(spark: SparkSession, d: str) -> DataFrame:
     return _relevance(spark, d).groupBy("query_id").agg(F.round(F.coalesce(F.sum(gain), F.lit(0.0)), 4).alias("dcg"))
 
 
-@query(f"WITH {_HITS} SELECT query_id, coalesce(string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) FILTER (hit), '') AS found, len(any_value(pages)) AS wanted FROM x GROUP BY 1")
+@query(f"WITH {_HITS} SELECT query_id, coalesce(array_to_string(list_sort(list(DISTINCT page) FILTER (hit)), ','), '') AS found, len(any_value(pages)) AS wanted FROM x GROUP BY 1")
 def set_intersect_pages(spark: SparkSession, d: str) -> DataFrame:
     """The relevant pages among the hits of each labelled query, and how many are wanted."""
-    found = F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("page").cast("string")))), ",")
+    found = F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("page")))).cast("array<string>"), ",")
     return _relevance(spark, d).groupBy("query_id").agg(found.alias("found"), F.max(F.size("pages")).cast("bigint").alias("wanted"))
 
 
@@ -128,18 +133,16 @@ def set_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    q = queries(spark, d).select("query_id", F.explode(words(F.col("query"))).alias("concept")).distinct()
     own = chunks(spark, d, "tenant_id").where(scope.in_scope(F.col("tenant_id"), None, TENANT))
-    return q.join(retrieval._mentions(spark, d), "concept").join(own, "chunk_id", "left_semi").select("query_id", "chunk_id", "concept")
+    return retrieval._near_concepts(spark, d).select("query_id", "concept").join(retrieval._mentions(spark, d), "concept").join(own, "chunk_id", "left_semi").select("query_id", "chunk_id", "concept")
 
 
-_MATCHED = f"""{_MENTIONS}, qc AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), {_W})) AS concept FROM eval_queries WHERE item_id NOT LIKE '\\_%' ESCAPE '\\'),
-    g AS (SELECT query_id, chunk_id, concept FROM qc JOIN men USING (concept) JOIN {CHUNKS} c USING (chunk_id) WHERE c.tenant_id IN ('{TENANT}', 'global'))"""
+_MATCHED = f"""{_CONCEPTS}, g AS (SELECT query_id, chunk_id, concept FROM tc JOIN men USING (concept) JOIN {CHUNKS} c USING (chunk_id) WHERE c.tenant_id IN ('{TENANT}', 'global'))"""
 
 
 @query(f"WITH {_MATCHED} SELECT * FROM g")
 def jn_graph_match(spark: SparkSession, d: str) -> DataFrame:
-    """The edges from every labelled query over its concepts to the chunks in scope that mention them."""
+    """The edges from every labelled query over the eight concepts nearest to it to the chunks in scope that mention them."""
     return _matched(spark, d)
 
 
@@ -170,17 +173,6 @@ def jn_prereq(spark: SparkSession, d: str) -> DataFrame:
     return e.join(known.withColumnRenamed("concept", "a"), "a", "left_semi").join(known.withColumnRenamed("concept", "b"), "b", "left_semi")
 
 
-@query(f"""WITH {_MENTIONS}, m AS (SELECT concept, list(x ORDER BY i) AS v FROM (SELECT concept, i, avg(v[i]) AS x FROM (SELECT concept, v, unnest(range(1, 65)) AS i FROM men JOIN {CHUNK_VECTORS} cv ON men.chunk_id = cv.id) GROUP BY 1, 2) GROUP BY 1),
-    s AS (SELECT query_id, concept, round(list_cosine_similarity(q.v, m.v), 6) AS score FROM m, {QUERY_VECTORS} q)
-    SELECT query_id, concept, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept) AS rank FROM s WHERE score IS NOT NULL) WHERE rank <= 8""")
-def top_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """The eight concepts nearest to every labelled query; a concept's vector is the mean over its chunks."""
-    m = retrieval._mentions(spark, d).join(chunk_vectors(spark, d), F.col("chunk_id") == F.col("id")).groupBy("concept").agg(vectors.mean_vector(F.col("v")).alias("m"))
-    q = query_vectors(spark, d).select("query_id", F.col("v").alias("q"))
-    s = m.crossJoin(F.broadcast(q)).select("query_id", "concept", F.round(vectors.cosine(F.col("q"), F.col("m")), 6).alias("score")).where("score is not null")  # the fixed set of labelled queries
-    return ranking.ranked(s, F.desc("score"), "concept").where("rank <= 8")
-
-
 @query("""SELECT vec_id, ['factual', 'overview', 'multihop', 'visual'][o + 1] AS intent, round(s, 4) + CAST(0 AS DOUBLE) AS score FROM (SELECT e.vec_id, p.label AS o, max(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[]))) AS s
     FROM embeddings e, (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings WHERE label < 4) WHERE n <= 8) p GROUP BY 1, 2)""")
 def jn_proto(spark: SparkSession, d: str) -> DataFrame:
@@ -267,20 +259,29 @@ def r_visual(spark: SparkSession, d: str) -> DataFrame:
     return _visual(spark, d)
 
 
-@query(f"WITH {_PAGE_SCORES} SELECT rank, document_id || '/page_' || lpad(CAST(page_number AS VARCHAR), 4, '0') || '.png' AS image_key, page_id FROM best JOIN (SELECT DISTINCT page_id, document_id, page_number FROM {PAGES}) USING (document_id, page_number)")
+_CONTEXT = f"{_PAGE_SCORES}, seen AS (SELECT * FROM (SELECT DISTINCT document_id FROM best), (SELECT DISTINCT page_number FROM best))"
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, page_number): the pages of all five hits, in every document hit."""
+    hits = _visual(spark, d)
+    return F.broadcast(hits.select("document_id").distinct().crossJoin(hits.select("page_number").distinct()))  # 25 rows at most
+
+
+@query(f"WITH {_CONTEXT} SELECT document_id || '/page_' || lpad(CAST(page_number AS VARCHAR), 4, '0') || '.png' AS image_key, page_id FROM seen JOIN (SELECT DISTINCT page_id, document_id, page_number FROM {PAGES}) USING (document_id, page_number)")
 def jn_visual_context(spark: SparkSession, d: str) -> DataFrame:
-    """The pages found by late interaction with the key of their image."""
+    """The page numbers found by late interaction in every document found, with the key of their image."""
     p = view(spark, d, "page_contents", "page_id", "document_id", "page_number")
-    return p.join(F.broadcast(_visual(spark, d)), ["document_id", "page_number"]).select("rank", F.format_string("%s/page_%04d.png", "document_id", "page_number").alias("image_key"), "page_id")  # five rows
+    return p.join(_context(spark, d), ["document_id", "page_number"]).select(F.format_string("%s/page_%04d.png", "document_id", "page_number").alias("image_key"), "page_id")
 
 
-@query(f"""WITH {_PAGE_SCORES}, c AS (SELECT rank, chunk_id, '[Page ' || page_number || '] ' || substr(text, 1, 150) AS passage, row_number() OVER (PARTITION BY document_id, page_number ORDER BY chunk_index, chunk_id) AS n FROM best JOIN {CHUNKS} USING (document_id, page_number))
-    SELECT rank, CAST(n AS INT) AS n, chunk_id, passage FROM c WHERE n <= 2""")
+@query(f"""WITH {_CONTEXT}, c AS (SELECT chunk_id, '[Page ' || page_number || '] ' || text AS passage, row_number() OVER (PARTITION BY document_id, page_number ORDER BY chunk_index, chunk_id) AS n FROM seen JOIN {CHUNKS} USING (document_id, page_number))
+    SELECT CAST(n AS INT) AS n, chunk_id, passage FROM c WHERE n <= 2""")
 def r_visual_answer(spark: SparkSession, d: str) -> DataFrame:
-    """At most two passages of each page found by late interaction."""
-    c = chunks(spark, d, "document_id", "page_number", "chunk_index", "text").join(F.broadcast(_visual(spark, d)), ["document_id", "page_number"])  # five rows
+    """At most two passages of each page of the visual context."""
+    c = chunks(spark, d, "document_id", "page_number", "chunk_index", "text").join(_context(spark, d), ["document_id", "page_number"])
     by = Window.partitionBy("document_id", "page_number").orderBy("chunk_index", "chunk_id")
-    return c.withColumn("n", F.row_number().over(by)).where("n <= 2").select("rank", "n", "chunk_id", F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("] "), F.substring("text", 1, 150)).alias("passage"))
+    return c.withColumn("n", F.row_number().over(by)).where("n <= 2").select("n", "chunk_id", F.concat(F.lit("[Page "), F.col("page_number").cast("string"), F.lit("] "), "text").alias("passage"))
 
 
 @query(f"""SELECT query_id, chunk_id, CAST(n AS INT) AS n FROM (SELECT h.query_id, c.chunk_id, row_number() OVER (PARTITION BY h.query_id, c.document_id, c.page_number ORDER BY c.chunk_index, c.chunk_id) AS n

@@ -209,11 +209,13 @@ def agg_da_by_type(spark: SparkSession, d: str) -> DataFrame:
     return c.rollup("card_type").agg(F.count("*").alias("n")).select(F.coalesce("card_type", F.lit("total")).alias("card_type"), "n")
 
 
-@query(f"""SELECT document_id, string_agg(DISTINCT CAST(page_number AS VARCHAR), ',' ORDER BY CAST(page_number AS VARCHAR)) AS pages, count(DISTINCT page_number) AS n FROM {CHUNKS} WHERE page_number IS NOT NULL GROUP BY 1""")
+@query(f"""SELECT document_id, array_to_string(list_sort(list(DISTINCT page_number)), ',') AS pages, count(DISTINCT page_number) AS n, max(title) AS title FROM {CHUNKS} LEFT JOIN (SELECT document_id, max(title) AS title FROM parsed_documents GROUP BY 1) USING (document_id) WHERE page_number IS NOT NULL GROUP BY 1""")
 def agg_citation_line(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's pages that hold chunks, as one line."""
-    c = chunks(spark, d, "document_id", "page_number").where("page_number is not null")
-    return c.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("page_number").cast("string"))), ",").alias("pages"), F.countDistinct("page_number").alias("n"))
+    """Each document's pages that hold chunks, in their order, as one line, and its title."""
+    c = table(spark, d, "text_chunks").select("document_id", "page_number").where("page_number is not null")
+    pages = c.groupBy("document_id").agg(F.array_sort(F.collect_set("page_number")).alias("p"))
+    title = table(spark, d, "parsed_documents").groupBy("document_id").agg(F.max("title").alias("title"))
+    return pages.join(title, "document_id", "left").select("document_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("pages"), F.size("p").cast("bigint").alias("n"), "title")
 
 
 @query(f"SELECT document_id, array_to_string(list_sort(list(DISTINCT level)), ',') AS levels FROM {NODES} GROUP BY 1")
@@ -348,14 +350,6 @@ def str_functions(spark: SparkSession, d: str) -> DataFrame:
     """The string functions in use, over all documents."""
     t, title = F.col("text"), F.col("title")
     return table(spark, d, "documents").select(
-        "doc_id", squeeze(F.lower(F.substring(t, 1, 60))).alias("head"), F.concat(F.upper(F.substring(title, 1, 1)), F.lower(F.substring(title, 2, 1_000_000))).alias("title"), F.regexp_extract(t, "[0-9]", 0).alias("digit"),
+        "doc_id", squeeze(F.lower(F.substring(t, 1, 60))).alias("head"), F.concat(F.upper(F.substring(title, 1, 1)), F.lower(F.substring(title, 2, F.length(title)))).alias("title"), F.regexp_extract(t, "[0-9]", 0).alias("digit"),
         F.contains(t, F.lit("the")).alias("has_the"), F.instr(t, "of").cast("bigint").alias("of_at"), F.startswith(t, F.lit("A ")).alias("starts_a"), F.floor(F.length(t) / 4).alias("rough_tokens"),
     )
-
-
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_discount, count(*) AS n
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
-def star_pricing(spark: SparkSession, d: str) -> DataFrame:
-    """Beyond the reference: totals of line items by flag and status."""
-    t = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count("*").alias("n"))

@@ -10,16 +10,23 @@ from lectern.functions.lineage import cut
 from lectern.functions.text import words
 from lectern.operators import concepts, evaluation, ranking, scope
 from lectern.operators.cards import ARTIFACT_TYPES, key_facts
-from lectern.plans.base import CHUNK_VECTORS, CHUNKS, HUNDREDTH, NODES, PAGES, QUERY_VECTORS, TENANT, cards, chunk_vectors, chunks, every_hundredth, queries, query, query_vectors, vector_table, vectors_sql, view
+from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, HUNDREDTH, NODES, PAGES, QUERY_VECTORS, SCOPED_VECTORS, TENANT, cards, chunk_vectors, chunks, every_hundredth, queries, query, query_vectors, texts_of, vector_table, vectors_sql, view
 from lectern.sources.tables import table
 
 # Pool of the dense lane, what is kept of it, what is shown, and the limits of the other lanes.
-POOL, FETCH, SHOWN, SUMMARIES, LINKED = 50, 20, 6, 2, 3
+POOL, FETCH, SHOWN, SUMMARIES, LINKED, NEAR_CONCEPTS = 50, 20, 6, 2, 3, 8
 # Which lanes an intent uses (vector, raptor, graph, visual), and from which score on an intent counts.
 ROUTES = {"factual": (True, False, False, False), "overview": (True, True, False, False), "multihop": (True, False, True, False), "visual": (False, False, False, True), "mixed": (True, True, True, False)}
 INTENT_THRESHOLD = 0.30
 
-_COS = "list_cosine_similarity(q.v, x.v)"
+_BLANK = r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
+_COS = "round(list_cosine_similarity(q.v, x.v), 9)"
 
 
 def _knn_sql(source: str, queries_sql: str, k: int, where: str = "true") -> str:
@@ -42,7 +49,7 @@ def jn_vec_knn(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ranking.knn(chunk_vectors(spark, d), every_hundredth(spark, d), 10))
 
 
-@query(_knn_sql(CHUNK_VECTORS, QUERY_VECTORS, 10, f"x.id IN (SELECT chunk_id FROM text_chunks WHERE tenant_id IN ('{TENANT}', 'global'))"))
+@query(_knn_sql(SCOPED_VECTORS, QUERY_VECTORS, 10))
 def r_search(spark: SparkSession, d: str) -> DataFrame:
     """The 10 nearest chunks in a tenant's scope for every labelled query."""
     return _rounded(ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), 10))
@@ -65,12 +72,11 @@ def jn_vec_attach(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT label, count(*) AS n FROM (SELECT CASE WHEN s >= 0.65 THEN 'Very relevant' WHEN s >= 0.55 THEN 'Highly relevant' WHEN s >= 0.45 THEN 'Relevant' WHEN s >= 0.35 THEN 'Somewhat relevant' ELSE 'Loosely related' END AS label
-    FROM (SELECT max({_COS}) AS s FROM {CHUNK_VECTORS} x, {HUNDREDTH} q GROUP BY query_id, x.id)) GROUP BY 1""")
+    FROM (SELECT round({_COS}, 4) AS s FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q)) GROUP BY 1""")
 def case_relevance(spark: SparkSession, d: str) -> DataFrame:
-    """How many pairs of query and chunk each step of relevance holds."""
-    q = every_hundredth(spark, d).select("query_id", F.col("v").alias("q"))
-    hits = chunk_vectors(spark, d).crossJoin(F.broadcast(q))  # the query set of a fixed table, against all rows
-    return hits.groupBy(scope.relevance_label(vectors.cosine(F.col("q"), F.col("v"))).alias("label")).agg(F.count("*").alias("n"))
+    """How many pairs of labelled query and chunk each step of relevance holds."""
+    scores = ranking.score_counts(chunk_vectors(spark, d), query_vectors(spark, d), 4)
+    return scores.groupBy(scope.relevance_label(F.col("score")).alias("label")).agg(F.sum("n").alias("n"))
 
 
 def _query_terms(q: DataFrame) -> DataFrame:
@@ -81,8 +87,14 @@ def _chunk_postings(spark: SparkSession, d: str) -> DataFrame:
     return ranking.postings(chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), "text"), words(F.col("text")))
 
 
-_SPARSE = f"""t AS (SELECT chunk_id AS id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {CHUNKS}) GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(DISTINCT chunk_id) AS n FROM text_chunks),
+def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The k chunks in scope of largest sparse product for every labelled query."""
+    c = chunks(spark, d, "text", "tenant_id").where(scope.in_scope(F.col("tenant_id"), None, TENANT)).select(F.col("chunk_id").alias("id"), "text")
+    return ranking.sparse_search(c, words(F.col("text")), _query_terms(queries(spark, d)), k)
+
+
+_SPARSE = f"""t AS (SELECT chunk_id AS id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {CHUNKS} WHERE tenant_id IN ('{TENANT}', 'global')) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM t GROUP BY 1), n AS (SELECT count(DISTINCT chunk_id) AS n FROM text_chunks WHERE tenant_id IN ('{TENANT}', 'global')),
     qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS term FROM eval_queries WHERE item_id NOT LIKE '\\_%' ESCAPE '\\'),
     sp AS (SELECT query_id, id, round(sum(ln(1 + tf) * ln(1 + n / df)), 6) AS score FROM qt JOIN t USING (term) JOIN df USING (term), n GROUP BY 1, 2),
     sparse AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sp)"""
@@ -90,30 +102,29 @@ _SPARSE = f"""t AS (SELECT chunk_id AS id, term, count(*) AS tf FROM (SELECT chu
 
 @query(f"WITH {_SPARSE} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM sparse WHERE rank <= 10")
 def r_sparse(spark: SparkSession, d: str) -> DataFrame:
-    """The 10 chunks of largest sparse product for every labelled query."""
-    return ranking.sparse_knn(_chunk_postings(spark, d), _query_terms(queries(spark, d)), 10)
+    """The 10 chunks in scope of largest sparse product for every labelled query."""
+    return _sparse(spark, d, 10)
 
 
 def _dense_and_sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    dense = ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d), k)
-    sparse = ranking.sparse_knn(_chunk_postings(spark, d), _query_terms(queries(spark, d)), k)
+    dense, sparse = ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), k), _sparse(spark, d, k)
     columns = ("query_id", "id", "score", "rank")
     return dense.select(*columns).withColumn("list_no", F.lit(0)).unionByName(sparse.select(*columns).withColumn("list_no", F.lit(1)))
 
 
-@query(f"""WITH {_SPARSE}, dense AS (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q),
+@query(f"""WITH {_SPARSE}, dense AS (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q),
     both_lists AS (SELECT query_id, id, rank, 0 AS l FROM dense WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM sparse WHERE rank <= 30),
     fused AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, min(l * 1000 + rank) AS first FROM both_lists GROUP BY 1, 2)
     SELECT query_id, id, rrf_score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first, id) AS r FROM fused) WHERE r <= 10""")
 def r_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and sparse lanes of three times the limit, fused by reciprocal rank."""
+    """Dense and sparse lanes in scope, of three times the limit, fused by reciprocal rank."""
     return ranking.rrf(_dense_and_sparse(spark, d, 30)).where("rank <= 10").select("query_id", "id", "rrf_score", "rank")
 
 
 @query(f"""WITH {_SPARSE} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 4) AS share FROM sparse WHERE rank <= 10""")
 def agg_max_norm(spark: SparkSession, d: str) -> DataFrame:
     """Sparse scores as shares of each query's best."""
-    hits = ranking.sparse_knn(_chunk_postings(spark, d), _query_terms(queries(spark, d)), 10)
+    hits = _sparse(spark, d, 10)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return hits.select("query_id", "id", F.round(F.col("score") / F.coalesce(F.nullif(best, F.lit(0.0)), F.lit(1.0)), 4).alias("share"))
 
@@ -127,40 +138,46 @@ def artifacts(spark: SparkSession, d: str) -> DataFrame:
 
 def artifact_hits(spark: SparkSession, d: str, shown: DataFrame, k: int) -> DataFrame:
     """The k cards of largest sparse product for every labelled query."""
-    return ranking.sparse_knn(ranking.postings(shown, words(F.col("text"))), _query_terms(queries(spark, d)), k)
+    return ranking.sparse_search(shown, words(F.col("text")), _query_terms(queries(spark, d)), k)
+
+
+def _tokens(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    return texts_of(spark, d, hits).select("id", F.array_distinct(words(F.col("text"))).alias("tokens"))
+
+
+def _diverse(spark: SparkSession, d: str) -> DataFrame:
+    dense = cut(ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), POOL))
+    return ranking.mmr(dense.join(_tokens(spark, d, dense), "id").select("query_id", "id", "score", "rank", "tokens"), FETCH)
 
 
 def _funnel(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, id, score, rank, lane): dense pool in scope, diversified, then new parents of artifact hits behind it."""
-    dense = cut(ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), POOL))
-    text = chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("tokens"))
-    kept = ranking.mmr(dense.join(text, "id").select("query_id", "id", "score", "rank", "tokens"), FETCH)
-    shown = artifacts(spark, d)
-    hits = artifact_hits(spark, d, shown, FETCH)
-    more = ranking.parents(hits, shown.select("id", "chunk_id"), text)
-    return ranking.append_new(kept, more)
+    hits = artifact_hits(spark, d, artifacts(spark, d), FETCH)
+    more = ranking.parents(hits, cards(spark, d, "chunk_id").select(F.col("card_id").alias("id"), "chunk_id"), chunks(spark, d).select(F.col("chunk_id").alias("id")))
+    return ranking.append_new(_diverse(spark, d), more)
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    f = cut(_funnel(spark, d))
+    q = queries(spark, d).select("query_id", F.array_distinct(words(F.col("query"))).alias("q"))
+    return ranking.rerank(f.join(q, "query_id").join(_tokens(spark, d, f), "id"), F.round(ranking.overlap(F.col("q"), F.col("tokens")), 6), SHOWN)
 
 
 @query()
 def r_funnel(spark: SparkSession, d: str) -> DataFrame:
     """The whole funnel: dense pool of 50, diversified to 20, parents of card hits appended, 6 left by token overlap with the query."""
-    f = _funnel(spark, d)
-    q = queries(spark, d).select("query_id", F.array_distinct(words(F.col("query"))).alias("q"))
-    text = chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("tokens"))
-    return ranking.rerank(f.join(q, "query_id").join(text, "id"), F.round(ranking.overlap(F.col("q"), F.col("tokens")), 6), SHOWN).select("query_id", "id", F.round("score", 4).alias("score"), "rerank_score", "lane", "rank")
+    return _shown(spark, d).select("query_id", "id", F.round("score", 4).alias("score"), "rerank_score", "lane", "rank")
 
 
 @query()
 def itr_mmr(spark: SparkSession, d: str) -> DataFrame:
-    """The diversified 20 of the dense pool of 50, for every labelled query."""
-    dense = ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d), POOL)
-    text = chunks(spark, d, "text").select(F.col("chunk_id").alias("id"), F.array_distinct(words(F.col("text"))).alias("tokens"))
-    return _rounded(ranking.mmr(dense.join(text, "id").select("query_id", "id", "score", "rank", "tokens"), FETCH))
+    """The diversified 20 of the dense pool of 50 in scope, for every labelled query."""
+    return _rounded(_diverse(spark, d))
 
 
 _HITS = f"""hits AS (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {CHUNK_VECTORS} x, {QUERY_VECTORS} q),
     top AS (SELECT h.query_id, h.rank, h.score, c.page_number AS page FROM hits h JOIN (SELECT DISTINCT chunk_id, page_number FROM text_chunks) c ON h.id = c.chunk_id WHERE rank <= 20),
-    rel AS (SELECT DISTINCT item_id AS query_id, query_type, calibrated, list_distinct(relevant_pages) AS pages FROM eval_queries WHERE query_type <> 'visual' AND relevant_pages IS NOT NULL AND item_id NOT LIKE '\\_%' ESCAPE '\\'),
+    rel AS (SELECT DISTINCT item_id AS query_id, query_type, calibrated, list_distinct(list_transform(relevant_pages, lambda x: x % 5 + 1)) AS pages FROM eval_queries WHERE query_type <> 'visual' AND relevant_pages IS NOT NULL AND item_id NOT LIKE '\\_%' ESCAPE '\\'),
     x AS (SELECT rel.*, top.rank, top.score, top.page, coalesce(list_contains(pages, page), false) AS hit FROM rel LEFT JOIN top USING (query_id)),
     m AS (SELECT query_id, any_value(query_type) AS query_type, any_value(calibrated) AS calibrated, len(any_value(pages)) AS n,
       round(count(DISTINCT page) FILTER (hit AND score >= 0.45) / len(any_value(pages)), 4) AS recall, round(coalesce(1.0 / min(rank) FILTER (hit), 0), 4) AS mrr,
@@ -247,20 +264,39 @@ def agg_graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return c.crossJoin(m)  # one row each
 
 
-@query(f"""WITH {_MENTIONS}, qc AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) AS concept FROM eval_queries WHERE item_id NOT LIKE '\\_%' ESCAPE '\\'),
-    g AS (SELECT query_id, chunk_id, string_agg(DISTINCT concept, ', ' ORDER BY concept) AS concepts, count(DISTINCT concept) AS matched FROM qc JOIN men USING (concept) JOIN {CHUNKS} c USING (chunk_id) WHERE c.tenant_id IN ('{TENANT}', 'global') GROUP BY 1, 2)
+def _near_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, concept, score, rank): the eight concepts nearest to every labelled query; a concept's vector is the mean over its chunks."""
+    m = _mentions(spark, d).join(chunk_vectors(spark, d), F.col("chunk_id") == F.col("id")).groupBy("concept").agg(vectors.mean_vector(F.col("v")).alias("v"))
+    near = ranking.knn(m.select(F.col("concept").alias("id"), "v").where(vectors.norm(F.col("v")) > 0), query_vectors(spark, d), NEAR_CONCEPTS)
+    return near.select("query_id", F.col("id").alias("concept"), F.round("score", 4).alias("score"), "rank")
+
+
+_CONCEPTS = f"""{_MENTIONS}, mv AS (SELECT concept, list(x ORDER BY i) AS v FROM (SELECT concept, i, avg(v[i]) AS x FROM (SELECT concept, v, unnest(range(1, 65)) AS i FROM men JOIN {CHUNK_VECTORS} cv ON men.chunk_id = cv.id) GROUP BY 1, 2) GROUP BY 1),
+    tc AS (SELECT query_id, concept, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept) AS rank FROM
+      (SELECT query_id, concept, {_COS} AS score FROM mv x, {QUERY_VECTORS} q) WHERE score IS NOT NULL) WHERE rank <= {NEAR_CONCEPTS})"""
+
+
+@query(f"WITH {_CONCEPTS} SELECT * FROM tc")
+def top_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """The eight concepts nearest to every labelled query."""
+    return _near_concepts(spark, d)
+
+
+@query(f"""WITH {_CONCEPTS}, g AS (SELECT query_id, chunk_id, string_agg(DISTINCT concept, ', ' ORDER BY concept) AS concepts, count(DISTINCT concept) AS matched FROM tc JOIN men USING (concept) JOIN {CHUNKS} c USING (chunk_id) WHERE c.tenant_id IN ('{TENANT}', 'global') GROUP BY 1, 2)
     SELECT query_id, chunk_id, concepts, matched, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, chunk_id) AS rank FROM g) WHERE rank <= 5""")
 def r_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks in scope that mention most of a query's concepts."""
-    q = queries(spark, d).select("query_id", F.explode(words(F.col("query"))).alias("concept"))
+    """The chunks in scope that mention most of the eight concepts nearest to a query."""
     c = chunks(spark, d, "tenant_id").where(scope.in_scope(F.col("tenant_id"), None, TENANT))
-    return concepts.search(q, _mentions(spark, d), c)
+    return concepts.search(_near_concepts(spark, d).select("query_id", "concept"), _mentions(spark, d), c)
 
 
-@query()
+@query(f"""WITH hits AS (SELECT * FROM (SELECT query_id, x.id, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q) WHERE rank <= {SHOWN}),
+    c AS (SELECT query_id, card_id, content, row_number() OVER (PARTITION BY query_id ORDER BY rank, card_id) AS n FROM hits JOIN (SELECT card_id, chunk_id, content FROM {CARDS} WHERE is_active AND card_type IN ('definition', 'factoid', 'formula')) k ON hits.id = k.chunk_id),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(lower({_strip("content")}), 1, 200) ORDER BY n) AS nth FROM c WHERE n <= 16 AND lower({_strip("content")}) NOT IN ('n/a', 'none', 'not applicable', 'null', ''))
+    SELECT query_id, card_id, content, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) AS INT) AS rank FROM f WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n) <= 8""")
 def r_keyfacts(spark: SparkSession, d: str) -> DataFrame:
-    """Key facts for the first six chunks of every labelled query."""
-    hits = ranking.knn(chunk_vectors(spark, d), query_vectors(spark, d), SHOWN)
+    """Key facts for the first six chunks in scope of every labelled query."""
+    hits = ranking.knn(_scoped_vectors(spark, d), query_vectors(spark, d), SHOWN)
     return key_facts(hits, cards(spark, d, "chunk_id", "card_type", "content", "is_active").where("is_active"))
 
 
@@ -276,7 +312,7 @@ def jn_pages(spark: SparkSession, d: str) -> DataFrame:
 def r_ask(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, lane, id, rank): the passages of every labelled query, from the lanes its kind of question uses."""
     lanes = queries(spark, d).select("query_id", F.get(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("v", "r", "g"), flags))) for flags in ROUTES.values())), F.coalesce(F.array_position(F.array(*map(F.lit, ROUTES)), F.col("query_type")).cast("int") - 1, F.lit(4))).alias("use"))
-    funnel = r_funnel(spark, d).select("query_id", F.lit("chunk").alias("lane"), "id", "rank")
+    funnel = _shown(spark, d).select("query_id", F.lit("chunk").alias("lane"), "id", "rank")
     raptor = r_raptor(spark, d).join(lanes, "query_id").where("use.r").select("query_id", F.lit("summary"), "id", "rank")
     graph = r_graph(spark, d).where(F.col("rank") <= LINKED).join(lanes, "query_id").where("use.g").select("query_id", F.lit("concept"), F.col("chunk_id"), "rank")
     return funnel.union(raptor).union(graph)
