@@ -10,32 +10,34 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import regex
+import xxhash
+import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.lineage import cut
-from lectern.functions.text import SPACE, squeeze
+from lectern.functions.text import squeeze
 
 # Glyphs that are mistaken for each other, one by one and as strokes.
 SINGLE = ("0@5†961!|lerty", "oastgbiiiicitv")
 STROKES = (("d", "ci"), ("m", "iii"), ("[nuh]", "ii"), ("w", "vv"))
 #: Hyphens that break words: hyphen-minus, soft hyphen, not sign, hyphen, en dash.
 HYPHENS = "\\-\\x{AD}\\x{AC}\\x{2010}\\x{2013}"
-BREAK = rf"([\p{{L}}\p{{M}}0-9@†!'’]+(?:-[\p{{L}}]+)*)[{HYPHENS}][ \t]*\r?\n[ \t]*(\p{{Ll}}[\p{{L}}\p{{M}}0-9@†!]*)"
 #: How much more frequent the right form is than a misread one; where a symbol stands in the word it need only be as frequent.
 RATIO = 20
 #: Words on either side that are asked where the direct neighbours are silent, and the share of them that must be seen as near the right form.
 REACH, NEAR = 3, 0.3
-#: Rows up to which the table of misread forms is sent to every task; beyond, it is joined by shuffle.
-BROADCAST_ROWS = 100_000
-#: A line longer than this is body text.
-LONGEST = 110
+#: Bytes of words up to which a table is sent to every task; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Lines looked at from each edge of a page; while all of them are printed, as many more.
+DEPTH = 2
 
 # Section headings of the body that stand at page edges.
 HEADINGS = {"answers", "summary", "exercises", "worked example", "worked examples", "notes", "solutions", "references", "questions", "review", "contents"}
@@ -47,6 +49,9 @@ _FIRST = re.compile(rf"(?P<n>{_NUMBER})(?P<gap>\s*\|?\s+|\s*[-–—·]\s*)(?P<r
 _LAST = re.compile(rf"(?P<rest>.*\S)(?P<gap>\s+\|?\s*|\s*[-–—·]\s*)(?P<n>{_NUMBER})")
 _SPLIT = re.compile(r"\r\n|[\n\r]")
 _TABLE = str.maketrans(*SINGLE)
+_NUMERAL = frozenset("0123456789ivxlcIVXLC")
+_STROKES = [(re.compile(glyph), strokes) for glyph, strokes in STROKES]
+_DIGITS = re.compile(r"\b\d+\b")
 
 
 def skeleton(word: Column) -> Column:
@@ -59,8 +64,8 @@ def skeleton(word: Column) -> Column:
 
 def _skeleton(text: str) -> str:
     out = text.lower().translate(_TABLE)
-    for glyph, strokes in STROKES:
-        out = re.sub(glyph, strokes, out)
+    for glyph, strokes in _STROKES:
+        out = glyph.sub(strokes, out)
     return out
 
 
@@ -83,8 +88,8 @@ def edge_line(line: str) -> tuple[int | None, bool, str]:
         sure = bool(pure["of"] or pure["pre"].strip() or pure["post"].strip()) or line.startswith("     ")
         return n, sure and pure["n"].isdigit(), ""
     number, rest = None, bare
-    for form in (_FIRST, _LAST):
-        m = form.fullmatch(bare)
+    for form, at in ((_FIRST, 0), (_LAST, -1)):
+        m = form.fullmatch(bare) if bare and bare[at] in _NUMERAL else None
         if m and (n := _value(m["n"])) is not None and (m["n"].isdigit() or len(m["gap"]) > 2):
             number, rest = n, m["rest"]
             break
@@ -92,14 +97,14 @@ def edge_line(line: str) -> tuple[int | None, bool, str]:
 
 
 def _key(text: str) -> str:
-    return " ".join(_skeleton(re.sub(r"\b\d+\b", "#", text.strip(" |\t"))).split())
+    return " ".join(_skeleton(_DIGITS.sub("#", text.strip(" |\t"))).split())
 
 
 def _may_head(text: str) -> bool:
     """Whether a line can be a running header by its form."""
     bare = text.strip()
     letters = sum(c.isalpha() for c in bare)
-    if letters < 4 or len(bare) > LONGEST or bare[0] in "#-•$>" or bare.startswith("* ") or bare.count("|") > 2 or re.match(r"\d+[.)]\s", bare):
+    if letters < 4 or bare[0] in "#-•$>" or bare.startswith("* ") or bare.count("|") > 2 or re.match(r"\d+[.)]\s", bare):
         return False
     return not (re.search(r"[.;,:?!]$", bare) and not bare.endswith("...")) and bare.lower() not in HEADINGS
 
@@ -110,24 +115,39 @@ def _styled(text: str) -> bool:
     return bare.isupper() or (bare.startswith("|") and bare.endswith("|")) or bare.endswith("...") or " * " in bare or "    " in bare
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for page, doc, no, text in zip(b["page_id"], b["document_id"], b["page_number"], b["text"]):
-            lines = _SPLIT.split(text)
-            full = [i for i, x in enumerate(lines) if x.strip()]
-            for i in dict.fromkeys([*full[:2], *full[-2:]]):
-                line = lines[i]
-                if len(line.strip()) > LONGEST:
-                    continue
-                number, sure, rest = edge_line(line)
-                apart = (i == full[0] or i == full[-1]) and len(full) > 1 and not (lines[i + 1].strip() if i == full[0] else lines[i - 1].strip())
-                head = bool(rest) and _may_head(rest)
-                if number is not None or head:
-                    offset = None if number is None or no is None or pd.isna(no) else number - int(no)
-                    whole = _key(line) if _may_head(line) else None
-                    out.append((page, doc, " ".join(line.split()), offset, sure, _key(rest) if head else None, whole, apart and _styled(rest)))
-        yield pd.DataFrame(out, columns=["page_id", "document_id", "line", "offset", "sure", "key", "whole", "styled"])
+def _edges(first: int):
+    """The lines from the first on, counted from each edge of a page, that may be printed around the body."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for page, doc, no, text in zip(b["page_id"], b["document_id"], b["page_number"], b["text"]):
+                lines = _SPLIT.split(text)
+                full = [i for i, x in enumerate(lines) if x.strip()]
+                top, bottom = full[first : first + DEPTH], full[max(len(full) - first - DEPTH, first + DEPTH) : max(len(full) - first, 0)]
+                for i in (*top, *bottom):
+                    line = lines[i]
+                    number, sure, rest = edge_line(line)
+                    apart = (i == full[0] or i == full[-1]) and len(full) > 1 and not (lines[i + 1].strip() if i == full[0] else lines[i - 1].strip())
+                    head = bool(rest) and _may_head(rest)
+                    if number is not None or head:
+                        offset = None if number is None or no is None or pd.isna(no) else number - int(no)
+                        whole = _key(line) if _may_head(line) else None
+                        out.append((page, doc, i in top, " ".join(line.split()), offset, sure, _key(rest) if head else None, whole, apart and _styled(rest)))
+            yield pd.DataFrame(out, columns=["page_id", "document_id", "top", "line", "offset", "sure", "key", "whole", "styled"])
+
+    return run
+
+
+def _printed(pages: DataFrame, first: int) -> DataFrame:
+    schema = "page_id string, document_id string, top boolean, line string, offset int, sure boolean, key string, whole string, styled boolean"
+    e = cut(pages.mapInPandas(_edges(first), schema))
+    steady = e.where("offset is not null").groupBy("document_id", "offset").agg(F.countDistinct("page_id").alias("n")).where("n > 1").select("document_id", "offset", F.lit(True).alias("steady"))
+    e = e.join(steady, ["document_id", "offset"], "left").withColumn("number", F.coalesce("steady", F.lit(False)) | F.col("sure"))
+    e = e.withColumn("head", F.when(F.col("number") | F.col("offset").isNull(), F.col("key")).otherwise(F.col("whole")))
+    often = e.where("head is not null").groupBy("document_id", "head").agg(F.countDistinct("page_id").alias("n"), F.max("styled").alias("set")).where("n > 1 or set").select("document_id", "head", F.lit(True).alias("header"))
+    e = e.join(often, ["document_id", "head"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
+    return cut(e.where("number or header").select("page_id", "document_id", "top", "line", "number", "header"))
 
 
 def printed_lines(pages: DataFrame) -> DataFrame:
@@ -136,16 +156,17 @@ def printed_lines(pages: DataFrame) -> DataFrame:
     pages: (page_id, document_id, page_number, text). A number is a page number if it
     keeps its distance to page_number on at least two pages, or is dressed as one. The
     rest of a line is a running header if it stands at the edges of two pages of the
-    document, digits masked and confusable glyphs alike.
+    document, digits masked and confusable glyphs alike. Pages are looked into from each
+    edge DEPTH lines at a time, as long as all of these are printed.
     """
-    schema = "page_id string, document_id string, line string, offset int, sure boolean, key string, whole string, styled boolean"
-    e = cut(pages.where("text is not null").mapInPandas(_edges, schema))
-    steady = e.where("offset is not null").groupBy("document_id", "offset").agg(F.countDistinct("page_id").alias("n")).where("n > 1").select("document_id", "offset", F.lit(True).alias("steady"))
-    e = e.join(steady, ["document_id", "offset"], "left").withColumn("number", F.coalesce("steady", F.lit(False)) | F.col("sure"))
-    e = e.withColumn("head", F.when(F.col("number") | F.col("offset").isNull(), F.col("key")).otherwise(F.col("whole")))
-    often = e.where("head is not null").groupBy("document_id", "head").agg(F.countDistinct("page_id").alias("n"), F.max("styled").alias("set")).where("n > 1 or set").select("document_id", "head", F.lit(True).alias("header"))
-    e = e.join(often, ["document_id", "head"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
-    return e.where("number or header").select("page_id", "document_id", "line", "number", "header")
+    p, out, first = pages.where("text is not null"), None, 0
+    while True:
+        found = _printed(p, first)
+        out = found if out is None else out.union(found)
+        on = found.groupBy("page_id", "top").agg(F.count("*").alias("n")).where(F.col("n") >= DEPTH).select("page_id").distinct()
+        if on.isEmpty():
+            return out.drop("top").distinct()
+        p, first = p.join(cut(on), "page_id", "left_semi"), first + DEPTH
 
 
 class _Blank(dict):
@@ -160,6 +181,24 @@ class _Blank(dict):
 _BLANKS = _Blank()
 _JOIN = re.compile("[-\xad\xac\u2010\u2013][ \t]*\r?\n[ \t]*")
 _OUTER = re.compile(r"^[^\w@†!]+|[^\w@†]+$")
+_BEFORE, _AFTER = regex.compile(r"[\p{L}\p{M}0-9@†!'’]+(?:-\p{L}+)*$"), regex.compile(r"\p{Ll}[\p{L}\p{M}0-9@†!]*")
+
+
+def breaks_of(text: str) -> list[str]:
+    """The words broken over two lines, in lower case, as what stands before and behind the break with a blank between."""
+    out = []
+    for m in _JOIN.finditer(text):
+        b = _AFTER.match(text, m.end())
+        if b:
+            token = text[max(text.rfind(c, 0, m.start()) for c in " \t\n\r") + 1 : m.start()]
+            a = _BEFORE.search(token)
+            if a:
+                out.append(f"{a[0].lower()} {b[0].lower()}")
+    return list(dict.fromkeys(out))
+
+
+def _line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
 def words_of(text: str) -> list[str]:
@@ -169,19 +208,25 @@ def words_of(text: str) -> list[str]:
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
-        yield b.assign(words=[zlib.compress("\n".join(words_of(t)).encode(), 1) for t in b["text"]]).drop(columns="text")
+        lines = [None if page else list({_line_hash(" ".join(x.split())) for x in _SPLIT.split(t) if x and not x.isspace()}) for page, t in zip(b["page"], b["text"])]
+        yield b.assign(words=[pack("\n".join(words_of(t)).encode()) for t in b["text"]], breaks=[breaks_of(t) for t in b["text"]], lines=lines).drop(columns="text")
+
+
+_unpack = zstandard.ZstdDecompressor().decompress
 
 
 def _unpacked(words: bytes) -> list[str]:
-    return zlib.decompress(words).decode().split("\n")
+    return _unpack(words).decode().split("\n")
 
 
 def token_table(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(record_id, document_id, page, words): the words of both tables, packed, so that texts are taken apart once."""
+    """(record_id, document_id, page, words, breaks, lines): of both tables, taken apart once: the words, packed, the broken words, and of chunks the hashes of their lines."""
     p = pages.select(F.col("page_id").alias("record_id"), "document_id", F.lit(True).alias("page"), "text")
     c = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", F.lit(False), "text")
-    return p.union(c).where("record_id is not null and text is not null").mapInPandas(_packed, "record_id string, document_id string, page boolean, words binary")
+    schema = "record_id string, document_id string, page boolean, words binary, breaks array<string>, lines array<bigint>"
+    return p.union(c).where("record_id is not null and text is not null").mapInPandas(_packed, schema)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,14 +258,20 @@ def misread_forms(words: DataFrame) -> DataFrame:
 STRAY = r"^\p{L}{2,}[0156@†!9]\p{L}{2,}$|^\p{L}{5,}[05@†]$|^[@†!]\p{L}{4,}$"
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether the words of df are few enough to be sent to every task; df should be cut."""
+    size = df.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) + 50 for c, t in df.dtypes if t == "string"), F.lit(0)))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def _few(df: DataFrame) -> DataFrame:
     """df, to be sent to every task if its size is bounded; else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _small(df) else df
 
 
 def _sent(df: DataFrame) -> Broadcast | None:
-    """The rows of df, as tuples, for every task if their number is bounded."""
-    return df.sparkSession.sparkContext.broadcast({tuple(r) for r in df.collect()}) if df.count() <= BROADCAST_ROWS else None
+    """The rows of df, as tuples, for every task if their size is bounded."""
+    return df.sparkSession.sparkContext.broadcast({tuple(r) for r in df.collect()}) if _small(df) else None
 
 
 def _masked(words: list[str]) -> list[str]:
@@ -270,25 +321,32 @@ def pair_counts(tokens: DataFrame, asked: DataFrame) -> DataFrame:
     return found if sent else found.join(asked, ["a", "b"], "left_semi")
 
 
-def seen_near(tokens: DataFrame, asked: DataFrame) -> DataFrame:
-    """The rows of asked (good, x) for which x stands within REACH words of good in a record."""
-    sent = _sent(asked)
+def seen_near(tokens: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of asked (good, x) for which x stands within REACH words of good in a record; the rarer one of the two is looked for."""
+    n = words.select(F.col("word").alias("x"), F.col("n").alias("nx")), words.select(F.col("word").alias("good"), F.col("n").alias("ng"))
+    rated = cut(asked.join(n[0], "x", "left").join(n[1], "good", "left").select("good", "x", (F.coalesce("nx", F.lit(1 << 40)) < F.coalesce("ng", F.lit(1 << 40))).alias("by_x")))
+    sent = _sent(rated)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted: dict[str, set[str]] = {}
-        for g, x in () if sent is None else sent.value:
-            wanted.setdefault(g, set()).add(x)
+        by_x: dict[str, set[str]] = {}
+        by_good: dict[str, set[str]] = {}
+        for g, x, rarer in () if sent is None else sent.value:
+            (by_x if rarer else by_good).setdefault(x if rarer else g, set()).add(g if rarer else x)
+        keys = by_x.keys() | by_good.keys()
         for b in batches:
             out = set()
             for packed in b["words"]:
-                words = _unpacked(packed)
-                if sent is not None and wanted.keys().isdisjoint(words):
+                words = _masked(_unpacked(packed))
+                if sent is None:
+                    for i, w in enumerate(words):
+                        out.update((w, x) for x in _around(words, i))
                     continue
-                masked = _masked(words)
-                for i, w in enumerate(words):
-                    if sent is None or w in wanted:
-                        near = _around(masked, i)
-                        out.update((w, x) for x in (near if sent is None else near & wanted[w]))
+                for i in [i for i, w in enumerate(words) if w in keys] if not keys.isdisjoint(words) else ():
+                    near, w = _around(words, i), words[i]
+                    if w in by_good:
+                        out.update((w, x) for x in near & by_good[w])
+                    if w in by_x:
+                        out.update((g, w) for g in near & by_x[w])
             yield pd.DataFrame(list(out), columns=["good", "x"])
 
     found = tokens.mapInPandas(find, "good string, x string").distinct()
@@ -308,7 +366,7 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     word needs no such support. Symbols in words that are like no known one (STRAY) are
     misread anyway.
     """
-    stray = words.where(F.length("word") > 2).where(F.col("word").rlike(STRAY)).select("word")
+    stray = cut(words.where(F.length("word") > 2).where(F.col("word").rlike(STRAY)).select("word"))
     occ = cut(occurrences(tokens, cut(stray.union(bad.select("bad")).distinct())))
     doc = F.coalesce("document_id", "record_id")
     own = [occ.groupBy("word", side).agg((F.countDistinct(doc) - 1).alias(f"own_{side}")) for side in ("left", "right")]
@@ -323,7 +381,7 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     kept = (F.col("own_left") > rate * F.col("good_left")) | (F.col("own_right") > rate * F.col("good_right"))
     c = cut(c.withColumn("kept", kept).withColumn("support", F.col("good_left") + F.col("good_right")))
     silent = c.where(~F.col("kept") & (F.col("support") == 0) & ~odd).select("record_id", "word", "left", "right", "good", "n", "around", F.explode("around").alias("x"))
-    near = seen_near(tokens, cut(silent.select("good", "x").distinct())).withColumn("near", F.lit(1))
+    near = seen_near(tokens, cut(silent.select("good", "x").distinct()), words).withColumn("near", F.lit(1))
     wide = silent.join(near, ["good", "x"], "left").groupBy("record_id", "word", "left", "right", "around", "good", "n").agg(F.sum(F.coalesce("near", F.lit(0))).alias("near"))
     misread = c.where(~F.col("kept") & ((F.col("support") > 0) | odd)).select("record_id", "word", "left", "right", "good", "n", "support")
     misread = misread.union(wide.where(F.col("near") >= NEAR * F.size("around")).select("record_id", "word", "left", "right", "good", "n", F.lit(0)))
@@ -335,23 +393,14 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     return misread.union(likely).union(alone).groupBy("record_id", "word", "left", "right").agg(F.max_by("good", by).alias("good"))
 
 
-def _breaks(text: Column) -> Column:
-    """Ends of lines with a hyphen, each with the line that follows, in lower case."""
-    lines = F.split(text, r"\r?\n")
-    both = F.arrays_zip(F.transform(lines, lambda x: F.rtrim(x)).alias("x"), F.slice(lines, F.lit(2), F.length(text)).alias("y"))
-    ends = F.filter(both, lambda s: F.right(s["x"], F.lit(1)).isin("-", "\xad", "\xac", "\u2010", "\u2013") & s["y"].isNotNull())
-    return F.transform(ends, lambda s: F.concat(F.lower(F.right(s["x"], F.lit(60))), F.lit("\n"), F.left(F.ltrim(s["y"]), F.lit(60))))
-
-
-def broken_words(records: DataFrame, words: DataFrame) -> DataFrame:
+def broken_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(record_id, a, b, compound): words broken over two lines; compound where they broke at their own hyphen.
 
     The joined and the hyphenated form are looked up in the vocabulary; if it has
     neither, two known words make a compound and all else is a broken word.
     """
-    found = records.where(F.col("text").rlike(f"[{HYPHENS}][ \\t]*\\r?\\n")).select("record_id", F.explode(_breaks(F.col("text"))).alias("m"))
-    found = found.select("record_id", F.regexp_extract("m", BREAK, 1).alias("a"), F.lower(F.regexp_extract("m", BREAK, 2)).alias("b")).where("a != ''")
-    found = cut(found.distinct())
+    found = tokens.where(F.size("breaks") > 0).select("record_id", F.explode("breaks").alias("m"))
+    found = cut(found.select("record_id", F.substring_index("m", " ", 1).alias("a"), F.substring_index("m", " ", -1).alias("b")).distinct())
     ab = cut(found.select("a", "b").distinct())
     asked = ab.select("a", "b", F.explode(F.array(*(F.struct(F.lit(k).alias("as"), w.alias("word")) for k, w in (("j", F.concat("a", "b")), ("h", F.concat_ws("-", "a", "b")), ("a", F.element_at(F.split("a", "-"), -1)), ("b", F.col("b")))))).alias("x"))
     hits = asked.select("a", "b", "x.*").join(words, "word", "left")
@@ -361,15 +410,10 @@ def broken_words(records: DataFrame, words: DataFrame) -> DataFrame:
     return found.join(seen.select("a", "b", compound.alias("compound")), ["a", "b"])
 
 
-def lines_of(records: DataFrame) -> DataFrame:
-    """(record_id, document_id, pos, line) of each record."""
-    return records.select("record_id", "document_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line"))
-
-
 def records_of(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(record_id, document_id, text) of both tables; rows with a null id or text are left out, repeated rows stay until the end."""
-    p = pages.select(F.col("page_id").alias("record_id"), "document_id", "text")
-    return p.union(chunks.select(F.col("chunk_id").alias("record_id"), "document_id", "text")).where("record_id is not null and text is not null")
+    """(record_id, text) of both tables; rows with a null id or text are left out, repeated rows stay."""
+    p = pages.select(F.col("page_id").alias("record_id"), "text")
+    return p.union(chunks.select(F.col("chunk_id").alias("record_id"), "text")).where("record_id is not null and text is not null")
 
 
 def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -381,22 +425,24 @@ def find_noise(pages: DataFrame, chunks: DataFrame) -> tuple[DataFrame, dict[str
     table adds nothing.
     """
     p = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("document_id").cast("string").alias("document_id"), "page_number", "text").where("page_id is not null and text is not null")
-    records = records_of(p, chunks)
     tokens = cut(token_table(p, chunks))
     words = cut(vocabulary(tokens))
     bad = cut(misread_forms(words))
     edges = cut(printed_lines(p))
-    printed = edges.groupBy("document_id", "line").agg(F.max("number").alias("number"), F.max("header").alias("header"))
-    breaks = cut(broken_words(records, words))
+    breaks = cut(broken_words(tokens, words))
     errors = cut(char_errors(tokens, words, bad))
-    of_doc = printed.groupBy("document_id").agg(F.collect_list(F.struct("line", "number", "header")).alias("printed"))
-    in_chunks = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", "text").where("record_id is not null and text is not null").join(of_doc, "document_id")
-    short = F.transform(F.filter(F.split("text", r"\r\n|\n|\r"), lambda x: (F.length(x) > 0) & (F.length(x) <= LONGEST + 60)), squeeze)
-    hits = in_chunks.withColumn("short", short).select("record_id", F.explode(F.filter("printed", lambda x: F.array_contains(F.col("short"), x["line"]))).alias("x")).select("record_id", "x.number", "x.header")
-    hits = hits.union(edges.select(F.col("page_id").alias("record_id"), "number", "header"))
-    kinds = hits.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("number"), "page_number"), F.when(F.col("header"), "running_header")))).alias("noise_kind"))
+    lines = edges.groupBy("document_id", "line").agg(F.max("number").alias("number"), F.max("header").alias("header")).mapInPandas(_hashed_lines, "document_id string, line string, h bigint, number boolean, header boolean")
+    in_chunks = tokens.where("not page and size(lines) > 0").select("record_id", "document_id", F.explode("lines").alias("h"))
+    hits = in_chunks.join(lines, ["document_id", "h"]).select("record_id", "line", "number", "header")
+    printed = cut(hits.union(edges.select(F.col("page_id").alias("record_id"), "line", "number", "header")))
+    kinds = printed.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("number"), "page_number"), F.when(F.col("header"), "running_header")))).alias("noise_kind"))
     found = kinds.union(breaks.where("not compound").select("record_id", F.lit("hyphenation"))).union(errors.select("record_id", F.lit("char_error"))).distinct()
-    return found, {"printed": printed, "breaks": breaks, "errors": errors, "records": records, "tokens": tokens}
+    return found, {"printed": printed, "breaks": breaks, "errors": errors, "records": records_of(p, chunks), "tokens": tokens}
+
+
+def _hashed_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(h=np.array([_line_hash(x) for x in b["line"]], np.int64))[["document_id", "line", "h", "number", "header"]]
 
 
 def _chosen(tables: dict[str, DataFrame]) -> DataFrame:
@@ -410,29 +456,45 @@ def _chosen(tables: dict[str, DataFrame]) -> DataFrame:
     return fix.groupBy("record_id").agg(F.sort_array(F.collect_list("fix")).alias("fixes"))
 
 
-def _title(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))
-
-
-def _mended(text: Column, fixes: Column) -> Column:
-    """text with each bad form replaced, in lower case, with a capital, and in capitals."""
-
-    gap = r"[^\p{L}\p{N}@†]{1,20}"
-
-    def beside(word: Column, form: str) -> Column:
-        said = F.when(word == "", F.lit("")).when(word == "#", F.lit(r"\d+")).otherwise(F.concat(F.lit(r"(?iu:\Q"), word, F.lit(r"\E)")))
-        if form == "left":  # a bounded number of digits, as it is looked for backwards
-            said = F.when(word == "#", F.lit(r"\d{1,9}")).otherwise(said)
-            return F.when(word.isNull(), F.lit("")).when(word == "", F.lit(r"(?<=^[^\p{L}\p{N}@†]{0,20})")).otherwise(F.concat(F.lit("(?<="), said, F.lit(gap + ")")))
-        return F.when(word.isNull(), F.lit("")).when(word == "", F.lit(r"(?=[^\p{L}\p{N}@†]*$)")).otherwise(F.concat(F.lit("(?=" + gap), said, F.lit(")")))
-
-    def put(acc: Column, f: Column, bad: Column, good: Column) -> Column:
-        return F.regexp_replace(acc, F.concat(beside(f["left"], "left"), F.lit(r"(?<![\p{L}\p{N}@†])\Q"), bad, F.lit(r"\E(?![\p{L}\p{N}@†])"), beside(f["right"], "right")), good)
-
-    def one(acc: Column, f: Column) -> Column:
-        return put(put(put(acc, f, f["bad"], f["good"]), f, _title(f["bad"]), _title(f["good"])), f, F.upper(f["bad"]), F.upper(f["good"]))
-
-    return F.aggregate(F.coalesce(fixes, F.array().cast("array<struct<bad:string,good:string,left:string,right:string>>")), text, one)
+_TOKEN = re.compile(r"\S+")
+
+
+def mended(text: str, fixes: dict[str, list[tuple[str, str | None, str | None]]]) -> str:
+    """text with each misread word replaced, in its case, in one pass over its words; fixes: of a bad form (good, left, right), the neighbours None where any will do."""
+    spans = []
+    for m in _TOKEN.finditer(text.translate(_BLANKS)):
+        a, b = m.span()
+        token = m[0]
+        if not token.isalnum():
+            inner = _OUTER.sub("", token)
+            a += token.find(inner)
+            b = a + len(inner)
+        if a < b:
+            spans.append((a, b))
+    words = [text[a:b].lower() for a, b in spans]
+    if fixes.keys().isdisjoint(words):
+        return text
+    masked, out, at = _masked(words), [], 0
+    for i, w in enumerate(words):
+        for good, left, right in fixes.get(w, ()):
+            if (left is None or left == (masked[i - 1] if i else "")) and (right is None or right == (masked[i + 1] if i + 1 < len(words) else "")):
+                a, b = spans[i]
+                was = text[a:b]
+                out += [text[at:a], good.upper() if was.isupper() and len(was) > 1 else good[:1].upper() + good[1:] if was[:1].isupper() else good]
+                at = b
+                break
+    return "".join([*out, text[at:]])
+
+
+def _mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for flow, fixes in zip(b["flow"], b["fixes"]):
+            known: dict[str, list] = {}
+            for f in fixes if fixes is not None else ():
+                known.setdefault(f["bad"], []).append((f["good"], f["left"], f["right"]))
+            out.append(mended(flow, known) if known else flow)
+        yield pd.DataFrame({"record_id": b["record_id"], "text": b["text"], "repaired": out})
 
 
 def repair(pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -440,26 +502,27 @@ def repair(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
     In the others, printed lines go, lines join into paragraphs (a blank line or an
     indented line begins one), broken words are joined, compounds keep their hyphen, and
-    misread words get their right form.
+    misread words get their right form. What is known of a record comes to it as arrays,
+    so that its text is moved once.
     """
     found, tables = find_noise(pages, chunks)
-    found = cut(found)
-    records = tables["records"].groupBy("record_id", "document_id").agg(F.min("text").alias("text"))
-    noisy = records.join(found.select("record_id").distinct(), "record_id", "left_semi")
-    clean = records.join(found.select("record_id").distinct(), "record_id", "left_anti").select("record_id", "text", F.col("text").alias("repaired"))
-    lines = lines_of(noisy).withColumn("bare", squeeze(F.col("line")))
-    body = lines.join(tables["printed"].select("document_id", F.col("line").alias("bare")), ["document_id", "bare"], "left_anti")
+    noisy = found.select("record_id").distinct()
+    printed = tables["printed"].groupBy("record_id").agg(F.collect_set("line").alias("printed"))
+    broken = tables["breaks"].groupBy("record_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "a", "b"), "compound"))).alias("broken"))
+    known = cut(noisy.join(printed, "record_id", "left").join(broken, "record_id", "left").join(_chosen(tables), "record_id", "left"))
+    records = tables["records"].groupBy("record_id").agg(F.min("text").alias("text")).join(known.withColumn("noisy", F.lit(True)), "record_id", "left")
+    clean = records.where("noisy is null").select("record_id", "text", F.col("text").alias("repaired"))
+    lines = records.where("noisy").select("record_id", "printed", "broken", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line")).withColumn("bare", squeeze(F.col("line")))
+    body = lines.where(~F.coalesce(F.array_contains("printed", F.col("bare")), F.lit(False))).drop("printed")
     by = Window.partitionBy("record_id").orderBy("pos")
     starts = (F.col("bare") == "") | F.col("line").rlike(r"^[ \t]{3,}\S")
     body = body.withColumn("par", F.sum(starts.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("bare != ''")
-    inside = Window.partitionBy("record_id").orderBy("pos")
-    body = body.withColumn("next", F.lead("bare").over(inside)).withColumn("next_par", F.lead("par").over(inside))
-    tail, head = F.regexp_extract(F.lower("bare"), rf"([\p{{L}}\p{{M}}0-9@†!'’]+(?:-[\p{{L}}]+)*)[{HYPHENS}]$", 1), F.regexp_extract(F.lower("next"), r"^(\p{Ll}[\p{L}\p{M}0-9@†!]*)", 1)
-    body = body.withColumn("a", F.when(F.col("par") == F.col("next_par"), tail)).withColumn("b", head)
-    compounds = tables["breaks"].select("record_id", "a", "b", "compound").distinct()
-    body = body.join(compounds, ["record_id", "a", "b"], "left")
-    piece = F.when(F.col("compound"), F.col("bare")).when(~F.col("compound"), F.regexp_replace("bare", f"[{HYPHENS}]$", "")).otherwise(F.col("bare"))
+    body = body.withColumn("next", F.lead("bare").over(by)).withColumn("next_par", F.lead("par").over(by))
+    tail, head = F.regexp_extract(F.lower("bare"), rf"([\p{{L}}\p{{M}}0-9@†!'’]++(?:-\p{{L}}++)*)[{HYPHENS}]$", 1), F.lower(F.regexp_extract("next", r"^(\p{Ll}[\p{L}\p{M}0-9@†!]*)", 1))
+    compound = F.try_element_at("broken", F.when(F.col("par") == F.col("next_par"), F.concat_ws(" ", tail, head)))
+    body = body.withColumn("compound", F.when(F.col("bare").rlike(f"[{HYPHENS}]$"), compound))
+    piece = F.when(~F.col("compound"), F.regexp_replace("bare", f"[{HYPHENS}]$", "")).otherwise(F.col("bare"))
     gap = F.when(F.col("next").isNull() | F.col("compound").isNotNull(), "").when(F.col("par") != F.col("next_par"), "\n\n").otherwise(" ")
     flowed = body.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(piece, gap).alias("x")))), lambda s: s["x"]), "").alias("flow"))
-    out = noisy.join(flowed, "record_id", "left").join(_chosen(tables), "record_id", "left")
-    return out.select("record_id", "text", _mended(F.coalesce("flow", F.lit("")), F.col("fixes")).alias("repaired")).union(clean)
+    out = records.where("noisy").join(flowed, "record_id", "left").select("record_id", "text", F.coalesce("flow", F.lit("")).alias("flow"), "fixes")
+    return out.mapInPandas(_mend, "record_id string, text string, repaired string").union(clean)
