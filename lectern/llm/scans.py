@@ -304,17 +304,42 @@ def occurrences(tokens: DataFrame, sought: DataFrame) -> DataFrame:
     return (found if sent else found.join(sought, "word", "left_semi").select("record_id", "document_id", "word", "left", "right", "around")).distinct()
 
 
-def pair_counts(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+def _rated(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """asked (a, b) with first: whether a is the rarer word of the two; that one is looked for in the texts."""
+    n = words.select(F.col("word").alias("a"), F.col("n").alias("na")), words.select(F.col("word").alias("b"), F.col("n").alias("nb"))
+    many = F.lit(1 << 40)
+    return cut(asked.join(n[0], "a", "left").join(n[1], "b", "left").select("a", "b", (F.coalesce("na", many) < F.coalesce("nb", many)).alias("first")))
+
+
+def _by_rarer(rated: set[tuple] | None) -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    """Of rated pairs: the second words of each rarer first one, and the first words of each rarer second one."""
+    by_a: dict[str, set[str]] = {}
+    by_b: dict[str, set[str]] = {}
+    for a, b, first in rated or ():
+        (by_a if first else by_b).setdefault(a if first else b, set()).add(b if first else a)
+    return by_a, by_b
+
+
+def pair_counts(tokens: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b, m): how often the word pairs of asked (a, b) stand side by side, digits masked."""
-    sent = _sent(asked)
+    sent = _sent(_rated(asked, words))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        by_a, by_b = _by_rarer(None if sent is None else sent.value)
+        keys = by_a.keys() | by_b.keys()
+        for batch in batches:
             seen: Counter = Counter()
-            for packed in b["words"]:
+            for packed in batch["words"]:
                 words = _masked(_unpacked(packed))
-                both = zip(words, words[1:])
-                seen.update(both if sent is None else filter(sent.value.__contains__, both))
+                if sent is None:
+                    seen.update(zip(words, words[1:]))
+                    continue
+                for i in [i for i, w in enumerate(words) if w in keys] if not keys.isdisjoint(words) else ():
+                    w = words[i]
+                    if i + 1 < len(words) and words[i + 1] in by_a.get(w, ()):
+                        seen[w, words[i + 1]] += 1
+                    if i and words[i - 1] in by_b.get(w, ()):
+                        seen[words[i - 1], w] += 1
             yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["a", "b", "m"])
 
     found = tokens.mapInPandas(count, "a string, b string, m bigint").groupBy("a", "b").agg(F.sum("m").alias("m"))
@@ -322,16 +347,11 @@ def pair_counts(tokens: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def seen_near(tokens: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows of asked (good, x) for which x stands within REACH words of good in a record; the rarer one of the two is looked for."""
-    n = words.select(F.col("word").alias("x"), F.col("n").alias("nx")), words.select(F.col("word").alias("good"), F.col("n").alias("ng"))
-    rated = cut(asked.join(n[0], "x", "left").join(n[1], "good", "left").select("good", "x", (F.coalesce("nx", F.lit(1 << 40)) < F.coalesce("ng", F.lit(1 << 40))).alias("by_x")))
-    sent = _sent(rated)
+    """The rows of asked (good, x) for which x stands within REACH words of good in a record."""
+    sent = _sent(_rated(asked.select(F.col("good").alias("a"), F.col("x").alias("b")), words))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_x: dict[str, set[str]] = {}
-        by_good: dict[str, set[str]] = {}
-        for g, x, rarer in () if sent is None else sent.value:
-            (by_x if rarer else by_good).setdefault(x if rarer else g, set()).add(g if rarer else x)
+        by_good, by_x = _by_rarer(None if sent is None else sent.value)
         keys = by_x.keys() | by_good.keys()
         for b in batches:
             out = set()
@@ -373,7 +393,7 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     c = occ.join(_few(bad.withColumnRenamed("bad", "word")), "word").join(own[0], ["word", "left"]).join(own[1], ["word", "right"])
     c = cut(c.select("record_id", "word", "left", "right", "around", "good", "n", *(F.when(F.col(s) == "", 0).otherwise(F.col(f"own_{s}")).alias(f"own_{s}") for s in ("left", "right"))))
     asked = c.select(F.col("left").alias("a"), F.col("good").alias("b")).union(c.select("good", "right")).where("a != '' and b != ''").distinct()
-    support = cut(pair_counts(tokens, cut(asked)))
+    support = cut(pair_counts(tokens, cut(asked), words))
     c = c.join(support.select(F.col("a").alias("left"), F.col("b").alias("good"), F.col("m").alias("good_left")), ["left", "good"], "left")
     c = c.join(support.select(F.col("a").alias("good"), F.col("b").alias("right"), F.col("m").alias("good_right")), ["good", "right"], "left").fillna(0, ["good_left", "good_right"])
     odd = F.col("word").rlike(r"[0-9@†!|]")

@@ -107,11 +107,26 @@ def test_neighbours_decide_what_is_misread(spark):
 
 
 def test_misread_words_of_chunks_alone_are_found(spark):
-    pages = spark.createDataFrame([(f"p{i}", "d", i, " ".join(BODY * 5)) for i in range(5)], "page_id string, document_id string, page_number int, text string")
+    pages = spark.createDataFrame([(f"p{i}", "d", i, " ".join([*BODY * 5, WORDS[i]])) for i in range(5)], "page_id string, document_id string, page_number int, text string")
     chunks = spark.createDataFrame([("c1", "d", "the rneasured sample supports"), ("c2", "d", "the careful pres5ure and"), ("c3", "d", "the measured sample")], "chunk_id string, document_id string, text string")
     assert {tuple(r) for r in scans.find_noise(pages, chunks)[0].collect()} == {("c1", "char_error"), ("c2", "char_error")}
 
 
+def test_printed_lines_are_followed_inward(spark):
+    rows = [(f"p{i}", "d", i, f"AN ATLAS OF ROCKS\nThird reprint\nfor use in schools\n\n{' '.join(WORDS[i : i + 9])}.\n{' '.join(WORDS[i + 20 : i + 27])}.") for i in range(1, 5)]
+    long = "the printed head of a book whose name is so long that it fills the whole width of the page and runs on and on until the edge of the sheet is met"
+    rows += [(f"q{i}", "e", i, f"{long}\n\n{' '.join(WORDS[i : i + 9])}.\n{' '.join(WORDS[i + 20 : i + 27])}.") for i in range(1, 4)]
+    got = scans.printed_lines(spark.createDataFrame(rows, "page_id string, document_id string, page_number int, text string"))
+    lines = {(r["page_id"], r["line"]) for r in got.collect() if r["header"]}
+    assert lines == {(f"p{i}", x) for i in range(1, 5) for x in ("AN ATLAS OF ROCKS", "Third reprint", "for use in schools")} | {(f"q{i}", long) for i in range(1, 4)}
+
+
+def test_words_are_mended_in_their_case():
+    fixes = {"rneasured": [("measured", None, None)], "del": [("der", "in", "mitte")]}
+    assert scans.mended("The Rneasured (rneasured) RNEASURED del. In del Mitte", fixes) == "The Measured (measured) MEASURED del. In der Mitte"
+    assert scans.mended("", fixes) == "" and scans.breaks_of("low-\npressure A-B-\nc x-\nY") == ["low pressure", "a-b c"]
+
+
 def test_edge_lines():
     assert scans.edge_line("Page 92 of 100") == (92, True, "") and scans.edge_line("cxxviii")[:2] == (128, False)
     assert scans.edge_line("158    NOTES ON IT") == (158, False, "NOTES ON IT") and scans.edge_line("Lesson 7: Gas    179")[0] == 179
