@@ -533,14 +533,15 @@ def repair(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     records = tables["records"].groupBy("record_id").agg(F.min("text").alias("text")).join(known.withColumn("noisy", F.lit(True)), "record_id", "left")
     clean = records.where("noisy is null").select("record_id", "text", F.col("text").alias("repaired"))
     lines = records.where("noisy").select("record_id", "printed", "broken", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("pos", "line")).withColumn("bare", squeeze(F.col("line")))
-    body = lines.where(~F.coalesce(F.array_contains("printed", F.col("bare")), F.lit(False))).drop("printed")
+    body = lines.where(~F.coalesce(F.array_contains("printed", F.col("bare")), F.lit(False)))
+    body = body.select("record_id", "pos", "line", "bare", F.when(F.col("bare").rlike(f"[{HYPHENS}]$"), F.col("broken")).alias("broken"))  # only such lines carry it on
     by = Window.partitionBy("record_id").orderBy("pos")
     starts = (F.col("bare") == "") | F.col("line").rlike(r"^[ \t]{3,}\S")
     body = body.withColumn("par", F.sum(starts.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("bare != ''")
     body = body.withColumn("next", F.lead("bare").over(by)).withColumn("next_par", F.lead("par").over(by))
     tail, head = F.regexp_extract(F.lower("bare"), rf"([\p{{L}}\p{{M}}0-9@†!'’]++(?:-\p{{L}}++)*)[{HYPHENS}]$", 1), F.lower(F.regexp_extract("next", r"^(\p{Ll}[\p{L}\p{M}0-9@†!]*)", 1))
     compound = F.try_element_at("broken", F.when(F.col("par") == F.col("next_par"), F.concat_ws(" ", tail, head)))
-    body = body.withColumn("compound", F.when(F.col("bare").rlike(f"[{HYPHENS}]$"), compound))
+    body = body.withColumn("compound", compound)
     piece = F.when(~F.col("compound"), F.regexp_replace("bare", f"[{HYPHENS}]$", "")).otherwise(F.col("bare"))
     gap = F.when(F.col("next").isNull() | F.col("compound").isNotNull(), "").when(F.col("par") != F.col("next_par"), "\n\n").otherwise(" ")
     flowed = body.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(piece, gap).alias("x")))), lambda s: s["x"]), "").alias("flow"))
