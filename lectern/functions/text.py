@@ -49,3 +49,8 @@ def words(text: Column) -> Column:
 def token_set(text: Column) -> Column:
     """Distinct lower-case tokens."""
     return F.array_distinct(tokens(F.lower(text)))
+
+
+def decoded(data: Column) -> Column:
+    """Bytes read as UTF-8; what can't be read is left out."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))

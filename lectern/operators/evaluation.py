@@ -66,3 +66,31 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def confusion(df: DataFrame, actual: str, predicted: str, labels: list) -> DataFrame:
     """One row per actual label and one column per predicted label, zeros filled in."""
     return df.where(F.col(actual).isNotNull()).groupBy(F.col(actual).alias("actual")).pivot(predicted, labels).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def markdown_lines(report: DataFrame, first: str, numbers: tuple[str, ...]) -> DataFrame:
+    """(line): the rows of a report as a Markdown table's, numbers with four digits, nulls as -."""
+    cells = [F.when(F.col(n).isNull(), "-").otherwise(F.format_string("%.4f", F.col(n).cast("double"))) for n in numbers]
+    return report.select(F.concat(F.lit("| "), F.concat_ws(" | ", F.col(first), *cells), F.lit(" |")).alias("line"))
+
+
+def write_report(report: DataFrame, path: str, config: dict, first: str, numbers: tuple[str, ...]) -> None:
+    """The report under path: its rows as JSON with the configuration beside them, and a Markdown table."""
+    shown = report.withColumn("config", F.create_map(*(F.lit(str(x)) for kv in config.items() for x in kv)) if config else F.lit(None).cast("map<string,string>"))
+    shown.write.mode("overwrite").json(f"{path}/json")
+    head = report.sparkSession.createDataFrame([(0, "| " + " | ".join((first, *numbers)) + " |"), (1, "|" + "-|" * (1 + len(numbers)))], "at int, line string")
+    body = markdown_lines(report, first, numbers).select(F.lit(2).alias("at"), "line")
+    head.union(body).orderBy("at", "line").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")  # a row for each kind of query
+
+
+def stripped(answer, query, prefixes: tuple[str, ...]):
+    """answer without the preambles, and the query given back, that it begins with, in the order of prefixes."""
+    out = answer
+    for p in (*map(F.lit, prefixes[:3]), F.concat(F.lit("Question: "), query), *map(F.lit, prefixes[3:])):
+        bare = F.ltrim(out)
+        out = F.when(F.startswith(bare, p), F.regexp_replace(F.substring(bare, F.length(p) + 1, F.length(bare)), r"^[ \n.,]+", "")).otherwise(out)
+    return out
+
+
+# How a model's answer begins that repeats its instructions.
+PREAMBLES = ("I'll follow the instructions to provide an accurate response.", "I will follow the instructions to provide an accurate response.", "Based on the provided passages,", "Student question:")

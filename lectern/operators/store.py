@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,15 @@ def deactivate(df: DataFrame, which: DataFrame, keys: list[str], flag: str = "is
 def delete(df: DataFrame, which: DataFrame, keys: list[str]) -> DataFrame:
     """df without the rows whose key is in which."""
     return df.join(which.select(*keys).distinct(), keys, "left_anti")
+
+
+def create_tables(spark: SparkSession, schemas: dict[str, str], folder: str) -> list[str]:
+    """Parquet tables of the given schemas under folder where the catalog lacks them; the names of those it now has."""
+    for name, schema in schemas.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet LOCATION '{folder}/{name}'")
+    return sorted(n for n in schemas if spark.catalog.tableExists(n))
+
+
+def replace_of(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of the keys in new deactivated, and the rows of new behind them."""
+    return deactivate(old, new, [key]).unionByName(new, allowMissingColumns=True)

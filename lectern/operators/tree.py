@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import vectors
 from lectern.functions.lineage import cut
+from lectern.functions.skew import salted_join
 
 
 def cluster_count(n: Column, least: int = 2) -> Column:
@@ -43,16 +44,17 @@ def build_tree(leaves: DataFrame, levels: int = 3, least: int = 2) -> DataFrame:
     of a document's nodes, chosen by a hash, are seeds; a node goes to the seed of highest
     cosine, the smaller id in a tie, and a cluster's vector is the mean of its members'. A
     document stops at fewer than least nodes, at one cluster, or after levels. Sizes and
-    means are combined before the shuffle, so that no task holds a document.
+    means are combined before the shuffle, and a heavy document's nodes meet its seeds in
+    parts, so that no task holds a document.
     """
-    nodes, out = leaves.select("id", "document_id", "v"), None
+    nodes, out = cut(leaves.select("id", "document_id", "v")), None
     for level in range(1, levels + 1):
         size = nodes.groupBy("document_id").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)
         sized = nodes.join(size, "document_id")
         stride = F.ceil(F.col("n") / cluster_count(F.col("n"), least))
         seeds = sized.where((F.pmod(F.xxhash64("id"), stride) == 0) | (F.col("id") == F.col("first"))).select("document_id", F.col("id").alias("seed"), F.col("v").alias("s"))
-        near = sized.join(seeds, "document_id").select("document_id", "id", "seed", F.coalesce(vectors.cosine(F.col("v"), F.col("s")), F.lit(-1.0)).alias("c"))
-        best = near.groupBy("document_id", "id").agg(F.max("c").alias("c")).join(near, ["document_id", "id", "c"]).groupBy("document_id", "id").agg(F.min("seed").alias("seed"))
+        near = salted_join(sized, seeds, ["document_id"], "id").select("document_id", "id", "seed", F.coalesce(vectors.cosine(F.col("v"), F.col("s")), F.lit(-1.0)).alias("c"))
+        best = near.groupBy("document_id", "id").agg(F.min_by("seed", F.struct(-F.col("c"), "seed")).alias("seed"))
         placed = cut(best.select("document_id", "id", F.concat(F.lit(f"L{level}-"), "seed").alias("parent")))
         edges = placed.select("document_id", F.lit(level).alias("level"), "id", "parent")
         out = edges if out is None else out.union(edges)

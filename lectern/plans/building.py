@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import vectors
-from lectern.functions.text import strip, token_count, token_set, words
+from lectern.functions.text import decoded, strip, token_count, token_set, words
 from lectern.operators import chunking, scope, store
-from lectern.operators.cards import ARTIFACT_TYPES, cards_from_replies
+from lectern.operators.cards import ARTIFACT_TYPES, CARD_TYPES, cards_from_replies
 from lectern.operators.tree import build_tree
 from lectern.plans import retrieval
 from lectern.plans.base import CARDS, CHUNK_VECTORS, CHUNKS, DOCS, NODES, PAGES, TENANT, cards, chunk_vectors, chunks, queries, query, vector_table, vectors_sql, view
@@ -29,16 +29,17 @@ def src_json_queries(spark: SparkSession, d: str) -> DataFrame:
     return queries(spark, d).select("query_id", "query_type", F.length("query").cast("bigint").alias("n_chars"))
 
 
-@query(f"""SELECT document_id, CASE WHEN length({_strip("full_text")}) > 0 THEN 'text' WHEN pages IS NOT NULL THEN 'pages' ELSE 'title' END AS source,
-    length(coalesce(nullif({_strip("full_text")}, ''), pages, title, '')) AS n_chars FROM {DOCS} LEFT JOIN (SELECT document_id, string_agg(text, chr(10) ORDER BY page_number, page_id) AS pages FROM {PAGES} WHERE text <> '' GROUP BY 1) USING (document_id)""")
+@query(f"""SELECT document_id, CASE WHEN own IS NOT NULL THEN 'text' WHEN pages IS NOT NULL THEN 'pages' ELSE 'bytes' END AS source, length(coalesce(own, pages, title, '')) AS n_chars FROM
+    (SELECT document_id, title, CASE WHEN page_count >= 3 THEN nullif({_strip("full_text")}, '') END AS own FROM {DOCS})
+    LEFT JOIN (SELECT document_id, string_agg(text, chr(10) ORDER BY page_number, page_id) AS pages FROM {PAGES} WHERE text <> '' AND page_number % 2 = 0 GROUP BY 1) USING (document_id)""")
 def src_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's text from the first source that has one: its own, its pages', its title."""
-    p = view(spark, d, "page_contents", "page_id", "document_id", "page_number", "text").where("text != ''").groupBy("document_id")
+    """Each document's text from the first source that has one: its own (here where it has three pages or more), its even pages, the bytes of its title."""
+    p = view(spark, d, "page_contents", "page_id", "document_id", "page_number", "text").where("text != '' and page_number % 2 = 0").groupBy("document_id")
     p = p.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "page_id", "text"))), lambda x: x["text"]), "\n").alias("pages"))
-    own = strip(F.col("full_text"))
     j = view(spark, d, "parsed_documents", "document_id", "full_text", "title", "tenant_id", "filename", "page_count", "char_count", "subject", "language").join(p, "document_id", "left")
-    source = F.when(F.length(own) > 0, "text").when(F.col("pages").isNotNull(), "pages").otherwise("title")
-    return j.select("document_id", source.alias("source"), F.length(F.coalesce(F.nullif(own, F.lit("")), "pages", "title", F.lit(""))).cast("bigint").alias("n_chars"))
+    own = F.when(F.col("page_count") >= 3, F.nullif(strip(F.col("full_text")), F.lit("")))
+    source = F.when(own.isNotNull(), "text").when(F.col("pages").isNotNull(), "pages").otherwise("bytes")
+    return j.select("document_id", source.alias("source"), F.length(F.coalesce(own, "pages", decoded(F.encode("title", "UTF-8")), F.lit(""))).cast("bigint").alias("n_chars"))
 
 
 @query(f"SELECT id, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM {CHUNK_VECTORS} WHERE id IN (SELECT chunk_id FROM cards WHERE is_active AND card_type = 'question')")
@@ -48,11 +49,13 @@ def scan_vectors_by_id(spark: SparkSession, d: str) -> DataFrame:
     return chunk_vectors(spark, d).join(ids, "id", "left_semi").select("id", F.round(vectors.norm(F.col("v")), 4).alias("norm"))
 
 
-@query("SELECT document_id, arg_max(page_count, created_at) AS page_count, count(DISTINCT created_at) AS writes FROM parsed_documents GROUP BY 1")
+@query("SELECT p.*, coalesce(n, 0) AS n_chunks FROM (SELECT document_id, arg_max(page_count, created_at) AS page_count, count(*) AS writes FROM parsed_documents GROUP BY 1) p LEFT JOIN (SELECT document_id, count(DISTINCT chunk_id) AS n FROM text_chunks GROUP BY 1) USING (document_id)")
 def snk_document(spark: SparkSession, d: str) -> DataFrame:
-    """The documents as repeated writes leave them: the last one of a key stays, and how many there were."""
+    """The documents as repeated writes leave them: the last one of a key stays, how many there were, and the chunks that were appended."""
     t = table(spark, d, "parsed_documents").select("document_id", "page_count", "created_at")
-    return store.latest(t, ["document_id"], "created_at").join(t.groupBy("document_id").agg(F.countDistinct("created_at").alias("writes")), "document_id").select("document_id", "page_count", "writes")
+    n = table(spark, d, "text_chunks").groupBy("document_id").agg(F.countDistinct("chunk_id").alias("n_chunks"))
+    out = store.latest(t, ["document_id"], "created_at").join(t.groupBy("document_id").agg(F.count("*").alias("writes")), "document_id").join(n, "document_id", "left")
+    return out.select("document_id", "page_count", "writes", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 @query(f"""SELECT id, kind, round(sqrt(list_dot_product(v, v)), 4) AS norm FROM (SELECT id, 'chunk' AS kind, v FROM {CHUNK_VECTORS} WHERE id NOT IN (SELECT node_id FROM raptor_nodes) UNION ALL SELECT id, 'summary', v FROM {vectors_sql("raptor_nodes", "node_id")})""")
@@ -74,13 +77,55 @@ def snk_concepts(spark: SparkSession, d: str) -> DataFrame:
     return retrieval._mentions(spark, d).select("concept").distinct().select(F.sha2(F.concat(F.lit("concept:"), "concept"), 256).alias("concept_id"), "concept")
 
 
-@query(f"""WITH {_MENTIONS} SELECT 'PART_OF' AS edge, count(*) AS n FROM {CHUNKS} UNION ALL SELECT 'ON_PAGE', count(*) FROM {CHUNKS} WHERE page_number IS NOT NULL UNION ALL SELECT 'MENTIONS', count(*) FROM men
-    UNION ALL SELECT 'RELATES_TO', count(*) FROM (SELECT DISTINCT x.concept AS a, y.concept AS b FROM men x JOIN men y ON x.chunk_id = y.chunk_id AND x.concept < y.concept)""")
+@query(f"""WITH {_MENTIONS} SELECT chunk_id AS src, 'PART_OF' AS kind, document_id AS dst, CAST(1 AS BIGINT) AS weight FROM {CHUNKS} UNION ALL SELECT chunk_id, 'ON_PAGE', document_id || '/' || page_number, 1 FROM {CHUNKS} WHERE page_number IS NOT NULL
+    UNION ALL SELECT DISTINCT document_id || '/' || page_number, 'PART_OF', document_id, 1 FROM {CHUNKS} WHERE page_number IS NOT NULL UNION ALL SELECT chunk_id, 'MENTIONS', concept, 1 FROM men
+    UNION ALL SELECT x.concept, 'RELATES_TO', y.concept, count(*) FROM men x JOIN men y ON x.chunk_id = y.chunk_id AND x.concept < y.concept GROUP BY 1, 3""")
 def p_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The knowledge graph's edges by kind: chunks in documents and on pages, mentions, concepts that occur together."""
+    """The knowledge graph's edges (src, kind, dst, weight): chunks in documents and on pages, mentions, concepts that occur together."""
     c, m = chunks(spark, d, "document_id", "page_number"), retrieval._mentions(spark, d)
-    edges = [(c, "PART_OF"), (c.where("page_number is not null"), "ON_PAGE"), (m, "MENTIONS"), (retrieval.concepts.co_occurrence(m), "RELATES_TO")]
-    return reduce(DataFrame.union, [e.agg(F.count("*").alias("n")).select(F.lit(name).alias("edge"), "n") for e, name in edges])
+    page, paged = F.concat_ws("/", "document_id", F.col("page_number").cast("string")), c.where("page_number is not null")
+    edge = lambda t, src, kind, dst, weight=None: t.select(F.col(src).alias("src") if isinstance(src, str) else src.alias("src"), F.lit(kind).alias("kind"), dst.alias("dst"), (F.lit(1).cast("bigint") if weight is None else F.col(weight)).alias("weight"))
+    edges = [edge(c, "chunk_id", "PART_OF", F.col("document_id")), edge(paged, "chunk_id", "ON_PAGE", page), edge(paged.select("document_id", "page_number").distinct(), page, "PART_OF", F.col("document_id")), edge(m, "chunk_id", "MENTIONS", F.col("concept")), edge(retrieval.concepts.co_occurrence(m), "a", "RELATES_TO", F.col("b"), "weight")]
+    return reduce(DataFrame.union, edges)
+
+
+_TYPED = f"typed AS (SELECT concept, arg_min(CASE WHEN pos = 0 THEN 'topic' ELSE 'term' END, (chunk_id, pos)) AS type, count(*) AS mentions FROM men GROUP BY 1)"
+
+
+@query(f"""WITH {_MENTIONS}, {_TYPED} SELECT DISTINCT document_id AS node, 'Document' AS label, CAST(NULL AS VARCHAR) AS type FROM {CHUNKS} UNION ALL SELECT DISTINCT document_id || '/' || page_number, 'Page', NULL FROM {CHUNKS} WHERE page_number IS NOT NULL
+    UNION ALL SELECT chunk_id, 'Chunk', NULL FROM {CHUNKS} UNION ALL SELECT concept, 'Concept', type FROM typed""")
+def snk_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The knowledge graph's nodes, each key once; a concept has the type of its first mention (topic where it begins a chunk)."""
+    c = chunks(spark, d, "document_id", "page_number")
+    none = F.lit(None).cast("string")
+    page = c.where("page_number is not null").select(F.concat_ws("/", "document_id", F.col("page_number").cast("string")).alias("node")).distinct()
+    nodes = [c.select(F.col("document_id").alias("node")).distinct().select("node", F.lit("Document").alias("label"), none.alias("type")), page.select("node", F.lit("Page"), none), c.select("chunk_id", F.lit("Chunk"), none), retrieval.typed_concepts(spark, d).select("concept", F.lit("Concept"), "type")]
+    return reduce(DataFrame.union, nodes)
+
+
+@query(f"SELECT chunk_id, 'stub_concept_' || i AS concept FROM {CHUNKS}, (SELECT unnest(range(3)) AS i)")
+def m_graph_stub(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in for a model's concepts: three fixed ones for every chunk."""
+    return chunks(spark, d).select("chunk_id", F.explode(F.array(*(F.lit(f"stub_concept_{i}") for i in range(3)))).alias("concept"))
+
+
+@query(f"""SELECT page_id, count(DISTINCT i) AS patches, count(DISTINCT j) AS dims, CAST(sum(CAST('0x' || substr(md5(page_id || '-' || i || '-' || j), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM (SELECT DISTINCT page_id FROM page_contents), (SELECT unnest(range(32)) AS i), (SELECT unnest(range(128)) AS j) GROUP BY 1""")
+def m_patches_stub(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in for a page's patch matrix: 32 rows of 128 numbers made of a hash, here as its size and sum."""
+    number = lambda i, j: F.conv(F.substring(F.md5(F.concat_ws("-", "page_id", i.cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    m = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(127)), lambda j: number(i, j)))
+    x = view(spark, d, "page_contents", "page_id").select("page_id", m.alias("m"))
+    return x.select("page_id", F.size("m").cast("bigint").alias("patches"), F.size(F.get("m", F.lit(0))).cast("bigint").alias("dims"), F.aggregate(F.flatten("m"), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("checksum"))
+
+
+@query(f"""SELECT document_id, filename, coalesce(min(CASE WHEN f.tenant_id = p.tenant_id THEN f.tenant_id END), min(CASE WHEN f.tenant_id = 'global' THEN f.tenant_id END), min(f.tenant_id)) || '/' || filename AS path FROM (SELECT DISTINCT document_id, tenant_id, filename FROM parsed_documents) p
+    LEFT JOIN (SELECT DISTINCT tenant_id, filename FROM documents) f USING (filename) GROUP BY document_id, filename, p.tenant_id""")
+def jn_pdf_path(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document's file lies: in its own tenant's folder, else in the global one, else in the first that holds a file of that name; null if none does."""
+    files = table(spark, d, "documents").select(F.col("tenant_id").alias("folder"), "filename").where("filename is not null").distinct()
+    docs = view(spark, d, "parsed_documents", "document_id", "tenant_id", "filename")
+    at = docs.join(files, "filename", "left").groupBy("document_id", "filename").agg(F.min(F.when(F.col("folder") == F.col("tenant_id"), F.col("folder"))).alias("own"), F.min(F.when(F.col("folder") == "global", F.col("folder"))).alias("base"), F.min("folder").alias("any"))
+    return at.select("document_id", "filename", F.concat(F.coalesce("own", "base", "any"), F.lit("/"), "filename").alias("path"))
 
 
 @query(f"SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) - 1 AS INT) AS pos, CAST((row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) - 1) // 32 AS BIGINT) AS batch, chunk_id FROM {CHUNKS} WHERE is_active AND length({_strip('text')}) > 0")
@@ -127,15 +172,16 @@ def json_concepts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}'), lambda x: x <> '')) AS wordcount, len(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_BLANK}'), lambda x: x <> ''))) AS tokens,
     len(regexp_split_to_array(coalesce(text, ''), '{_LINE_END}')) AS lines, len(regexp_extract_all(coalesce(text, ''), '(?i)\\[Page ([0-9]+)\\]', 1)) AS cites, regexp_extract(coalesce(text, ''), '(?s)\\[.*\\]') AS sliced,
-    coalesce(source, '') || '/page_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.png' AS key, length(regexp_replace(coalesce(text, ''), '```(json)?', '', 'g')) AS unfenced, 'Title: ' || coalesce(title, '-') || ' (' || coalesce(subject, '-') || ')' AS template FROM documents""")
+    coalesce(source, '') || '/page_' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.png' AS key, length(regexp_replace(coalesce(text, ''), '```(json)?', '', 'g')) AS unfenced, 'Title: ' || coalesce(title, '-') || ' (' || coalesce(subject, '-') || ')' AS template, replace(left(coalesce(text, ''), greatest(length(coalesce(text, '')) - 1, 0)), chr(65533), '') AS decoded FROM documents""")
 def str_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Word and token counts, lines, citations, the outermost bracket, keys, fences and a template over all documents."""
+    """Word and token counts, lines, citations, the outermost bracket, keys, fences, a template, and the text decoded without its last byte, over all documents."""
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select(
         "doc_id", token_count(t).cast("bigint").alias("wordcount"), F.size(token_set(t)).cast("bigint").alias("tokens"), F.size(F.split(t, _LINE_END)).cast("bigint").alias("lines"),
         F.size(F.regexp_extract_all(t, F.lit(r"(?i)\[Page ([0-9]+)\]"), 1)).cast("bigint").alias("cites"), F.regexp_extract(t, r"(?s)\[.*\]", 0).alias("sliced"),
         F.format_string("%s/page_%08d.png", F.coalesce("source", F.lit("")), "doc_id").alias("key"), F.length(F.regexp_replace(t, "```(json)?", "")).cast("bigint").alias("unfenced"),
         F.concat(F.lit("Title: "), F.coalesce("title", F.lit("-")), F.lit(" ("), F.coalesce("subject", F.lit("-")), F.lit(")")).alias("template"),
+        decoded(F.expr("substring(encode(coalesce(text, ''), 'UTF-8'), 1, octet_length(coalesce(text, '')) - 1)")).alias("decoded"),
     )
 
 
@@ -167,13 +213,55 @@ def m_sparse(spark: SparkSession, d: str) -> DataFrame:
     return retrieval._chunk_postings(spark, d).select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query(f"""SELECT card_type, count(*) AS n, count(*) FILTER (length(text) > 0) AS n_text FROM (SELECT k.card_id, k.card_type, c.text FROM {CARDS} k JOIN {CHUNKS} c USING (chunk_id) WHERE k.is_active AND k.card_type IN ({_list(ARTIFACT_TYPES)})
-    AND NOT (""" + " OR ".join(f"contains(substr(lower(c.text), 1, 500), '{k}')".replace("\n", "' || chr(10) || '") for k in scope.NOT_CHAPTER) + ")) GROUP BY 1")
+_NOT_CHAPTER = " OR ".join(f"contains(substr(lower(c.text), 1, 500), '{k}')".replace("\n", "' || chr(10) || '") for k in scope.NOT_CHAPTER)
+
+
+@query(f"""SELECT k.card_id, k.chunk_id, k.card_type, CASE WHEN card_type = 'question' THEN concat_ws(chr(10), content, answer) ELSE coalesce(title, '') || ': ' || coalesce(content, '') END AS embed_text FROM {CARDS} k JOIN {CHUNKS} c USING (chunk_id)
+    WHERE k.is_active AND k.card_type IN ({_list(ARTIFACT_TYPES)}) AND NOT ({_NOT_CHAPTER})""")
 def p_da_index(spark: SparkSession, d: str) -> DataFrame:
-    """The artifact index: active cards of chapter chunks by type."""
-    k = cards(spark, d, "chunk_id", "card_type", "is_active").where("is_active").where(F.col("card_type").isin(*ARTIFACT_TYPES))
+    """The artifact index: the active cards of chapter chunks with what of each is searched and the chunk it leads to."""
+    k = cards(spark, d, "chunk_id", "card_type", "title", "content", "answer", "is_active").where("is_active").where(F.col("card_type").isin(*ARTIFACT_TYPES))
+    c = chunks(spark, d, "text").where(scope.is_chapter(F.col("text"))).select("chunk_id")
+    return k.join(c, "chunk_id", "left_semi").select("card_id", "chunk_id", "card_type", scope.embed_text(F.col("card_type"), F.col("title"), F.col("content"), F.col("answer")).alias("embed_text"))
+
+
+def stub_replies(c: DataFrame) -> DataFrame:
+    """(chunk_id, card_type, reply): what a model might reply for each of the eight types, made of the chunk's id."""
+    x = c.select("chunk_id", F.explode(F.array(*map(F.lit, CARD_TYPES))).alias("card_type"))
+    said = F.concat_ws(" ", "card_type", F.lit("of"), "chunk_id")
+    reply = F.when(F.col("card_type") == "question", F.to_json(F.array(F.struct(said.alias("question"), F.concat(F.lit("answer of "), "chunk_id").alias("answer"))))).when(F.col("card_type") == "factoid", F.to_json(F.array(said)))
+    return x.select("chunk_id", "card_type", reply.when(F.col("card_type") == "summary", said).otherwise(F.to_json(F.struct(said.alias("content")))).alias("reply"))
+
+
+@query(f"""SELECT chunk_id, t AS card_type, CASE t WHEN 'question' THEN 'question of ' || chunk_id ELSE upper(substr(t, 1, 1)) || substr(t, 2) END AS title, t || ' of ' || chunk_id AS content, CASE t WHEN 'question' THEN 'answer of ' || chunk_id END AS answer
+    FROM {CHUNKS} c, (SELECT unnest([{_list(CARD_TYPES)}]) AS t) WHERE NOT ({_NOT_CHAPTER})""")
+def p_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of all eight types for every chapter chunk, read from (stand-in) replies."""
     c = chunks(spark, d, "text").where(scope.is_chapter(F.col("text")))
-    return k.join(c, "chunk_id").groupBy("card_type").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 0).alias("n_text"))
+    return cards_from_replies(stub_replies(c)).select("chunk_id", "card_type", "title", "content", "answer")
+
+
+@query()
+def p_phase2(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, cards, nodes, levels): cards of a document's chapter chunks, and the tree over all its chunks."""
+    of = chunks(spark, d, "document_id")
+    n_cards = p_cards(spark, d).join(of, "chunk_id").groupBy("document_id").agg(F.count("*").alias("cards"))
+    tree = p_tree(spark, d).groupBy("document_id").agg(F.countDistinct("parent").alias("nodes"), F.max("level").alias("levels"))
+    return of.select("document_id").distinct().join(n_cards, "document_id", "left").join(tree, "document_id", "left").na.fill(0, ["cards", "nodes", "levels"])
+
+
+@query(f"""WITH {_MENTIONS}, p AS (SELECT document_id, count(*) AS patches FROM {CHUNKS} c JOIN {CHUNK_VECTORS} x ON c.chunk_id = x.id WHERE page_number IS NOT NULL GROUP BY 1), g AS (SELECT document_id, count(DISTINCT concept) AS concepts FROM men JOIN {CHUNKS} USING (chunk_id) GROUP BY 1)
+    SELECT document_id, coalesce(patches, 0) AS patches, coalesce(concepts, 0) AS concepts, CASE WHEN r.document_id IS NOT NULL THEN 'skipped' WHEN patches > 0 AND concepts > 0 THEN 'ready' ELSE 'failed' END AS status FROM (SELECT DISTINCT document_id FROM parsed_documents)
+    LEFT JOIN p USING (document_id) LEFT JOIN g USING (document_id) LEFT JOIN (SELECT DISTINCT document_id FROM raptor_nodes WHERE is_active AND level = 2) r USING (document_id)""")
+def p_phase3(spark: SparkSession, d: str) -> DataFrame:
+    """(document_id, patches, concepts, status): what the visual and the graph step give; skipped where a resumed run has it already, failed where either gives nothing."""
+    c = chunks(spark, d, "document_id", "page_number")
+    p = c.where("page_number is not null").join(chunk_vectors(spark, d).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("patches"))
+    g = retrieval._mentions(spark, d).join(c.select("chunk_id", "document_id"), "chunk_id").groupBy("document_id").agg(F.countDistinct("concept").alias("concepts"))
+    had = table(spark, d, "raptor_nodes").where("is_active and level = 2").select("document_id").distinct().withColumn("had", F.lit(True))
+    j = view(spark, d, "parsed_documents", "document_id").join(p, "document_id", "left").join(g, "document_id", "left").join(had, "document_id", "left").na.fill(0, ["patches", "concepts"])
+    status = F.when(F.col("had"), "skipped").when((F.col("patches") > 0) & (F.col("concepts") > 0), "ready").otherwise("failed")
+    return j.select("document_id", "patches", "concepts", status.alias("status"))
 
 
 _STATUS = f"""st AS (SELECT document_id, tenant_id, CASE WHEN n_pages >= page_count AND page_count > 0 THEN 'ready' WHEN n_pages > 0 THEN 'processing' ELSE 'pending' END AS status

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -247,12 +249,13 @@ def win_dedup_content(spark: SparkSession, d: str) -> DataFrame:
     return first_of_content(c, "document_id", "card_id").select("card_id", "document_id")
 
 
-@query(f"""SELECT document_id, card_type, card_id, CAST(n AS INT) AS n, total FROM (SELECT document_id, card_type, card_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY document_id, card_type) AS total
-    FROM {CARDS} WHERE is_active WINDOW w AS (PARTITION BY document_id, card_type ORDER BY card_id)) WHERE n <= 50""")
+@query(f"""SELECT document_id, card_type, card_id, CAST(n AS INT) AS n, total FROM (SELECT document_id, card_type, card_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY document_id, card_type) AS total FROM
+    (SELECT *, row_number() OVER (PARTITION BY document_id, card_type, substr(lower({_strip('content')}), 1, 200) ORDER BY card_id) AS nth FROM {CARDS} WHERE is_active AND content IS NOT NULL) WHERE nth = 1 WINDOW w AS (PARTITION BY document_id, card_type ORDER BY card_id)) WHERE n <= 50""")
 def lim_display(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifty cards of each type of a document, with the number of all."""
+    """The first fifty cards of each type of a document, of those that say something new, with the number of all of these."""
     by = Window.partitionBy("document_id", "card_type")
-    c = cards(spark, d, "document_id", "card_type", "is_active").where("is_active")
+    c = cards(spark, d, "document_id", "card_type", "content", "is_active").where("is_active and content is not null").withColumn("of", F.struct("document_id", "card_type"))
+    c = first_of_content(c, "of", "card_id")
     return c.withColumn("n", F.row_number().over(by.orderBy("card_id"))).withColumn("total", F.count("*").over(by)).where("n <= 50").select("document_id", "card_type", "card_id", "n", "total")
 
 
@@ -303,12 +306,13 @@ def json_child_ids(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "raptor_nodes", "node_id", "child_ids").select("node_id", F.to_json("child_ids").alias("child_ids_json"), F.when(F.col("child_ids").isNotNull(), F.size("child_ids")).cast("bigint").alias("n"))
 
 
-@query(f"SELECT card_id, count(*) AS n, max(version) AS version FROM {CARDS} GROUP BY 1")
+@query(f"""SELECT card_id, version, is_active AND document_id NOT IN (SELECT document_id FROM cards WHERE NOT is_active AND document_id IS NOT NULL) AS is_active FROM {CARDS}
+    UNION ALL SELECT card_id || '-new', version + 1, true FROM {CARDS} WHERE NOT is_active""")
 def snk_cards(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of the cards when inactive ones are written again as a new version: one row per key."""
-    old = cards(spark, d, "version", "is_active")
-    new = old.where("not is_active").withColumn("is_active", F.lit(True))
-    return store.upsert(old, new, ["card_id"]).groupBy("card_id").agg(F.count("*").alias("n"), F.max("version").alias("version"))
+    """The cards when the inactive ones are written again as a new version: those their documents had are deactivated, the new ones stand behind."""
+    old = cards(spark, d, "document_id", "version", "is_active")
+    new = old.where("not is_active").select(F.concat("card_id", F.lit("-new")).alias("card_id"), "document_id", (F.col("version") + 1).alias("version"), F.lit(True).alias("is_active"))
+    return store.replace_of(old, new, "document_id").select("card_id", "version", "is_active")
 
 
 @query(f"SELECT card_id, is_active AND document_id NOT IN (SELECT document_id FROM parsed_documents WHERE page_count = 0) AS is_active FROM {CARDS}")
@@ -318,15 +322,22 @@ def dml_softdelete(spark: SparkSession, d: str) -> DataFrame:
     return store.deactivate(cards(spark, d, "document_id", "is_active"), gone, ["document_id"]).select("card_id", "is_active")
 
 
-@query(f"""SELECT 'chunks' AS kind, count(*) AS n FROM {CHUNKS} WHERE document_id NOT IN (SELECT document_id FROM parsed_documents WHERE tenant_id = 'global') UNION ALL
-    SELECT 'cards', count(*) FROM {CARDS} WHERE document_id NOT IN (SELECT document_id FROM parsed_documents WHERE tenant_id = 'global') UNION ALL
-    SELECT 'nodes', count(*) FROM {NODES} WHERE document_id NOT IN (SELECT document_id FROM parsed_documents WHERE tenant_id = 'global')""")
+_GONE = "(SELECT document_id FROM parsed_documents WHERE tenant_id = 'global')"
+
+
+@query(f"""SELECT 'documents' AS kind, count(*) AS n FROM {DOCS} WHERE document_id NOT IN {_GONE} UNION ALL SELECT 'chunks', count(*) FROM {CHUNKS} WHERE document_id NOT IN {_GONE} UNION ALL SELECT 'cards', count(*) FROM {CARDS} WHERE document_id NOT IN {_GONE}
+    UNION ALL SELECT 'nodes', count(*) FROM {NODES} WHERE document_id NOT IN {_GONE} UNION ALL SELECT 'pages', count(*) FROM {PAGES} WHERE document_id NOT IN {_GONE}
+    UNION ALL SELECT 'vectors', count(DISTINCT chunk_id) FROM embedded_chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM text_chunks WHERE document_id IN {_GONE})
+    UNION ALL SELECT 'tree vectors', count(DISTINCT node_id) FROM raptor_nodes WHERE embedding IS NOT NULL AND node_id NOT IN (SELECT node_id FROM raptor_nodes WHERE document_id IN {_GONE})""")
 def dml_delete(spark: SparkSession, d: str) -> DataFrame:
-    """What each table still holds after the global documents and all that hangs on them were deleted."""
-    gone = table(spark, d, "parsed_documents").where("tenant_id = 'global'")
-    kept = {"chunks": chunks(spark, d, "document_id"), "cards": cards(spark, d, "document_id"), "nodes": view(spark, d, "raptor_nodes", "node_id", "document_id")}
-    parts = [store.delete(t, gone, ["document_id"]).agg(F.lit(k).alias("kind"), F.count("*").alias("n")) for k, t in kept.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    """What each of the seven places still holds after the global documents and all that hangs on them were deleted."""
+    gone = table(spark, d, "parsed_documents").where("tenant_id = 'global'").select("document_id").distinct()
+    docs = view(spark, d, "parsed_documents", "document_id")
+    c, n, p = (view(spark, d, t, k, "document_id") for t, k in (("text_chunks", "chunk_id"), ("raptor_nodes", "node_id"), ("page_contents", "page_id")))
+    kept = {"documents": (docs, gone, "document_id"), "chunks": (c, gone, "document_id"), "cards": (cards(spark, d, "document_id"), gone, "document_id"), "nodes": (n, gone, "document_id"), "pages": (p, gone, "document_id")}
+    kept["vectors"] = view(spark, d, "embedded_chunks", "chunk_id"), c.join(gone, "document_id", "left_semi"), "chunk_id"
+    kept["tree vectors"] = table(spark, d, "raptor_nodes").where("embedding is not null").select("node_id").distinct(), n.join(gone, "document_id", "left_semi"), "node_id"
+    return reduce(DataFrame.union, [store.delete(t, g, [k]).agg(F.lit(name).alias("kind"), F.count("*").alias("n")) for name, (t, g, k) in kept.items()])
 
 
 @query(f"""SELECT document_id, max(page_count) AS page_count, coalesce(max(n), 0) AS actual_chunks FROM parsed_documents LEFT JOIN (SELECT document_id, count(*) AS n FROM {CHUNKS} WHERE is_active GROUP BY 1) USING (document_id) GROUP BY 1""")

@@ -205,14 +205,24 @@ def agg_metric_report(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metric_report(m.join(q.select("query_id", "query_type", "calibrated"), "query_id"), "query_type", "calibrated").withColumn("query_type", F.coalesce("query_type", F.lit("overall")))
 
 
+_REPORT = ("recall", "mrr", "precision", "ndcg", "n_queries", "n_calibrated")
+
+
+@query(f"""WITH {_HITS}, r AS (SELECT coalesce(query_type, 'overall') AS query_type, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(precision), 4) AS precision, round(avg(ndcg), 4) AS ndcg, count(*) AS n_queries, count(*) FILTER (calibrated) AS n_calibrated FROM m GROUP BY GROUPING SETS ((), (query_type)))
+    SELECT '| ' || query_type || ' | ' || {" || ' | ' || ".join(f"coalesce(printf('%.4f', CAST({n} AS DOUBLE)), '-')" for n in _REPORT)} || ' |' AS line FROM r""")
+def snk_report(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the evaluation report's Markdown table (see evaluation.write_report)."""
+    return evaluation.markdown_lines(agg_metric_report(spark, d), "query_type", _REPORT)
+
+
 @query(f"""SELECT h.query_id, round(list_sum(list_transform(q.v, lambda a: list_max(list_transform(h.patches, lambda p: list_dot_product(a, p))))), 3) AS score, h.document_id, h.page_number FROM
     (SELECT 0 AS query_id, document_id, page_number, list(v ORDER BY chunk_id) AS patches FROM {CHUNKS} c JOIN {CHUNK_VECTORS} x ON c.chunk_id = x.id WHERE page_number IS NOT NULL GROUP BY 2, 3) h,
-    (SELECT list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS v FROM embeddings WHERE vec_id % 100 = 0) q""")
+    (SELECT list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS v FROM embeddings WHERE vec_id % 100 = 0 AND vec_id < 3200) q""")
 def jn_maxsim(spark: SparkSession, d: str) -> DataFrame:
-    """Late interaction: the score of every page, as the set of its chunks' vectors, for the query made of every hundredth vector."""
+    """Late interaction: the score of every page, as the set of its chunks' vectors, for one query, a matrix of at most 32 vectors."""
     c = chunks(spark, d, "document_id", "page_number").where("page_number is not null").join(chunk_vectors(spark, d), F.col("chunk_id") == F.col("id"))
     pages = c.groupBy("document_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "v"))), lambda x: x["v"]).alias("patches"))
-    q = every_hundredth(spark, d).agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "v"))), lambda x: x["v"]).alias("q"))  # the fixed query set, one row
+    q = every_hundredth(spark, d).where("query_id < 3200").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "v"))), lambda x: x["v"]).alias("q"))  # one row of 32 vectors
     return pages.crossJoin(F.broadcast(q)).select(F.lit(0).alias("query_id"), F.round(vectors.maxsim(F.col("q"), F.col("patches")), 3).alias("score"), "document_id", "page_number")
 
 
@@ -240,14 +250,20 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return concepts.mentions(chunks(spark, d, "text"))
 
 
-_MENTIONS = f"""men AS (SELECT chunk_id, unnest((list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{6,}}')))[1:5]) AS concept FROM
-    (SELECT chunk_id, list_transform(list_filter(list_transform(t, lambda x, i: [x, CAST(list_position(t, x) = i AS VARCHAR)]), lambda p: p[2] = 'true'), lambda p: p[1]) AS w FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM {CHUNKS})))"""
+_MENTIONS = f"""men AS (SELECT chunk_id, unnest(l) AS concept, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT chunk_id, (list_filter(w, lambda x: regexp_full_match(x, '\\p{{L}}{{6,}}')))[1:5] AS l FROM
+    (SELECT chunk_id, list_transform(list_filter(list_transform(t, lambda x, i: [x, CAST(list_position(t, x) = i AS VARCHAR)]), lambda p: p[2] = 'true'), lambda p: p[1]) AS w FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM {CHUNKS}))))"""
+
+
+def typed_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """(concept, type, mentions): every concept with the type of its first mention, topic where it begins a chunk, else term."""
+    kind = F.when(F.col("pos") == 0, "topic").otherwise("term")
+    return _mentions(spark, d).groupBy("concept").agg(F.min_by(kind, F.struct("chunk_id", "pos")).alias("type"), F.count("*").alias("mentions"))
 
 
-@query(f"WITH {_MENTIONS} SELECT concept, count(*) AS mentions FROM men GROUP BY 1")
+@query(f"WITH {_MENTIONS} SELECT concept, arg_min(CASE WHEN pos = 0 THEN 'topic' ELSE 'term' END, (chunk_id, pos)) AS type, count(*) AS mentions FROM men GROUP BY 1")
 def agg_concept_unique(spark: SparkSession, d: str) -> DataFrame:
-    """The concepts and in how many chunks each is mentioned."""
-    return _mentions(spark, d).groupBy("concept").agg(F.count("*").alias("mentions"))
+    """The concepts, the first type of each, and in how many chunks it is mentioned."""
+    return typed_concepts(spark, d)
 
 
 @query(f"WITH {_MENTIONS} SELECT x.concept AS a, y.concept AS b, count(*) AS weight FROM men x JOIN men y ON x.chunk_id = y.chunk_id AND x.concept < y.concept GROUP BY 1, 2")
@@ -256,12 +272,15 @@ def agg_edge_weight(spark: SparkSession, d: str) -> DataFrame:
     return concepts.co_occurrence(_mentions(spark, d))
 
 
-@query(f"""WITH {_MENTIONS} SELECT (SELECT count(DISTINCT document_id) FROM text_chunks) AS n_docs, (SELECT count(DISTINCT chunk_id) FROM text_chunks) AS n_chunks, (SELECT count(*) FROM men) AS n_mentions, (SELECT count(DISTINCT concept) FROM men) AS n_concepts""")
+@query(f"""WITH {_MENTIONS} SELECT (SELECT count(DISTINCT document_id) FROM text_chunks) AS n_docs, (SELECT count(DISTINCT chunk_id) FROM text_chunks) AS n_chunks, (SELECT count(*) FROM men) AS n_concepts,
+    (SELECT count(*) FROM men) + (SELECT 2 * count(DISTINCT chunk_id) - count(DISTINCT chunk_id) FILTER (page_number IS NULL) FROM text_chunks) + (SELECT count(*) FROM men x JOIN men y ON x.chunk_id = y.chunk_id AND x.concept < y.concept) AS n_edges""")
 def agg_graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    """How large the graph is."""
-    c = table(spark, d, "text_chunks").agg(F.countDistinct("document_id").alias("n_docs"), F.countDistinct("chunk_id").alias("n_chunks"))
-    m = _mentions(spark, d).agg(F.count("*").alias("n_mentions"), F.countDistinct("concept").alias("n_concepts"))
-    return c.crossJoin(m)  # one row each
+    """How much is merged into the graph: concepts and edges count mentions and merges, not what is left of them."""
+    t = chunks(spark, d, "document_id", "page_number")
+    c = t.agg(F.countDistinct("document_id").alias("n_docs"), F.count("*").alias("n_chunks"), F.count_if(F.col("page_number").isNotNull()).alias("paged"))
+    m = _mentions(spark, d).agg(F.count("*").alias("n_concepts"))
+    pairs = concepts.co_occurrence(_mentions(spark, d)).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("merges"))
+    return c.crossJoin(m).crossJoin(pairs).select("n_docs", "n_chunks", "n_concepts", (F.col("n_concepts") + F.col("n_chunks") + F.col("paged") + F.col("merges")).alias("n_edges"))  # one row each
 
 
 def _near_concepts(spark: SparkSession, d: str) -> DataFrame:

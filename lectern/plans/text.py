@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import token_count
-from lectern.operators import chunking, evaluation
+from lectern.operators import chunking, classify, evaluation
 from lectern.operators.cards import cards_from_replies
 from lectern.operators.tree import cluster_count, gaussian_clusters
 from lectern.plans.base import CARDS, CHUNKS, DOCS, PAGES, cards, chunk_vectors, chunks, query, view
@@ -159,12 +157,23 @@ def m_cluster(spark: SparkSession, d: str) -> DataFrame:
     return gaussian_clusters(chunk_vectors(spark, d), 8)
 
 
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    return classify.featured(classify.stratified(e, "vec_id", "label"), "label", "embedding")
+
+
 def _predicted(spark: SparkSession, d: str) -> DataFrame:
-    """(vec_id, label, predicted): a fifth of the vectors of each label, judged by a model of the others."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    held = F.pmod(F.col("vec_id"), F.lit(5)) == 0
-    model = LogisticRegression(maxIter=50, predictionCol="p").fit(e.where(~held))
-    return model.transform(e.where(held)).select("vec_id", F.col("label").cast("int").alias("label"), F.col("p").cast("int").alias("predicted"))
+    """(vec_id, label, predicted): the held-out fifth of the vectors of each label, judged by a model of the others."""
+    rows = _rows(spark, d)
+    return classify.predicted(classify.fit(rows.where("not held")), rows.where("held")).select("vec_id", F.col("label").cast("int").alias("label"), "predicted")
+
+
+@query()
+def m_classify(spark: SparkSession, d: str) -> DataFrame:
+    """The intent of every vector by the fitted model; labels beyond the four intents are mixed."""
+    rows = _rows(spark, d)
+    names = F.array(*map(F.lit, ("factual", "overview", "multihop", "visual")))
+    return classify.route(classify.fit(rows.where("not held")), rows, names, F.lit("mixed")).select("vec_id", "predicted", "intent")
 
 
 @query()

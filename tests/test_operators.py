@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text, vectors
-from lectern.operators import cards, chunking, concepts, evaluation, ranking, scope, store, tree
+from lectern.functions.lineage import cut
+from lectern.functions.skew import salted_join
+from lectern.operators import cards, chunking, classify, concepts, evaluation, ranking, scope, store, tree
 from lectern.operators.components import connected_components
 
 
@@ -206,3 +208,87 @@ def test_ingest_finds_places_and_pages(spark):
     assert starts == sorted(starts) and starts[0] == 0 and all(one.startswith(r["text"][:20], r["char_start"]) for r in got)
     assert all(r["page_number"] == 1 for r in got)
     assert chunking.ingest(docs.limit(0), offsets).count() == 0
+
+
+def test_sparse_search_against_postings(spark):
+    rng = np.random.default_rng(7)
+    docs = [(f"d{i:03d}", list(rng.choice(list("abcdefgh"), rng.integers(0, 9), p=[0.4, 0.2, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]))) for i in range(200)] + [("null", None)]
+    df = spark.createDataFrame(docs, "id string, t array<string>").repartition(4)
+    q = spark.createDataFrame([("q1", "a", 1.0), ("q1", "e", 1.0), ("q2", "h", 2.0), ("q3", "zz", 1.0)], "query_id string, term string, w double")
+    got = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in ranking.sparse_search(df, F.col("t"), q, 7).orderBy("query_id", "rank").collect()]
+    p = ranking.postings(df, F.col("t")).join(q.select("query_id", "term", F.col("w").alias("wq")), "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    want = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in ranking.ranked(p, F.desc("score"), "id").where("rank <= 7").orderBy("query_id", "rank").collect()]
+    assert got == want and len(got) == 14
+    assert ranking.sparse_search(df.limit(0), F.col("t"), q, 7).count() == 0 and ranking.sparse_search(df, F.col("t"), q.limit(0), 7).count() == 0
+
+
+def test_score_counts(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])], "id int, v array<double>")
+    q = v.where("id < 3").select(F.col("id").alias("query_id"), "v")
+    assert rows(ranking.score_counts(v, q, 2), "score", "n") == [(0.0, 2), (0.71, 2), (1.0, 2)]
+    assert ranking.score_counts(v.limit(0), q, 2).count() == ranking.score_counts(v, q.limit(0), 2).count() == 0
+
+
+def test_salted_join_splits_heavy_keys(spark):
+    many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(300)] + [(999, None)], "id int, k string")
+    one = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), (None, 4)], "k string, x int")
+    for how in ("inner", "left"):
+        want = rows(many.join(one, ["k"], how).na.fill("-").na.fill(-1), "id", "k", "x")
+        assert rows(salted_join(many, one, ["k"], "id", how, heavy=50).na.fill("-").na.fill(-1), "id", "k", "x") == want
+        assert rows(salted_join(many, one, ["k"], "id", how).na.fill("-").na.fill(-1), "id", "k", "x") == want
+
+
+def test_cut_reads_what_it_wrote(spark):
+    df = cut(spark.range(10).withColumn("r", F.rand()))
+    assert df.collect() == df.collect() and spark.conf.get("spark.checkpoint.dir") in spark.sparkContext.getCheckpointDir()
+
+
+def test_even_pages(spark):
+    docs = spark.createDataFrame([("a", "1\n2\n3\n4\n5", 2), ("b", "1\n2", 5), ("c", "x", None), ("d", None, 1), ("e", "1\n \n3", 3)], "document_id string, text string, page_count int")
+    assert rows(chunking.even_pages(docs), "document_id", "page_number", "text") == [("a", 1, "1\n2"), ("a", 2, "3\n4"), ("b", 1, "1\n2"), ("c", 1, "x"), ("e", 1, "1"), ("e", 3, "3")]
+
+
+def test_a_saved_model_routes_as_before(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(i, i % 4, (rng.normal(size=8) * 0.3 + 2 * np.eye(8)[i % 4]).tolist()) for i in range(200)]
+    r = classify.stratified(spark.createDataFrame(data, "key int, label int, v array<double>"), "key", "label")
+    assert rows(r.groupBy("label", "held").count(), "label", "held", "count") == [(x, h, n) for x in range(4) for h, n in ((False, 40), (True, 10))]
+    x = classify.featured(r, "label", "v")
+    model = classify.fit(x.where("not held"))
+    names = F.array(*map(F.lit, ("factual", "overview", "multihop")))
+    before = rows(classify.route(model, x, names, F.lit("mixed")), "key", "intent")
+    classify.save(model, str(tmp_path / "model"))
+    assert rows(classify.route(classify.load(str(tmp_path / "model")), x, names, F.lit("mixed")), "key", "intent") == before
+    assert np.mean([i == ("factual", "overview", "multihop", "mixed")[k % 4] for k, i in before]) > 0.95
+    assert {i for _, i in rows(classify.route(None, x, names, F.lit("mixed")), "key", "intent")} == {"mixed"}
+
+
+def test_report_is_written(spark, tmp_path):
+    report = spark.createDataFrame([("overall", 0.25, 4), ("factual", None, 1)], "kind string, mrr double, n bigint")
+    evaluation.write_report(report, str(tmp_path), {"k": 20}, "kind", ("mrr", "n"))
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/markdown").collect()] == ["| kind | mrr | n |", "|-|-|-|", "| factual | - | 1.0000 |", "| overall | 0.2500 | 4.0000 |"]
+    assert {r["config"]["k"] for r in spark.read.json(f"{tmp_path}/json").collect()} == {"20"}
+
+
+def test_preambles_go(spark):
+    said = [("Based on the provided passages,  it falls.", "q", "it falls."), ("Question: why?\n.It falls.", "why?", "It falls."), ("It falls.", "q", "It falls."), (None, "q", None)]
+    df = spark.createDataFrame(said, "a string, q string, want string")
+    assert all(r[0] == r[1] for r in df.select(evaluation.stripped(F.col("a"), F.col("q"), evaluation.PREAMBLES), "want").collect())
+
+
+def test_tables_are_created_once(spark, tmp_path):
+    for _ in range(2):
+        assert store.create_tables(spark, {"lectern_notes": "id bigint, text string"}, str(tmp_path)) == ["lectern_notes"]
+    assert spark.table("lectern_notes").count() == 0
+    spark.sql("DROP TABLE lectern_notes")
+
+
+def test_new_rows_replace_those_of_their_document(spark):
+    old = spark.createDataFrame([("a", "d1", True), ("b", "d2", True)], "card string, doc string, is_active boolean")
+    new = spark.createDataFrame([("c", "d1", True)], "card string, doc string, is_active boolean")
+    assert rows(store.replace_of(old, new, "doc"), "card", "is_active") == [("a", False), ("b", True), ("c", True)]
+
+
+def test_decoding_leaves_out_what_it_cannot_read(spark):
+    df = spark.createDataFrame([(bytearray("aé".encode()[:-1] + b"b\xff"),), (bytearray(b""),), (None,)], "b binary")
+    assert [r[0] for r in df.select(text.decoded(F.col("b"))).collect()] == ["ab", "", None]
