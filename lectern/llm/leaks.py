@@ -19,8 +19,8 @@ from lectern.functions.lineage import spread
 from lectern.functions.text import WORD_PY
 
 WINDOW, BLOCK = 12, 3
-#: Passages whose tables are sent to the executors at once (some 10 KB each).
-PASSAGES_AT_ONCE = 1000
+#: Characters of passages whose tables are sent to the executors at once; the tables take some 30 times as much.
+PORTION = 1 << 20
 
 
 class Patterns:
@@ -64,16 +64,16 @@ class Patterns:
         return {item: seen[0] for item, seen in found.items()}
 
 
-def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, window: int = WINDOW) -> DataFrame:
+def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, window: int = WINDOW, portion: int = PORTION) -> DataFrame:
     """(doc_id, item_id, leaked_words) for each text that shares window consecutive words with an item's passage.
 
     Words are runs of letters or digits in lower case. Every text is searched whole.
     Null and short texts or passages match nothing, repeated rows count once, and a
     document with a null id is reported with that null. The passages are sent to the
-    executors in portions of at most PASSAGES_AT_ONCE; each portion is one more pass.
+    executors in portions of about PORTION characters; each portion is one more pass.
     """
     known = items.select(F.col(item_id).cast("string").alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null").distinct()
-    portions = max(1, -(-known.count() // PASSAGES_AT_ONCE))
+    portions = max(1, -(-(known.agg(F.sum(F.length("p"))).first()[0] or 0) // portion))
     known = known.withColumn("portion", F.pmod(F.xxhash64("i"), F.lit(portions)))
     kind = corpus.schema[doc_id].dataType.simpleString()
     docs = spread(corpus.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t is not null"))

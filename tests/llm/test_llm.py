@@ -357,6 +357,8 @@ def test_leaks_against_brute_force(spark):
             grams.setdefault(tuple(w[a : a + 12]), set()).add(i)
     want = {(d, i) for d, t in docs for w in [t.lower().replace(",", "").split()] for a in range(len(w) - 11) for i in grams.get(tuple(w[a : a + 12]), ())}
     assert got.keys() == want and min(got.values()) >= 12
+    several = leaks.find_leaks(df, "doc_id", "text", ev, "item_id", "passage", portion=600)  # some three passages at once
+    assert {(r["doc_id"], r["item_id"]): r["leaked_words"] for r in several.collect()} == got
     assert leaks.find_leaks(df.limit(0), "doc_id", "text", ev, "item_id", "passage").count() == 0
     assert leaks.find_leaks(df, "doc_id", "text", ev.limit(0), "item_id", "passage").count() == 0
 
