@@ -292,3 +292,26 @@ def r_page_chunks(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d, "document_id", "page_number", "chunk_index").join(hit, ["document_id", "page_number"])
     by = Window.partitionBy("query_id", "document_id", "page_number").orderBy("chunk_index", "chunk_id")
     return c.withColumn("n", F.row_number().over(by)).where("n <= 2").select("query_id", "chunk_id", "n")
+
+
+# The funnel in SQL: the greedy steps as a recursion whose rows are the candidates, each with its likeness to the nearest chosen one.
+_DIVERSE = f"""pool AS (SELECT * FROM (SELECT query_id, x.id, {_COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COS} DESC, x.id) AS rank FROM {SCOPED_VECTORS} x, {QUERY_VECTORS} q) WHERE rank <= {retrieval.POOL}),
+    tk AS (SELECT chunk_id AS id, list_distinct(regexp_extract_all(lower(text), {_W})) AS w FROM {CHUNKS} WHERE chunk_id IN (SELECT id FROM pool)),
+    sim AS (SELECT a.query_id, a.rank AS x, b.rank AS y, coalesce(len(list_intersect(s.w, t.w)) / nullif(len(s.w) + len(t.w) - len(list_intersect(s.w, t.w)), 0), 0) AS j FROM pool a JOIN pool b ON a.query_id = b.query_id JOIN tk s ON a.id = s.id JOIN tk t ON b.id = t.id),
+    walk AS (SELECT query_id, 0 AS n, rank, score / max(score) OVER (PARTITION BY query_id) AS rel, CAST(0 AS DOUBLE) AS nearest, CAST(NULL AS INT) AS taken FROM pool UNION ALL
+      SELECT p.query_id, p.n + 1, p.rank, p.rel, greatest(p.nearest, sim.j), CASE WHEN p.rank = p.pick THEN p.n + 1 ELSE p.taken END FROM
+        (SELECT *, first_value(rank) OVER (PARTITION BY query_id ORDER BY (taken IS NOT NULL), CAST(0.7 AS DOUBLE) * rel - (1 - CAST(0.7 AS DOUBLE)) * nearest DESC, rank) AS pick FROM walk WHERE n < {FETCH}) p
+        JOIN sim ON sim.query_id = p.query_id AND sim.x = p.rank AND sim.y = p.pick),
+    size AS (SELECT query_id, count(*) AS c FROM pool GROUP BY 1),
+    diverse AS (SELECT pool.query_id, pool.id, pool.score, CASE WHEN c <= {FETCH} THEN pool.rank ELSE taken END AS rank FROM walk JOIN pool ON walk.query_id = pool.query_id AND walk.rank = pool.rank JOIN size ON size.query_id = pool.query_id WHERE n = {FETCH} AND (taken IS NOT NULL OR c <= {FETCH}))"""
+SQL["itr_mmr"] = f"WITH RECURSIVE {_DIVERSE} SELECT query_id, id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM diverse"
+_FUNNEL = f"""{_DIVERSE}, {_ARTIFACTS}, led AS (SELECT query_id, id, arg_min(score, rank) AS score, min(rank) AS hit FROM known GROUP BY 1, 2),
+    fresh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit, id) AS r FROM led WHERE (query_id, id) NOT IN (SELECT query_id, id FROM diverse)),
+    both_lanes AS (SELECT query_id, id, score, rank, 'dense' AS lane FROM diverse UNION ALL SELECT f.query_id, id, score, coalesce(l, 0) + r, 'artifact' FROM fresh f LEFT JOIN (SELECT query_id, max(rank) AS l FROM diverse GROUP BY 1) USING (query_id)),
+    asked AS (SELECT DISTINCT item_id AS query_id, list_distinct(regexp_extract_all(lower(query), {_W})) AS qw FROM eval_queries), said AS (SELECT chunk_id AS id, list_distinct(regexp_extract_all(lower(text), {_W})) AS cw FROM {CHUNKS}),
+    judged AS (SELECT b.*, round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, cw)) / len(qw) ELSE 0 END, 6) AS rerank_score FROM both_lanes b JOIN asked USING (query_id) JOIN said USING (id)),
+    funnel AS (SELECT query_id, id, round(score, 6) AS score, rerank_score, lane, CAST(n AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank, id) AS n FROM judged) WHERE n <= {SHOWN})"""
+SQL["r_funnel"] = f"WITH RECURSIVE {_FUNNEL} SELECT * FROM funnel"
+_LANES = "(SELECT DISTINCT item_id AS query_id, query_type FROM eval_queries)"
+SQL["r_ask"] = f"""WITH RECURSIVE {_FUNNEL} SELECT query_id, 'chunk' AS lane, id, rank FROM funnel UNION ALL SELECT query_id, 'summary', id, rank FROM ({SQL["r_raptor"]}) JOIN {_LANES} USING (query_id) WHERE query_type IN ('overview') OR query_type NOT IN ('factual', 'multihop', 'visual')
+    UNION ALL SELECT query_id, 'concept', chunk_id, rank FROM ({SQL["r_graph"]}) JOIN {_LANES} USING (query_id) WHERE rank <= {LINKED} AND (query_type = 'multihop' OR query_type NOT IN ('factual', 'overview', 'visual'))"""

@@ -166,7 +166,7 @@ def _shown(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_funnel(spark: SparkSession, d: str) -> DataFrame:
     """The whole funnel: dense pool of 50, diversified to 20, parents of card hits appended, 6 left by token overlap with the query."""
-    return _shown(spark, d).select("query_id", "id", F.round("score", 4).alias("score"), "rerank_score", "lane", "rank")
+    return _shown(spark, d).select("query_id", "id", F.round("score", 6).alias("score"), "rerank_score", "lane", "rank")
 
 
 @query()
