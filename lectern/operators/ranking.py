@@ -29,6 +29,18 @@ def ranked(df: DataFrame, *order, by: str = "query_id", name: str = "rank") -> D
     return df.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
 
 
+def _portions(queries: DataFrame, *columns: str, each: int = 1) -> Iterator[list]:
+    """The rows of queries, about each for a query, in portions of about QUERIES_AT_ONCE queries; few queries are read once."""
+    q = queries.select("query_id", *columns)
+    few = q.limit(QUERIES_AT_ONCE * each + 1).collect()
+    if len(few) <= QUERIES_AT_ONCE * each:
+        yield few
+        return
+    n = -(-q.select("query_id").distinct().count() // QUERIES_AT_ONCE)
+    for p in range(n):
+        yield q.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == p).collect()
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> DataFrame:
     """(query_id, id, score, rank): the k vectors (id, v) of highest cosine for every query (query_id, v), exactly.
 
@@ -38,10 +50,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
     No vectors or no queries give no rows. spread: partitions to scan in, where the input
     lies in fewer.
     """
-    q = queries.select("query_id", "v").orderBy("query_id")
-    n = q.count()
-    portions = max(1, -(-n // QUERIES_AT_ONCE))
-    q = q.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
     kind, of = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     scan = vectors.select("id", "v")
     scan = scan.repartition(spread) if spread else scan
@@ -75,8 +83,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
         return run
 
     parts = []
-    for p in range(portions):
-        rows = q.where(F.col("portion") == p).select("query_id", "v").collect()  # one bounded portion
+    for rows in _portions(queries, "v"):
         m = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
         unit = m / np.sqrt((m * m).sum(1))[:, None] if len(rows) else m
         held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), unit))
@@ -86,9 +93,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, spread: int = 0) -> Data
 
 def score_counts(vectors: DataFrame, queries: DataFrame, digits: int) -> DataFrame:
     """(score, n): how many pairs of query (query_id, v) and vector (id, v) have each cosine, rounded; counted inside the tasks, portion by portion of the queries."""
-    q = queries.select("query_id", "v")
-    portions = max(1, -(-q.count() // QUERIES_AT_ONCE))
-    q = q.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
 
     def count(held):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,8 +107,8 @@ def score_counts(vectors: DataFrame, queries: DataFrame, digits: int) -> DataFra
         return run
 
     parts = []
-    for p in range(portions):
-        m = np.array([r["v"] for r in q.where(F.col("portion") == p).select("v").collect()], np.float64)  # one bounded portion
+    for rows in _portions(queries, "v"):
+        m = np.array([r["v"] for r in rows], np.float64)
         held = vectors.sparkSession.sparkContext.broadcast(m / np.sqrt((m * m).sum(1))[:, None] if len(m) else m)
         parts.append(vectors.select("v").mapInPandas(count(held), "score double, n bigint"))
     return reduce(DataFrame.union, parts).groupBy("score").agg(F.sum("n").alias("n"))
@@ -125,10 +129,6 @@ def sparse_search(docs: DataFrame, terms, queries: DataFrame, k: int) -> DataFra
     a portion of queries asks for; those are looked up in the tasks, so no posting list is
     gathered anywhere, and a task gives out the k best of each query alone.
     """
-    asked = queries.select("query_id", "term", "w")
-    n_queries = asked.select("query_id").distinct().count()
-    portions = max(1, -(-n_queries // QUERIES_AT_ONCE))
-    asked = asked.withColumn("portion", F.pmod(F.xxhash64("query_id"), F.lit(portions)))
     words = docs.select("id", terms.alias("t")).where("t is not null")
     total = docs.agg(F.countDistinct("id").alias("n")).first()["n"]
     kind, of = docs.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -166,9 +166,9 @@ def sparse_search(docs: DataFrame, terms, queries: DataFrame, k: int) -> DataFra
         return run
 
     parts = []
-    for p in range(portions):
+    for rows in _portions(queries, "term", "w", each=32):
         by_term: dict = {}
-        for q, term, w in asked.where(F.col("portion") == p).select("query_id", "term", "w").collect():  # one bounded portion
+        for q, term, w in rows:
             by_term.setdefault(term, []).append((q, w))
         held = context.broadcast(by_term)
         df = {r["term"]: r["df"] for r in words.mapInPandas(count(held), "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # the portion's terms

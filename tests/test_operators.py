@@ -222,6 +222,21 @@ def test_sparse_search_against_postings(spark):
     assert ranking.sparse_search(df.limit(0), F.col("t"), q, 7).count() == 0 and ranking.sparse_search(df, F.col("t"), q.limit(0), 7).count() == 0
 
 
+def test_many_queries_come_in_portions(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(60, 6)))], "id int, v array<double>")
+    q = v.where("id < 20").select(F.col("id").alias("query_id"), "v")
+    d = spark.createDataFrame([(f"d{i}", list(rng.choice(list("abcdef"), 5))) for i in range(40)], "id string, t array<string>")
+    terms = spark.createDataFrame([(i, t, 1.0) for i in range(20) for t in rng.choice(list("abcdef"), 2, replace=False).tolist()], "query_id int, term string, w double")
+    once = [rows(ranking.knn(v, q, 3), "query_id", "rank", "id"), rows(ranking.sparse_search(d, F.col("t"), terms, 3), "query_id", "rank", "id", "score"), rows(ranking.score_counts(v, q, 1), "score", "n")]
+    monkeypatch.setattr(ranking, "QUERIES_AT_ONCE", 1)
+    few = q.where("query_id < 6")
+    assert rows(ranking.knn(v, few, 3), "query_id", "rank", "id") == [r for r in once[0] if r[0] < 6]
+    assert rows(ranking.sparse_search(d, F.col("t"), terms.where("query_id < 4"), 3), "query_id", "rank", "id", "score") == [r for r in once[1] if r[0] < 4]
+    monkeypatch.setattr(ranking, "QUERIES_AT_ONCE", 7)
+    assert rows(ranking.score_counts(v, q, 1), "score", "n") == once[2]
+
+
 def test_score_counts(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])], "id int, v array<double>")
     q = v.where("id < 3").select(F.col("id").alias("query_id"), "v")
