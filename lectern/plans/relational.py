@@ -12,15 +12,9 @@ from lectern.operators import scope, store
 from lectern.operators.cards import ARTIFACT_TYPES, CARD_TYPES, FACT_TYPES, first_of_content
 from lectern.operators.tree import parents_of, summary_stub
 from lectern.plans.base import CARDS, CHUNKS, DOCS, NODES, PAGES, TENANT, cards, chunks, query, view
+from lectern.plans.retrieval import _BLANK, _strip
 from lectern.sources.tables import table
 
-_BLANK = r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-
-
-def _strip(column: str) -> str:
-    return f"regexp_replace({column}, '^{_BLANK}|{_BLANK}$', '', 'g')"
-
-
 def _list(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
