@@ -235,6 +235,37 @@ def test_many_copies_grow_with_their_number(spark):
     assert empty.count() == 0 and none.count() == 0 and neardup.groups(empty, none).count() == 0 and neardup.all_pairs(empty, none).count() == 0
 
 
+def test_odd_cards_equal_sql(spark, tmp_path):
+    """More copies than any number of anchors, ids with several texts, letters that lower case treats apart, similarity of just a half."""
+    rng = np.random.default_rng(4)
+    text = lambda n: list(rng.choice(WORDS, n, replace=False))
+    copied, parts, half = " ".join(text(20)), [" ".join(text(16)) for _ in range(3)], text(22)
+    rows = [(f"c{i:02d}", "", copied) for i in range(45)] + [("c99", "", copied + " more")]
+    rows += [("m1", None, t) for t in [*parts, "too short"]] + [("m2", "", parts[1]), ("m2", "", parts[2]), ("m3", "", parts[0]), ("m4", parts[2], None)]
+    rows += [("g1", "", "ΟΔΟΣ ΜΕΣ ΤΗΣ ΠΟΛΗΣ ΟΛΟΣ ΚΟΣΜΟΣ ΦΩΣ ΛΟΓΟΣ ΝΟΜΟΣ ΤΟΠΟΣ ΧΡΟΝΟΣ ΔΡΟΜΟΣ"), ("g2", "", "οδοσ μεσ τησ πολησ ολοσ κοσμοσ φωσ λογοσ νομοσ τοποσ χρονοσ δρομοσ")]
+    rows += [("t1", "", "İzmir İstanbul " * 3 + " ".join(half[:8])), ("t2", "", "izmir istanbul " * 3 + " ".join(half[:8]))]
+    rows += [("h1", "", " ".join(half[:17])), ("h2", "", " ".join(half[5:])), ("h3", "", " ".join(half[4:19])), ("h4", "", " ".join(half[6:]))]
+    spark.createDataFrame(rows, "card_id string, title string, content string").coalesce(1).write.parquet(str(tmp_path / "cards.parquet"))
+    for name in ("p4_found", "p4_classes", "p4_links", "p4_groups"):
+        assert differs(spark, str(tmp_path), QUERIES[name], SQL[name]) == "", name
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """Pairs of exactly the threshold, which signatures lose now and then, beside shingles that most texts share."""
+    rng = np.random.default_rng(9)
+    usual = np.sort(rng.integers(1, 1 << 62, 30).astype(np.uint64))
+    sets, want = [], set()
+    for i in range(3000):
+        both, x, y = (rng.integers(1, 1 << 62, n).astype(np.uint64) for n in (12, 9, 9))
+        mine = rng.choice(usual, 6, replace=False)
+        sets += [(2 * i, np.unique(np.concatenate([both, x, mine]))), (2 * i + 1, np.unique(np.concatenate([both, y, mine])))]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets], "cls bigint, s binary")
+    got = neardup.similar_classes(df, 0.5)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
+    assert neardup.similar_classes(df, 0.5, block=50).count() == len(want)
+
+
 def test_posterior_bounds_rise():
     m = neardup.least_matches(0.5, 0.001)
     assert m == sorted(m) and 0 < m[0] < 16 and m[-1] < 64
