@@ -31,8 +31,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 SHARD, CLOSING, REPACK = 2000, 600, 0.97
 K1, B = 1.2, 0.75
 _TERMS = 1 << 22
-#: A term in more than this share of the texts is too common to name a shard; counted over a bounded hash sample of about so many texts.
-COMMON, COUNTED = 0.01, 20_000
+#: A term in more than this share of the texts is too common to name a shard.
+COMMON = 0.01
 
 ITEM = "d string, piece int, start int, size int, terms binary"
 PLACED = "container string, unused int, position int, gain double, d string, piece int, start int, size int, terms binary"
@@ -48,7 +48,7 @@ def tokenizer(path: str = TOKENIZER):
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, path: str = TOKENIZER) -> DataFrame:
-    """One row per item: a text, or what is left of a text above the capacity after full pieces (size = capacity)."""
+    """One row per item: a text, or what is left of a text above the capacity after full pieces (size = capacity); the last of a text has its terms."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, ids = tokenizer(path).encode_ordinary, {}
@@ -65,7 +65,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY, pat
                 terms = np.array([ids[w] << 8 | min(c, 255) for w, c in tf.items()], np.uint32).tobytes()
                 for piece, start in enumerate(range(0, n, capacity)):
                     size = min(capacity, n - start)
-                    out.append((d, piece, start, size, b"" if size == capacity else terms))
+                    out.append((d, piece, start, size, terms if start + size == n else b""))
             yield pd.DataFrame(out, columns=["d", "piece", "start", "size", "terms"])
 
     rows = spread(docs.select(F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t")).where("t is not null and t != ''"))
@@ -146,22 +146,27 @@ def _packed(capacity: int, name: str):
     return run
 
 
-def _common_terms(docs: DataFrame, doc_id: str, text: str, n: int) -> set[int]:
-    """Hashed terms of more than COMMON of the texts; at most the mean number of terms / COMMON are."""
-    share = max(1, n // COUNTED)
-    sample = docs.where(F.pmod(F.xxhash64(doc_id, F.lit("common")), F.lit(share)) == 0).select(F.col(text).alias("t")).where("t is not null and t != ''")
+def _flat(terms: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed terms one after another, and the position of the text of each."""
+    sizes = terms.map(len).to_numpy() // 4
+    return (np.frombuffer(b"".join(terms), np.uint32) >> 8).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _common_terms(items: DataFrame) -> set[int]:
+    """Hashed terms of more than COMMON of the texts, over all of them; at most the mean number of terms / COMMON are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = Counter(w for t in b["t"] for w in set(WORD_PY.findall(t.lower())))
-            seen: Counter = Counter()
-            for w, c in words.items():
-                seen[zlib.crc32(w.encode()) % _TERMS] += c
-            yield pd.DataFrame([*seen.items(), (-1, len(b))], columns=["t", "n"])
+        seen = np.zeros(_TERMS, np.int64)
+        for big in batches:
+            for at in range(0, len(big), 1000):  # bounds the memory of a step
+                t, of = _flat(big["terms"].iloc[at : at + 1000])
+                np.add.at(seen, np.unique(of * _TERMS + t) % _TERMS, 1)  # words of one hash count once in a text
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"t": some, "n": seen[some]})
 
-    counts = sample.mapInPandas(count, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    total = counts.where("t = -1").select(F.col("n").alias("of"))
-    return {r["t"] for r in counts.where("t >= 0").crossJoin(F.broadcast(total)).where(F.col("n") > COMMON * F.col("of")).select("t").collect()}  # total is one row
+    texts = items.where("piece = 0").count()
+    counts = items.select("terms").mapInPandas(count, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    return {r["t"] for r in counts.where(F.col("n") > COMMON * texts).select("t").collect()}
 
 
 def _keyed(items: DataFrame, terms: set[int]) -> DataFrame:
@@ -169,14 +174,18 @@ def _keyed(items: DataFrame, terms: set[int]) -> DataFrame:
     common = items.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        usual = np.array(sorted(common.value), np.uint32)
-        for b in batches:
-            keys = []
-            for d, x in zip(b["d"], b["terms"]):
-                t = np.frombuffer(x, np.uint32) >> 8
-                t = t[~np.isin(t, usual)] if len(usual) else t
-                keys.append(int((t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min()) if len(t) else -1 - zlib.crc32(d.encode()))
-            yield b.assign(key=np.array(keys, np.int64))
+        usual = np.zeros(_TERMS, bool)
+        usual[list(common.value)] = True
+        for big in batches:
+            for at in range(0, len(big), 1000):
+                b = big.iloc[at : at + 1000]
+                t, of = _flat(b["terms"])
+                t, of = t[~usual[t]], of[~usual[t]]
+                has, starts = np.unique(of, return_index=True)
+                keys = np.array([-1 - zlib.crc32(d.encode()) for d in b["d"]], np.int64)
+                if len(t):
+                    keys[has] = np.minimum.reduceat(t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20), starts).astype(np.int64)
+                yield b.assign(key=keys)
 
     return items.mapInPandas(run, f"{ITEM}, key bigint")
 
@@ -198,7 +207,9 @@ def containers(docs: DataFrame, doc_id: str, text: str, capacity: int = CAPACITY
     """
     kind = docs.schema[doc_id].dataType
     n = docs.count()
-    items = cut(_keyed(sized(docs, doc_id, text, capacity, path), _common_terms(docs, doc_id, text, n)))
+    whole = cut(sized(docs, doc_id, text, capacity, path))
+    terms = F.when(F.col("size") < capacity, F.col("terms")).otherwise(F.lit(b""))  # an item that fills a container has no neighbours
+    items = _keyed(whole.withColumn("terms", terms), _common_terms(whole))
     groups = items.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > SHARD // 2).select("key", F.ceil(F.col("rows") / (SHARD // 2)).alias("parts"))  # few: each has many texts
     keyed = items.join(F.broadcast(groups), "key", "left")
     part = F.pmod(F.xxhash64("d", "piece"), F.coalesce("parts", F.lit(1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -358,6 +360,22 @@ def test_containers_are_full_and_whole(spark):
     assert packing.containers(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_common_words_are_counted_over_all_texts(spark, monkeypatch):
+    """A word of texts that a hash sample of half of the table leaves out, in texts that fill a container."""
+    terms, capacity = [], len(packing.tokenizer().encode_ordinary("zebra quilt"))
+    text = F.expr("if(pmod(xxhash64(doc_id, 'common'), 2) = 1 and doc_id % 25 = 0, 'zebra quilt', if(doc_id % 400 = 0, 'rare', 'plain'))")
+    df = spark.range(40_000).withColumnRenamed("id", "doc_id").withColumn("text", text)
+
+    def keyed(items, common):
+        terms.append(common)
+        raise StopIteration
+
+    monkeypatch.setattr(packing, "_keyed", keyed)
+    with pytest.raises(StopIteration):
+        packing.containers(df, "doc_id", "text", capacity)
+    assert terms == [{zlib.crc32(w.encode()) % packing._TERMS for w in ("zebra", "quilt", "plain")}]
+
+
 def test_neighbours_share_a_container():
     sizes = np.array([1000, 900, 900])
     terms = [np.array([t << 8 | 1 for t in ts], np.uint32).tobytes() for ts in ((1, 2, 3), (7, 8, 9), (1, 2, 4))]
