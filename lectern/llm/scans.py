@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ RATIO = 20
 REACH, NEAR = 3, 0.3
 #: Bytes of words up to which a table is sent to every task; beyond, it is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Characters of texts that are taken apart together and share one list of words.
+BLOCK_CHARS = 4 << 20
 #: Lines looked at from each edge of a page; while all of them are printed, as many more.
 DEPTH = 2
 
@@ -47,7 +50,6 @@ _NUMBER = r"\d{1,4}|[ivxlc]{1,9}|[IVXLC]{1,9}"
 _PURE = re.compile(rf"(?P<pre>(?:(?:page|pagina|página|seite|pág|pag|p|s)\b\.?\s*)?[-–—|\[(~*=·•<]*)\s*(?P<n>{_NUMBER})\s*(?P<of>(?:/|of|von|de|sur)\s*\d{{1,4}})?\s*(?P<post>[-–—|\])~*=·•>]*)", re.I)
 _FIRST = re.compile(rf"(?P<n>{_NUMBER})(?P<gap>\s*\|?\s+|\s*[-–—·]\s*)(?P<rest>\S.*)")
 _LAST = re.compile(rf"(?P<rest>.*\S)(?P<gap>\s+\|?\s*|\s*[-–—·]\s*)(?P<n>{_NUMBER})")
-_SPLIT = re.compile(r"\r\n|[\n\r]")
 _TABLE = str.maketrans(*SINGLE)
 _NUMERAL = frozenset("0123456789ivxlcIVXLC")
 _STROKES = [(re.compile(glyph), strokes) for glyph, strokes in STROKES]
@@ -69,6 +71,10 @@ def _skeleton(text: str) -> str:
     return out
 
 
+def _lines(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+
+
 def _roman(text: str) -> int | None:
     if not _ROMAN.fullmatch(text):
         return None
@@ -103,8 +109,7 @@ def _key(text: str) -> str:
 def _may_head(text: str) -> bool:
     """Whether a line can be a running header by its form."""
     bare = text.strip()
-    letters = sum(c.isalpha() for c in bare)
-    if letters < 4 or bare[0] in "#-•$>" or bare.startswith("* ") or bare.count("|") > 2 or re.match(r"\d+[.)]\s", bare):
+    if sum(1 for _ in islice(filter(str.isalpha, bare), 4)) < 4 or bare[0] in "#-•$>" or bare.startswith("* ") or bare.count("|") > 2 or re.match(r"\d+[.)]\s", bare):
         return False
     return not (re.search(r"[.;,:?!]$", bare) and not bare.endswith("...")) and bare.lower() not in HEADINGS
 
@@ -122,7 +127,7 @@ def _edges(first: int):
         for b in batches:
             out = []
             for page, doc, no, text in zip(b["page_id"], b["document_id"], b["page_number"], b["text"]):
-                lines = _SPLIT.split(text)
+                lines = _lines(text)
                 full = [i for i, x in enumerate(lines) if x.strip()]
                 top, bottom = full[first : first + DEPTH], full[max(len(full) - first - DEPTH, first + DEPTH) : max(len(full) - first, 0)]
                 for i in (*top, *bottom):
@@ -184,10 +189,9 @@ _OUTER = re.compile(r"^[^\w@†!]+|[^\w@†]+$")
 _BEFORE, _AFTER = regex.compile(r"[\p{L}\p{M}0-9@†!'’]+(?:-\p{L}+)*$"), regex.compile(r"\p{Ll}[\p{L}\p{M}0-9@†!]*")
 
 
-def breaks_of(text: str) -> list[str]:
-    """The words broken over two lines, in lower case, as what stands before and behind the break with a blank between."""
+def _breaks(text: str, joins: Iterable[re.Match]) -> list[str]:
     out = []
-    for m in _JOIN.finditer(text):
+    for m in joins:
         b = _AFTER.match(text, m.end())
         if b:
             token = text[max(text.rfind(c, 0, m.start()) for c in " \t\n\r") + 1 : m.start()]
@@ -197,49 +201,110 @@ def breaks_of(text: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def breaks_of(text: str) -> list[str]:
+    """The words broken over two lines, in lower case, as what stands before and behind the break with a blank between."""
+    return _breaks(text, _JOIN.finditer(text))
+
+
 def _line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case word-like runs, with the symbols that misread letters become; words broken over lines are joined."""
-    found = _JOIN.sub("", text).lower().translate(_BLANKS).split()
-    return [t if t.isalnum() else _OUTER.sub("", t) for t in found]
+_KNOWN = np.zeros(0x110000, np.uint32)  # by code point what _BLANKS makes of it, 0 if not yet asked
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for b in batches:
-        lines = [None if page else list({_line_hash(" ".join(x.split())) for x in _SPLIT.split(t) if x and not x.isspace()}) for page, t in zip(b["page"], b["text"])]
-        yield b.assign(words=[pack("\n".join(words_of(t)).encode()) for t in b["text"]], breaks=[breaks_of(t) for t in b["text"]], lines=lines).drop(columns="text")
+def _blanked(text: str) -> str:
+    """As text.translate(_BLANKS), for long texts."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _KNOWN[points]
+    if not out.all():
+        for c in set(points[out == 0].tolist()):
+            _KNOWN[c] = _BLANKS[c]
+        out = _KNOWN[points]
+    return out.astype("<u4", copy=False).tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _coded(texts: list[str]) -> tuple[list[str], np.ndarray, list[int]]:
+    """The distinct words of texts, "" first; the number of each word in their order, REACH times 0 around each text; the words in each text.
+
+    Words are lower-case word-like runs, with the symbols that misread letters become;
+    what is no word at its ends is taken off each distinct run once.
+    """
+    low = [t.lower() for t in texts]
+    flat, at, runs, sizes = _blanked("".join(low)), 0, [], []
+    for t in low:
+        found = flat[at : at + len(t)].split()
+        at += len(t)
+        runs += found
+        sizes.append(len(found))
+    ids: dict[str, int] = defaultdict(count().__next__)
+    codes = np.fromiter(map(ids.__getitem__, runs), np.int64, len(runs))
+    words = {"": 0}
+    clean = np.fromiter((words.setdefault(t if t.isalnum() else _OUTER.sub("", t), len(words)) for t in ids), np.int64, len(ids))
+    out = np.zeros(len(runs) + REACH * (len(texts) + 1), np.int64)
+    out[np.arange(len(runs)) + REACH * np.repeat(np.arange(1, len(texts) + 1), sizes)] = clean[codes]
+    return list(words), out, sizes
 
 
 _unpack = zstandard.ZstdDecompressor().decompress
 
 
-def _unpacked(words: bytes) -> list[str]:
-    return _unpack(words).decode().split("\n")
+def _code_type(words: list[str]) -> str:
+    return "<u2" if len(words) <= 1 << 16 else "<u4"
+
+
+def _opened(words: bytes, codes: bytes) -> tuple[list[str], np.ndarray]:
+    w = _unpack(words).decode().split("\n")
+    return w, np.frombuffer(_unpack(codes), _code_type(w))
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    columns = ["record_id", "document_id", "page", "breaks", "lines", "records", "documents", "sizes", "words", "codes"]
+    for b in batches:
+        joined, own = [], []
+        for record, doc, page, text in zip(b["record_id"], b["document_id"], b["page"], b["text"]):
+            joins = list(_JOIN.finditer(text))
+            breaks = _breaks(text, joins) if joins else []
+            lines = [] if page else list({_line_hash(" ".join(x.split())) for x in _lines(text) if x and not x.isspace()})
+            if breaks or lines:
+                own.append((record, doc, page, breaks, lines, None, None, None, None, None))
+            joined.append("".join([text[i:j] for i, j in zip([0, *(m.end() for m in joins)], [*(m.start() for m in joins), len(text)])]) if joins else text)
+        for (page, _), at in b.groupby([b["page"], np.cumsum([len(t) for t in joined]) // BLOCK_CHARS]).indices.items():
+            words, codes, sizes = _coded([joined[i] for i in at])
+            own.append((None, None, page, None, None, b["record_id"].iloc[at].tolist(), b["document_id"].iloc[at].tolist(), sizes, pack("\n".join(words).encode()), pack(codes.astype(_code_type(words)).tobytes())))
+        yield pd.DataFrame(own, columns=columns)
 
 
 def token_table(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(record_id, document_id, page, words, breaks, lines): of both tables, taken apart once: the words, packed, the broken words, and of chunks the hashes of their lines."""
+    """Both tables, taken apart once, in two kinds of rows.
+
+    (record_id, document_id, page, breaks, lines) of a record with any: its broken words,
+    and of chunks the hashes of the lines. (page, records, documents, sizes, words, codes)
+    of a block of records: their ids and numbers of words, the distinct words of all, and
+    which of them follow each other (see _coded), both packed.
+    """
     p = pages.select(F.col("page_id").alias("record_id"), "document_id", F.lit(True).alias("page"), "text")
     c = chunks.select(F.col("chunk_id").alias("record_id"), "document_id", F.lit(False), "text")
-    schema = "record_id string, document_id string, page boolean, words binary, breaks array<string>, lines array<bigint>"
+    schema = "record_id string, document_id string, page boolean, breaks array<string>, lines array<bigint>, records array<string>, documents array<string>, sizes array<int>, words binary, codes binary"
     return p.union(c).where("record_id is not null and text is not null").mapInPandas(_packed, schema)
 
 
+def _blocks(tokens: DataFrame, *more: str) -> DataFrame:
+    return tokens.where("words is not null").select("words", "codes", *more)
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        for page, words in zip(b["page"], b["words"]):
-            seen[page].update(_unpacked(words))
-        yield pd.DataFrame([(w, n * page, n * (not page)) for page, c in seen.items() for w, n in c.items()], columns=["word", "pages", "chunks"])
+        for page, packed, codes in zip(b["page"], b["words"], b["codes"]):
+            words, codes = _opened(packed, codes)
+            n = np.bincount(codes, minlength=len(words))
+            yield pd.DataFrame({"word": words, "pages": n * bool(page), "chunks": n * (not page)})
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(word, n) of token_table. Chunks repeat what pages hold, so n is the count in the table that has more."""
-    counts = tokens.mapInPandas(_counted, "word string, pages bigint, chunks bigint").where(F.length("word") > 1)
+    counts = _blocks(tokens, "page").mapInPandas(_counted, "word string, pages bigint, chunks bigint").where(F.length("word") > 1)
     return counts.groupBy("word").agg(F.greatest(F.sum("pages"), F.sum("chunks")).alias("n"))
 
 
@@ -269,108 +334,112 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if _small(df) else df
 
 
-def _sent(df: DataFrame) -> Broadcast | None:
-    """The rows of df, as tuples, for every task if their size is bounded."""
-    return df.sparkSession.sparkContext.broadcast({tuple(r) for r in df.collect()}) if _small(df) else None
+def _sent(df: DataFrame, form: Callable[[list[tuple]], object]) -> Broadcast | None:
+    """What form makes of the rows of df, for every task if their size is bounded."""
+    return df.sparkSession.sparkContext.broadcast(form([tuple(r) for r in df.collect()])) if _small(df) else None
 
 
 def _masked(words: list[str]) -> list[str]:
     return ["#" if w.isdigit() else w for w in words]
 
 
-def _around(words: list[str], i: int) -> set[str]:
-    return {*words[max(0, i - REACH) : i], *words[i + 1 : i + 1 + REACH]} - {""}
-
-
 def occurrences(tokens: DataFrame, sought: DataFrame) -> DataFrame:
     """(record_id, document_id, word, left, right, around): where the words of sought (word) stand, digits of the neighbours masked."""
-    sent = _sent(sought)
+    sent = _sent(sought, lambda rows: {w for (w,) in rows})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = None if sent is None else {w for (w,) in sent.value}
+        wanted = None if sent is None else sent.value
         for b in batches:
-            out = []
-            for record, doc, packed in zip(b["record_id"], b["document_id"], b["words"]):
-                words = _unpacked(packed)
-                if wanted is not None and wanted.isdisjoint(words):
-                    continue
-                masked = _masked(words)
-                for i, w in enumerate(words):
-                    if wanted is None or w in wanted:
-                        out.append((record, doc, w, masked[i - 1] if i else "", masked[i + 1] if i + 1 < len(words) else "", sorted(_around(masked, i))))
-            yield pd.DataFrame(out, columns=["record_id", "document_id", "word", "left", "right", "around"])
-
-    found = tokens.mapInPandas(find, "record_id string, document_id string, word string, left string, right string, around array<string>")
+            for packed, codes, records, docs, sizes in zip(b["words"], b["codes"], b["records"], b["documents"], b["sizes"]):
+                words, codes = _opened(packed, codes)
+                masked, out = _masked(words), []
+                hit = np.fromiter((bool(w) and (wanted is None or w in wanted) for w in words), bool, len(words))
+                at = np.flatnonzero(hit[codes])
+                of = np.searchsorted(np.cumsum(np.asarray(sizes) + REACH), at, "right")  # in which record
+                near = codes[at[:, None] + np.arange(-REACH, REACH + 1)]
+                for r, c in zip(of.tolist(), near.tolist()):
+                    around = {masked[x] for x in (*c[:REACH], *c[REACH + 1 :])} - {""}
+                    out.append((records[r], docs[r], words[c[REACH]], masked[c[REACH - 1]], masked[c[REACH + 1]], sorted(around)))
+                yield pd.DataFrame(out, columns=["record_id", "document_id", "word", "left", "right", "around"])
+
+    found = _blocks(tokens, "records", "documents", "sizes").mapInPandas(find, "record_id string, document_id string, word string, left string, right string, around array<string>")
     return (found if sent else found.join(sought, "word", "left_semi").select("record_id", "document_id", "word", "left", "right", "around")).distinct()
 
 
-def _rated(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """asked (a, b) with first: whether a is the rarer word of the two; that one is looked for in the texts."""
-    n = words.select(F.col("word").alias("a"), F.col("n").alias("na")), words.select(F.col("word").alias("b"), F.col("n").alias("nb"))
-    many = F.lit(1 << 40)
-    return cut(asked.join(n[0], "a", "left").join(n[1], "b", "left").select("a", "b", (F.coalesce("na", many) < F.coalesce("nb", many)).alias("first")))
-
+def _keyed(pairs: list[tuple[str, str]]) -> tuple[list[str], np.ndarray]:
+    """The words of pairs, and as sorted numbers the pairs: place of the first word times (number of words + 1), plus that of the second."""
+    words = sorted({w for p in pairs for w in p})
+    at = {w: i for i, w in enumerate(words)}
+    return words, np.unique(np.fromiter((at[a] * (len(words) + 1) + at[b] for a, b in pairs), np.int64, len(pairs)))
 
-def _by_rarer(rated: set[tuple] | None) -> tuple[dict[str, set[str]], dict[str, set[str]]]:
-    """Of rated pairs: the second words of each rarer first one, and the first words of each rarer second one."""
-    by_a: dict[str, set[str]] = {}
-    by_b: dict[str, set[str]] = {}
-    for a, b, first in rated or ():
-        (by_a if first else by_b).setdefault(a if first else b, set()).add(b if first else a)
-    return by_a, by_b
 
+def _finder(words: list[str], keys: np.ndarray) -> Callable[[list[str], np.ndarray, Iterable[int]], Iterator[np.ndarray]]:
+    """Of pairs (see _keyed) a function that gives for a block and each of some distances the places in keys of the pairs that stand so far apart, once for each occurrence.
 
-def pair_counts(tokens: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
+    Two marks of the words, put together, point to a place in a table that says no to most
+    of the other pairs; what is left is looked up in keys.
+    """
+    n, at = len(words) + 1, {w: i for i, w in enumerate(words)}
+    size = 1 << max(10, (16 * len(keys)).bit_length())
+    first, second = np.random.default_rng(0).integers(0, size, (2, n), np.uint32)
+    some = np.zeros(size, bool)
+    some[first[keys // n] ^ second[keys % n]] = True
+
+    def find(block: list[str], codes: np.ndarray, distances: Iterable[int]) -> Iterator[np.ndarray]:
+        own = np.fromiter((at.get(w, n - 1) for w in _masked(block)), np.int64, len(block))
+        a, b = first[own][codes], second[own][codes]
+        for d in distances:
+            i, j = max(0, -d), max(0, d)
+            hit = np.flatnonzero(some[a[i : len(a) - j] ^ b[j : len(b) - i]])
+            key = own[codes[hit + i]] * n + own[codes[hit + j]]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            yield place[keys[place] == key]
+
+    return find
+
+
+def _pairs_at(tokens: DataFrame, asked: DataFrame, distances: tuple[int, ...]) -> DataFrame:
+    """(a, b, m): how often the second word of the pairs of asked (a, b), none of them empty, stands at one of distances from the first, digits masked; several rows of a pair."""
+    sent = _sent(asked, _keyed)
+
+    def count_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, keys = sent.value
+        find, n = _finder(words, keys), np.zeros(len(keys), np.int64)
+        for b in batches if len(keys) else ():
+            for packed, codes in zip(b["words"], b["codes"]):
+                for places in find(*_opened(packed, codes), distances):
+                    n += np.bincount(places, minlength=len(keys))
+        some = np.flatnonzero(n)
+        first, second = np.divmod(keys[some], len(words) + 1)
+        names = np.array(words, object)
+        yield pd.DataFrame({"a": names[first], "b": names[second], "m": n[some]})
+
+    def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for packed, codes in zip(b["words"], b["codes"]):
+                words, codes = _opened(packed, codes)
+                codes, keys = codes.astype(np.int64), []
+                for d in distances:
+                    first, second = codes[max(0, -d) : len(codes) - max(0, d)], codes[max(0, d) : len(codes) - max(0, -d)]
+                    keys.append((first * len(words) + second)[(first > 0) & (second > 0)])
+                found, n = np.unique(np.concatenate(keys), return_counts=True)
+                first, second = np.divmod(found, len(words))
+                names = np.array(_masked(words), object)
+                yield pd.DataFrame({"a": names[first], "b": names[second], "m": n})
+
+    schema = "a string, b string, m bigint"
+    return _blocks(tokens).mapInPandas(count_asked, schema) if sent else _blocks(tokens).mapInPandas(count_all, schema).join(asked, ["a", "b"], "left_semi")
+
+
+def pair_counts(tokens: DataFrame, asked: DataFrame) -> DataFrame:
     """(a, b, m): how often the word pairs of asked (a, b) stand side by side, digits masked."""
-    sent = _sent(_rated(asked, words))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_a, by_b = _by_rarer(None if sent is None else sent.value)
-        keys = by_a.keys() | by_b.keys()
-        for batch in batches:
-            seen: Counter = Counter()
-            for packed in batch["words"]:
-                words = _masked(_unpacked(packed))
-                if sent is None:
-                    seen.update(zip(words, words[1:]))
-                    continue
-                for i in [i for i, w in enumerate(words) if w in keys] if not keys.isdisjoint(words) else ():
-                    w = words[i]
-                    if i + 1 < len(words) and words[i + 1] in by_a.get(w, ()):
-                        seen[w, words[i + 1]] += 1
-                    if i and words[i - 1] in by_b.get(w, ()):
-                        seen[words[i - 1], w] += 1
-            yield pd.DataFrame([(x, y, n) for (x, y), n in seen.items()], columns=["a", "b", "m"])
-
-    found = tokens.mapInPandas(count, "a string, b string, m bigint").groupBy("a", "b").agg(F.sum("m").alias("m"))
-    return found if sent else found.join(asked, ["a", "b"], "left_semi")
-
-
-def seen_near(tokens: DataFrame, asked: DataFrame, words: DataFrame) -> DataFrame:
-    """The rows of asked (good, x) for which x stands within REACH words of good in a record."""
-    sent = _sent(_rated(asked.select(F.col("good").alias("a"), F.col("x").alias("b")), words))
+    return _pairs_at(tokens, asked, (1,)).groupBy("a", "b").agg(F.sum("m").alias("m"))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_good, by_x = _by_rarer(None if sent is None else sent.value)
-        keys = by_x.keys() | by_good.keys()
-        for b in batches:
-            out = set()
-            for packed in b["words"]:
-                words = _masked(_unpacked(packed))
-                if sent is None:
-                    for i, w in enumerate(words):
-                        out.update((w, x) for x in _around(words, i))
-                    continue
-                for i in [i for i, w in enumerate(words) if w in keys] if not keys.isdisjoint(words) else ():
-                    near, w = _around(words, i), words[i]
-                    if w in by_good:
-                        out.update((w, x) for x in near & by_good[w])
-                    if w in by_x:
-                        out.update((g, w) for g in near & by_x[w])
-            yield pd.DataFrame(list(out), columns=["good", "x"])
-
-    found = tokens.mapInPandas(find, "good string, x string").distinct()
-    return found if sent else found.join(asked, ["good", "x"], "left_semi")
+
+def seen_near(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of asked (good, x) for which x stands within REACH words of good in a record."""
+    found = _pairs_at(tokens, asked.select(F.col("good").alias("a"), F.col("x").alias("b")), (*range(-REACH, 0), *range(1, REACH + 1)))
+    return found.select(F.col("a").alias("good"), F.col("b").alias("x")).distinct()
 
 
 def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
@@ -393,7 +462,7 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     c = occ.join(_few(bad.withColumnRenamed("bad", "word")), "word").join(own[0], ["word", "left"]).join(own[1], ["word", "right"])
     c = cut(c.select("record_id", "word", "left", "right", "around", "good", "n", *(F.when(F.col(s) == "", 0).otherwise(F.col(f"own_{s}")).alias(f"own_{s}") for s in ("left", "right"))))
     asked = c.select(F.col("left").alias("a"), F.col("good").alias("b")).union(c.select("good", "right")).where("a != '' and b != ''").distinct()
-    support = cut(pair_counts(tokens, cut(asked), words))
+    support = cut(pair_counts(tokens, cut(asked)))
     c = c.join(support.select(F.col("a").alias("left"), F.col("b").alias("good"), F.col("m").alias("good_left")), ["left", "good"], "left")
     c = c.join(support.select(F.col("a").alias("good"), F.col("b").alias("right"), F.col("m").alias("good_right")), ["good", "right"], "left").fillna(0, ["good_left", "good_right"])
     odd = F.col("word").rlike(r"[0-9@†!|]")
@@ -401,7 +470,7 @@ def char_errors(tokens: DataFrame, words: DataFrame, bad: DataFrame) -> DataFram
     kept = (F.col("own_left") > rate * F.col("good_left")) | (F.col("own_right") > rate * F.col("good_right"))
     c = cut(c.withColumn("kept", kept).withColumn("support", F.col("good_left") + F.col("good_right")))
     silent = c.where(~F.col("kept") & (F.col("support") == 0) & ~odd).select("record_id", "word", "left", "right", "good", "n", "around", F.explode("around").alias("x"))
-    near = seen_near(tokens, cut(silent.select("good", "x").distinct()), words).withColumn("near", F.lit(1))
+    near = seen_near(tokens, cut(silent.select("good", "x").distinct())).withColumn("near", F.lit(1))
     wide = silent.join(near, ["good", "x"], "left").groupBy("record_id", "word", "left", "right", "around", "good", "n").agg(F.sum(F.coalesce("near", F.lit(0))).alias("near"))
     misread = c.where(~F.col("kept") & ((F.col("support") > 0) | odd)).select("record_id", "word", "left", "right", "good", "n", "support")
     misread = misread.union(wide.where(F.col("near") >= NEAR * F.size("around")).select("record_id", "word", "left", "right", "good", "n", F.lit(0)))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -129,6 +133,68 @@ def test_words_are_mended_in_their_case():
     assert scans.mended("", fixes) == "" and scans.breaks_of("low-\npressure A-B-\nc x-\nY") == ["low pressure", "a-b c"]
 
 
+def _word_texts():
+    rng = random.Random(7)
+    some = ["der", "Der,", "das", "(das)", "ende", "12", "7", "pres5ure", "–", "Straße", "ΟΔΟΣ", "l’eau", "!", "x-y", "A\u0301b"]
+    return [" ".join(rng.choice(some) for _ in range(rng.choice((0, 1, 2, 5, 40)))) for _ in range(120)] + ["del", "das del-\nta", "\n \t", "der\x00das"]
+
+
+def _plain_words(text):
+    kept = "".join(c if c in "@†!|'’-" or unicodedata.category(c)[0] in "LMN" else " " for c in text.replace("-\n", "").lower())
+    return [re.sub(r"^[^\w@†!]+|[^\w@†]+$", "", w) if not w.isalnum() else w for w in kept.split()]
+
+
+def test_the_words_of_many_texts_are_listed_once(monkeypatch):
+    monkeypatch.setattr(scans, "BLOCK_CHARS", 2000)
+    texts = _word_texts()
+    batch = pd.DataFrame({"record_id": [f"r{i}" for i in range(len(texts))], "document_id": "d", "page": [i % 3 > 0 for i in range(len(texts))], "text": texts})
+    rows = pd.concat(scans._packed(iter([batch])))
+    got, blocks = {}, rows[rows["words"].notna()]
+    for block in blocks.itertuples():
+        words, codes = scans._opened(block.words, block.codes)
+        assert len(words) == len(set(words)) and {r for r in block.records} <= set(batch["record_id"][batch["page"] == block.page])
+        at = scans.REACH
+        for record, n in zip(block.records, block.sizes):
+            got[record] = [words[c] for c in codes[at : at + n]]
+            assert not codes[at - scans.REACH : at].any() and not codes[at + n : at + n + scans.REACH].any()
+            at += n + scans.REACH
+    assert got == {f"r{i}": _plain_words(t) for i, t in enumerate(texts)} and 4 <= len(blocks) < 20
+    assert rows[rows["words"].isna()].set_index("record_id")["breaks"]["r121"] == ["del ta"]
+
+
+@pytest.mark.parametrize("most", [scans.BROADCAST_BYTES, -1])
+def test_words_and_their_neighbours_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "BROADCAST_BYTES", most)
+    texts = _word_texts()
+    pages = spark.createDataFrame([(f"p{i}", "d", t) for i, t in enumerate(texts) if i % 2], "page_id string, document_id string, text string")
+    chunks = spark.createDataFrame([(f"c{i}", None, t) for i, t in enumerate(texts) if i % 2 == 0], "chunk_id string, document_id string, text string")
+    tokens = scans.token_table(pages, chunks)
+    all_words = {f"{'p' if i % 2 else 'c'}{i}": _plain_words(t) for i, t in enumerate(texts)}
+    masked = {r: ["#" if w.isdigit() else w for w in words] for r, words in all_words.items()}
+    side, near, occ = Counter(), set(), set()
+    for r, m in masked.items():
+        for i, w in enumerate(m):
+            around = {*m[max(0, i - 3) : i], *m[i + 1 : i + 4]} - {""}
+            near |= {(w, x) for x in around}
+            if all_words[r][i] in ("pres5ure", "das", "del"):
+                occ.add((r, "d" if r[0] == "p" else None, w, m[i - 1] if i else "", m[i + 1] if i + 1 < len(m) else "", tuple(sorted(around))))
+        side.update(zip(m, m[1:]))
+    pairs = [("der", "das"), ("das", "der"), ("das", "das"), ("#", "ende"), ("der", "#"), ("del", "das"), ("nowhere", "der")]
+    asked = spark.createDataFrame(pairs, "good string, x string")
+    got = {(r["a"], r["b"]): r["m"] for r in scans.pair_counts(tokens, asked.toDF("a", "b")).collect()}
+    assert got == {p: side[p] for p in pairs if side[p]} and len(got) == 5
+    assert {tuple(r) for r in scans.seen_near(tokens, asked).collect()} == {p for p in pairs if p in near}
+    found = scans.occurrences(tokens, spark.createDataFrame([("pres5ure",), ("das",), ("del",)], "word string")).collect()
+    assert {(*r[:5], tuple(r[5])) for r in found} == occ
+    assert scans.pair_counts(tokens, asked.toDF("a", "b").limit(0)).count() == 0
+    counts = {flag: Counter(w for r, words in all_words.items() if (r[0] == "p") == flag for w in words if len(w) > 1) for flag in (True, False)}
+    assert {r["word"]: r["n"] for r in scans.vocabulary(tokens).collect()} == {w: max(counts[True][w], counts[False][w]) for w in counts[True] | counts[False]}
+
+
+def test_lines_and_letters():
+    assert scans._may_head("A b c d") and not scans._may_head("1 a b c 2") and scans._lines("a\r\nb\rc\n\nd") == ["a", "b", "c", "", "d"]
+
+
 def test_edge_lines():
     assert scans.edge_line("Page 92 of 100") == (92, True, "") and scans.edge_line("cxxviii")[:2] == (128, False)
     assert scans.edge_line("158    NOTES ON IT") == (158, False, "NOTES ON IT") and scans.edge_line("Lesson 7: Gas    179")[0] == 179
